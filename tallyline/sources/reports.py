@@ -137,13 +137,17 @@ def numbered_lines(classified: DataFrame) -> DataFrame:
 
 
 def _expected() -> Column:
-    """Kind of line that may follow the previous one."""
+    """Kind of line that may stand here, judged by the previous line and the header so far.
+
+    After a line out of place, the next index or collection line is accepted again, so one bad
+    line is reported once.
+    """
     prior = F.col("prior.kind")
     return (
         F.when(prior == "collection", "index")
         .when(prior == "index", "opcount")
-        .when(prior == "opcount", "index or collection")
-        .otherwise("collection")
+        .when(F.col("collection").isNull(), "collection")
+        .otherwise("index or collection")
     )
 
 
@@ -201,12 +205,11 @@ def parse_reports(
     ).select(*OP_COUNT_ITEM.schema.names)
 
 
-def write_reports(items: DataFrame, lake_root: str) -> None:
-    """Items as report text, one file per snapshot, with the noise a real capture carries.
+def report_lines(items: DataFrame) -> DataFrame:
+    """The text of a report for each snapshot: lines with their place and sort order.
 
-    The inverse of :func:`parse_reports`, for demonstrations and round-trip tests.
+    The inverse of :func:`parse_reports`, with the noise a real capture carries.
     """
-    since = utc_text(F.col("Since"))
     captured = items.withColumn("snapshot", F.concat_ws("_", DAY, SECOND))
     place = [HOST, "snapshot"]
     blank = F.lit("")
@@ -221,9 +224,9 @@ def write_reports(items: DataFrame, lake_root: str) -> None:
             F.posexplode(F.array(*text)).alias("step", "line"),
         ).withColumn("step", F.col("step") + offset)
 
-    snapshots = captured.select(*place).distinct()
     opening = lines(
-        snapshots, 0, blank, blank, F.lit("2024 R simagix/keyhole"), F.lit("index usage"), blank
+        captured.select(*place).distinct(),
+        0, blank, blank, F.lit("2024 R simagix/keyhole"), F.lit("index usage"), blank,
     )
     headers = lines(
         captured.select(*place, COLLECTION).distinct(),
@@ -234,13 +237,17 @@ def write_reports(items: DataFrame, lake_root: str) -> None:
         F.concat(F.lit("  "), F.col(INDEX), F.lit("  ")),
         F.concat(
             F.lit("    node: ops: "), F.col("UseCount").cast("string"),
-            F.lit(", since: "), since, F.lit(" +0000 UTC"),
+            F.lit(", since: "), utc_text(F.col("Since")), F.lit(" +0000 UTC"),
         ),
     )
+    return opening.unionByName(headers).unionByName(body)
+
+
+def write_reports(lines: DataFrame, lake_root: str) -> None:
+    """Report lines as text, one file per snapshot directory."""
+    place = [HOST, "snapshot"]
     (
-        opening.unionByName(headers)
-        .unionByName(body)
-        .repartition(*place)
+        lines.repartition(*place)
         .sortWithinPartitions(*place, "collection", "index", "step")
         .select("line", *place)
         .write.partitionBy(*place)
