@@ -15,27 +15,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyline.functions.clock import event_epoch
 from tallyline.schema import COLLECTION, DAY, HOST, SECOND, SERIES, SNAPSHOT
 
 RANK = "PartitionRank"
 _COUNTS = ("UseCount", "ActiveIndexCount", "TotalIndexCount")
 
 
-def _host_sizes(ranges: DataFrame) -> DataFrame:
-    """Number of snapshots per host: the rank of the last one."""
-    return ranges.filter("is_last_partition").select(
-        HOST, F.col("partition_rank").alias("host_snapshots")
-    )
-
-
 def ranked_facts(facts: DataFrame, ranges: DataFrame) -> DataFrame:
     """Facts with the rank of their snapshot and the number of snapshots of their host.
 
-    Both joins are plain equi joins: the planner broadcasts the timeline if its stored size is
-    under the broadcast threshold, and otherwise shuffles with adaptive skew handling.
+    A plain equi join: the planner broadcasts the timeline if its stored size is under the
+    broadcast threshold, and otherwise shuffles with adaptive skew handling. Everything needed of
+    the host comes along, because a further join on the host alone would, when shuffled, leave
+    all of a host's rows in one task for the windows that follow.
     """
-    ranks = ranges.select(*SNAPSHOT, F.col("partition_rank").alias(RANK))
-    return facts.join(ranks, SNAPSHOT).join(_host_sizes(ranges), HOST)
+    ranks = ranges.select(*SNAPSHOT, F.col("partition_rank").alias(RANK), "partition_count")
+    return facts.join(ranks, SNAPSHOT)
 
 
 def collection_history(ranked: DataFrame, carried: dict[str, str] | None = None) -> DataFrame:
@@ -51,7 +47,7 @@ def collection_history(ranked: DataFrame, carried: dict[str, str] | None = None)
     present = ranked.select(
         *SERIES,
         RANK,
-        "host_snapshots",
+        "partition_count",
         *_COUNTS,
         F.lag("UseCount").over(series).alias("UseCountBefore"),
         F.lead(RANK).over(series).alias("next_rank"),
@@ -61,7 +57,7 @@ def collection_history(ranked: DataFrame, carried: dict[str, str] | None = None)
     ).filter(F.col("total_use") > 0)
 
     run_start = F.when(F.col(RANK) == F.col("first_rank"), 1).otherwise(F.col(RANK))
-    run_end = F.coalesce(F.col("next_rank") - 1, F.col("host_snapshots"))
+    run_end = F.coalesce(F.col("next_rank") - 1, F.col("partition_count"))
     dense = present.withColumn("grid_rank", F.explode(F.sequence(run_start, run_end)))
 
     # A row without a collection name matches no snapshot, as in any equi join on the name.
@@ -92,8 +88,17 @@ def before_after_grid(facts: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
-def collection_grid(known: DataFrame, ranges: DataFrame) -> DataFrame:
+def collection_grid(facts: DataFrame, ranges: DataFrame) -> DataFrame:
     """Known collections times the snapshots of their host, present or not."""
-    ranks = F.explode(F.sequence(F.lit(1), F.col("host_snapshots")))
-    dense = known.join(_host_sizes(ranges), HOST).withColumn(RANK, ranks)
+    known = (
+        ranked_facts(facts, ranges)
+        .groupBy(*SERIES)
+        .agg(
+            F.min(event_epoch(DAY, SECOND)).alias("KnownAsOfEpoch"),
+            F.sum("UseCount").alias("total_use"),
+            F.max("partition_count").alias("partition_count"),
+        )
+        .filter(F.col("total_use") > 0)
+    )
+    dense = known.withColumn(RANK, F.explode(F.sequence(F.lit(1), F.col("partition_count"))))
     return with_snapshot_time(dense, ranges).select(*SNAPSHOT, RANK, COLLECTION, "KnownAsOfEpoch")

@@ -78,3 +78,18 @@ def activity_policy_labels(
     return with_policy_status(labels, n_inactivity, rules).select(
         *COLLECTION_POLICY_LABELS.schema.names
     )
+
+
+def policy_labels_of(
+    facts: DataFrame,
+    ranges: DataFrame,
+    n_inactivity: int = DEFAULT_INACTIVITY,
+    rules: str = "current",
+) -> DataFrame:
+    """The policy label table straight from facts.
+
+    Both labels are assigned by rank in one pass over the series; day and second are joined last,
+    so even a timeline too large to broadcast does not come between two windows.
+    """
+    labelled = with_policy_status(discrete_history(facts, ranges), n_inactivity, rules)
+    return with_snapshot_time(labelled, ranges).select(*COLLECTION_POLICY_LABELS.schema.names)

@@ -75,8 +75,14 @@ def legacy_facts(items: DataFrame) -> DataFrame:
     )
 
 
-def legacy_activity_labels(items: DataFrame, ranges: DataFrame, horizon: DataFrame) -> DataFrame:
-    """The legacy label table. ``horizon`` holds :func:`initial_future_date`, one row per host."""
+def dated_ranges(items: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The timeline with the horizon of each host on all its snapshots. Store it before use: the
+    labels then join one small table of known size, on host and rank."""
+    return ranges.join(initial_future_date(items, ranges), HOST)
+
+
+def legacy_activity_labels(items: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The legacy label table, from items and :func:`dated_ranges`."""
     ranked = ranked_facts(legacy_facts(items), ranges)
     history = collection_history(ranked, {"IsKnownAsOf": "min(Since)"}).drop(
         "IsPurgedCollection", "IsCreatedCollection"
@@ -88,9 +94,13 @@ def legacy_activity_labels(items: DataFrame, ranges: DataFrame, horizon: DataFra
     )
     labelled = (
         with_snapshot_time(
-            history, ranges, "ascending_label", "this_event_at", "prior_event_at"
+            history,
+            ranges,
+            "ascending_label",
+            "this_event_at",
+            "prior_event_at",
+            "InitialFutureDate",
         )
-        .join(horizon, HOST)
         .withColumn("IsFutureCollection", F.col("InitialFutureDate") < F.col("IsKnownAsOf"))
         .withColumn(
             "IsPurgedCollection",

@@ -34,6 +34,7 @@ def _days(snapshots: DataFrame) -> DataFrame:
             "lo",
             "hi",
             F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("rank_before"),
+            F.sum("size").over(whole).alias("partition_count"),
             F.lag(DAY).over(by_day).alias("prior_day"),
             F.lag("hi").over(by_day).alias("prior_day_hi"),
             F.lead(DAY).over(by_day).alias("next_day"),

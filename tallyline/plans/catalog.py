@@ -6,26 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tallyline.functions.paths import snapshot_path_columns
 from tallyline.operators import facts as fact_ops
 from tallyline.operators import history, labels, legacy, quality, sankey, timeline
-from tallyline.plans.prepared import event_warehouse, new_warehouse
+from tallyline.plans.prepared import (
+    csv_lake,
+    event_warehouse,
+    new_warehouse,
+    report_lake,
+    reportable,
+)
 from tallyline.schema import (
-    COLLECTION,
-    COLLECTION_DISCRETE_LABELS,
     COLLECTION_OPS_AGG,
     COLLECTION_POLICY_LABELS,
     DAY,
     HOST,
-    INDEX,
-    INDEX_OPS_AGG,
     OP_COUNT_ITEM,
     PARTITION_RANGES,
-    SECOND,
-    SERIES,
-    SNAPSHOT,
 )
-from tallyline.functions.paths import snapshot_path_columns
 from tallyline.sources import reports, snapshots
 from tallyline.sources.scratch import scratch_folder, stored
 
@@ -44,10 +44,17 @@ class Inputs:
     def __init__(self, spark: SparkSession, data_dir: str) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
+        self.data_dir = data_dir
         warehouse = event_warehouse(spark, data_dir)
         self.items = warehouse.read(OP_COUNT_ITEM.name)
         self.ranges = warehouse.read(PARTITION_RANGES.name)
 
+    def csv_lake(self) -> str:
+        return csv_lake(self.spark, self.data_dir)
+
+    def report_lake(self) -> str:
+        return report_lake(self.spark, self.data_dir)
+
     @property
     def facts(self) -> DataFrame:
         return fact_ops.collection_facts(self.items)
@@ -60,51 +67,41 @@ class Inputs:
         return labels.discrete_labels(self.facts, self.ranges, rules)
 
     def policy(self, n: int = labels.DEFAULT_INACTIVITY, rules: str = "current") -> DataFrame:
-        return labels.activity_policy_labels(self.discrete(), n, rules)
+        return labels.policy_labels_of(self.facts, self.ranges, n, rules)
 
     def policy_history(self) -> DataFrame:
         """Policy labels by rank: the report queries need no day and second."""
         return labels.with_policy_status(labels.discrete_history(self.facts, self.ranges))
 
     def legacy_labels(self) -> DataFrame:
-        horizon = stored(legacy.initial_future_date(self.items, self.ranges), "horizon")
-        return legacy.legacy_activity_labels(self.items, self.ranges, horizon)
+        dated = stored(legacy.dated_ranges(self.items, self.ranges), "dated-ranges")
+        return legacy.legacy_activity_labels(self.items, dated)
 
 
 # --- sources ---------------------------------------------------------------------------------
 
 
-def _csv_lake(inputs: Inputs, items: DataFrame) -> str:
-    root = scratch_folder(inputs.spark, "csv")
-    snapshots.write_snapshots(items, root)
-    return root
-
-
 def load_snapshot_csv(inputs: Inputs) -> DataFrame:
     warehouse = new_warehouse(inputs.spark)
-    snapshots.load_snapshots(warehouse, _csv_lake(inputs, inputs.items), file_name="*.csv")
+    snapshots.load_paths(warehouse, [inputs.csv_lake()], "*.csv")
     return warehouse.read(OP_COUNT_ITEM.name)
 
 
 def path_partition_columns(inputs: Inputs) -> DataFrame:
-    paths = snapshots.lake_glob(_csv_lake(inputs, inputs.items))
-    return snapshots.path_partition_columns(
-        snapshots.read_snapshots(inputs.spark, paths, "*.csv")
-    )
+    lines = snapshots.read_snapshots(inputs.spark, inputs.csv_lake(), "*.csv")
+    return snapshots.path_partition_columns(lines)
 
 
 def reload_one_snapshot(inputs: Inputs) -> DataFrame:
-    """A lake with wrong counts on some snapshots, loaded, then those directories loaded again."""
+    """A table with wrong counts in one snapshot, whose directory is then loaded again."""
     wrong = (F.col(DAY) == REWRITTEN_DAY) & (F.col(HOST) == REWRITTEN_HOST)
     spoiled = inputs.items.withColumn(
         "UseCount", F.when(wrong, F.col("UseCount") + 1000).otherwise(F.col("UseCount"))
     )
     warehouse = new_warehouse(inputs.spark)
     warehouse.write(OP_COUNT_ITEM.name, spoiled)
-    lake = _csv_lake(inputs, inputs.items)
-    snapshots.load_paths(
-        warehouse, [f"{lake}/*{REWRITTEN_HOST}/*{REWRITTEN_DAY}_*"], file_name="*.csv"
-    )
+    one_snapshot = inputs.csv_lake().replace("*/*_*", f"*{REWRITTEN_HOST}/*{REWRITTEN_DAY}_*")
+    snapshots.load_paths(warehouse, [one_snapshot], "*.csv")
     return warehouse.read(OP_COUNT_ITEM.name)
 
 
@@ -113,60 +110,36 @@ def warehouse_roundtrip_orc(inputs: Inputs) -> DataFrame:
     return warehouse.replace(OP_COUNT_ITEM.name, inputs.items)
 
 
-def _reportable(items: DataFrame) -> DataFrame:
-    """Items named as in a report: collections under their database, indexes as key specs."""
-    return items.withColumns(
-        {
-            COLLECTION: F.concat(F.lit(f"{reports.DEFAULT_DB}."), F.col(COLLECTION)),
-            INDEX: F.concat(F.lit('{ "'), F.col(INDEX), F.lit('": 1 }')),
-        }
-    )
-
-
-def _report_lake(inputs: Inputs, lines: DataFrame) -> str:
-    root = scratch_folder(inputs.spark, "reports")
-    reports.write_reports(lines, root)
-    return snapshots.lake_glob(root)
+def _numbered(inputs: Inputs, lake: str) -> DataFrame:
+    return reports.numbered_lines(reports.staged_lines(inputs.spark, lake, file_name="*.txt"))
 
 
 def clean_index_report(inputs: Inputs) -> DataFrame:
-    lake = _report_lake(inputs, reports.report_lines(_reportable(inputs.items)))
-    staged = reports.staged_lines(inputs.spark, lake, file_name="*.txt")
-    numbered = reports.numbered_lines(staged)
-    return numbered.select(
-        *snapshot_path_columns(F.col("file_path")), "line_no", "line"
-    )
+    place = snapshot_path_columns(F.col("file_path"))
+    return _numbered(inputs, inputs.report_lake()).select(*place, "line_no", "line")
 
 
 def parse_index_report(inputs: Inputs) -> DataFrame:
-    lake = _report_lake(inputs, reports.report_lines(_reportable(inputs.items)))
-    return reports.parse_reports(inputs.spark, lake, file_name="*.txt")
+    return reports.parse_reports(inputs.spark, inputs.report_lake(), file_name="*.txt")
 
 
 def report_parse_errors(inputs: Inputs) -> DataFrame:
     """Reports in which ops lines of counts ending in 9 are garbled and index lines of counts
     ending in 4 are missing."""
-    items = _reportable(inputs.items)
-    digit = F.col("UseCount") % 10
-    intact = reports.report_lines(items)
-    marked = items.select(
-        HOST,
-        F.concat_ws("_", DAY, SECOND).alias("snapshot"),
-        F.col(COLLECTION).alias("collection"),
-        F.col(INDEX).alias("index"),
-        digit.alias("digit"),
-    )
     ops = F.col("line").contains("ops: ")
+    digit = F.regexp_extract("line", r"ops: \d*(\d),", 1)
+    # The counter of an index line is on the line after it, which shares its report and index.
+    lines = reports.report_lines(reportable(inputs.items))
+    series = Window.partitionBy(*reports.REPORT, "collection", "index").orderBy("step")
     damaged = (
-        intact.join(marked, [HOST, "snapshot", "collection", "index"], "left")
+        lines.withColumn("digit", F.when(ops, digit).otherwise(F.lead(digit).over(series)))
         .withColumn(
-            "line", F.when((F.col("digit") == 9) & ops, "    node: ops: n/a").otherwise(F.col("line"))
+            "line", F.when((F.col("digit") == "9") & ops, "    node: ops: n/a").otherwise(F.col("line"))
         )
-        .filter((F.col("digit") == 4).isNull() | (F.col("digit") != 4) | ops)
+        .filter(ops | ~F.col("digit").eqNullSafe("4"))
     )
-    lake = _report_lake(inputs, damaged)
-    staged = reports.staged_lines(inputs.spark, lake, file_name="*.txt")
-    return reports.report_errors(reports.numbered_lines(staged)).drop("file_path")
+    lake = reports.write_reports(damaged, scratch_folder(inputs.spark, "reports"))
+    return reports.report_errors(_numbered(inputs, lake)).drop("file_path")
 
 
 # --- sinks -----------------------------------------------------------------------------------
@@ -237,14 +210,14 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "known_collections": lambda q: fact_ops.known_collections(q.facts),
     "distinct_snapshots": lambda q: fact_ops.distinct_snapshots(q.items),
     # timeline
-    "partition_ranges": lambda q: timeline.partition_ranges(fact_ops.distinct_snapshots(q.items)),
+    "partition_ranges": lambda q: timeline.partition_ranges(
+        fact_ops.distinct_snapshots(q.items)
+    ).drop("partition_count"),
     "partition_labels": lambda q: timeline.partition_labels(
         timeline.partition_ranges(fact_ops.distinct_snapshots(q.items))
     ),
     # labels
-    "collection_grid": lambda q: history.collection_grid(
-        fact_ops.known_collections(q.facts), q.ranges
-    ),
+    "collection_grid": lambda q: history.collection_grid(q.facts, q.ranges),
     "before_after_grid": lambda q: history.before_after_grid(q.facts, q.ranges),
     "discrete_labels": lambda q: q.discrete(),
     "discrete_labels_v1": lambda q: q.discrete("v1"),

@@ -14,7 +14,7 @@ from tallyline.operators.labels import (
     activity_policy_labels,
     discrete_labels,
 )
-from tallyline.operators.legacy import basic_sankey, initial_future_date, legacy_activity_labels
+from tallyline.operators.legacy import basic_sankey, dated_ranges, legacy_activity_labels
 from tallyline.operators.sankey import sankey_report, write_report
 from tallyline.operators.timeline import partition_ranges
 from tallyline.schema import (
@@ -89,8 +89,6 @@ def run_all(warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY) -> Dat
 def label_legacy(warehouse: Warehouse) -> None:
     """The legacy label table and its Sankey counts."""
     items, ranges = (warehouse.read(t.name) for t in (OP_COUNT_ITEM, PARTITION_RANGES))
-    horizon = stored(initial_future_date(items, ranges), "horizon")
-    labels = warehouse.replace(
-        LEGACY_ACTIVITY_LABELS.name, legacy_activity_labels(items, ranges, horizon)
-    )
+    dated = stored(dated_ranges(items, ranges), "dated-ranges")
+    labels = warehouse.replace(LEGACY_ACTIVITY_LABELS.name, legacy_activity_labels(items, dated))
     warehouse.write(BASIC_SANKEY.name, basic_sankey(labels, ranges))

@@ -1,17 +1,30 @@
-"""A warehouse filled from an event log, shared by the registered queries of one session."""
+"""What the registered queries of a session start from, written once per data folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyline.operators.facts import distinct_snapshots
 from tallyline.operators.timeline import partition_ranges
 from tallyline.plans.event_items import op_count_items
-from tallyline.schema import OP_COUNT_ITEM, PARTITION_RANGES
+from tallyline.schema import COLLECTION, INDEX, OP_COUNT_ITEM, PARTITION_RANGES
+from tallyline.sources.reports import DEFAULT_DB, report_lines, write_reports
 from tallyline.sources.scratch import scratch_folder
+from tallyline.sources.snapshots import write_snapshots
 from tallyline.sources.warehouse import Warehouse
 
-_filled: dict[tuple[str, str], Warehouse] = {}
+_prepared: dict[tuple[str, str, str], Any] = {}
+
+
+def _once(kind: str, spark: SparkSession, data_dir: str, make: Callable[[], Any]) -> Any:
+    key = (kind, spark.sparkContext.applicationId, data_dir)
+    if key not in _prepared:
+        _prepared[key] = make()
+    return _prepared[key]
 
 
 def new_warehouse(spark: SparkSession, fmt: str = "parquet") -> Warehouse:
@@ -19,13 +32,43 @@ def new_warehouse(spark: SparkSession, fmt: str = "parquet") -> Warehouse:
 
 
 def event_warehouse(spark: SparkSession, data_dir: str) -> Warehouse:
-    """Items and timeline stored once per session and data folder: the tables that the labelling
-    steps find in a warehouse. Everything else is computed by the query that asks for it."""
-    key = (spark.sparkContext.applicationId, data_dir)
-    if key not in _filled:
+    """Items and timeline, the tables that the labelling steps find in a warehouse. Everything
+    else is computed by the query that asks for it."""
+
+    def fill() -> Warehouse:
         warehouse = new_warehouse(spark)
         events = spark.read.parquet(f"{data_dir}/events.parquet")
         items = warehouse.replace(OP_COUNT_ITEM.name, op_count_items(events))
         warehouse.write(PARTITION_RANGES.name, partition_ranges(distinct_snapshots(items)))
-        _filled[key] = warehouse
-    return _filled[key]
+        return warehouse
+
+    return _once("warehouse", spark, data_dir, fill)
+
+
+def csv_lake(spark: SparkSession, data_dir: str) -> str:
+    """The items as delimited capture files; returns the glob of the capture directories."""
+    items = event_warehouse(spark, data_dir).read(OP_COUNT_ITEM.name)
+    return _once(
+        "csv", spark, data_dir, lambda: write_snapshots(items, scratch_folder(spark, "csv"))
+    )
+
+
+def report_lake(spark: SparkSession, data_dir: str) -> str:
+    """The items as raw reports; returns the glob of the capture directories."""
+    items = reportable(event_warehouse(spark, data_dir).read(OP_COUNT_ITEM.name))
+    return _once(
+        "reports",
+        spark,
+        data_dir,
+        lambda: write_reports(report_lines(items), scratch_folder(spark, "reports")),
+    )
+
+
+def reportable(items: DataFrame) -> DataFrame:
+    """Items named as in a report: collections under their database, indexes as key specs."""
+    return items.withColumns(
+        {
+            COLLECTION: F.concat(F.lit(f"{DEFAULT_DB}."), F.col(COLLECTION)),
+            INDEX: F.concat(F.lit('{ "'), F.col(INDEX), F.lit('": 1 }')),
+        }
+    )

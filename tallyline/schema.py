@@ -92,6 +92,8 @@ PARTITION_RANGES = Table(
         ("until_last_days_post", _INT), ("until_last_seconds_of", _INT),
         ("last_event_at", _STRING), ("is_last_partition", BooleanType()),
         ("ascending_label", _STRING), ("descending_label", _STRING),
+        # Snapshots of the host, so that whoever joins the timeline need not also join hosts.
+        ("partition_count", _INT),
     ),
     [HOST],
     ["partition_rank"],

@@ -17,20 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyline.functions.paths import snapshot_path_columns
-from tallyline.schema import COLLECTION, DAY, HOST, INDEX, OP_COUNT_ITEM, SECOND
+from tallyline.schema import COLLECTION, DAY, HOST, INDEX, OP_COUNT_ITEM, SECOND, SNAPSHOT
 from tallyline.sources.scratch import stored
-from tallyline.sources.snapshots import since_timestamp, utc_text
+from tallyline.sources.snapshots import lake_glob, since_timestamp, utc_text
 
 FILE_NAME = "idx.log"
 DEFAULT_DB = "loadtest"
 
 # Lines that carry no facts.
 NOISE = ("R simagix/keyhole", "is larger than the max int32", "I GetIndexes ends")
-# Fixed patterns of the line grammar.
-SPEC_LINE = r"^\{.*\}$"
+# Fixed pattern of a counter line.
 OPS_LINE = r"ops: ([0-9]+), since: (.* UTC)"
 
 _BLOCK = ["file_path", "block"]
+# Place of a written report; host and snapshot are its last two directories.
+REPORT = ["part", HOST, "snapshot"]
 
 
 def read_reports(
@@ -55,25 +56,36 @@ def read_reports(
 
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Strip text before the first ``{`` and after the last ``}``; drop blank and noise lines."""
-    text = F.regexp_replace("line", r"^[^{]+\{", "{")
-    text = F.regexp_replace(text, r"\}[^}]+$", "}")
-    cleaned = lines.withColumn("line", text).filter(F.col("line") != "")
+    line = F.col("line")
+    opened = F.when(line.contains("{"), line.substr(F.instr(line, "{"), F.length(line)))
+    opened = F.coalesce(opened, line)
+    trailing = F.length(F.substring_index(opened, "}", -1))
+    closed = F.when(
+        opened.contains("}"), opened.substr(F.lit(1), F.length(opened) - trailing)
+    )
+    cleaned = lines.withColumn("line", F.coalesce(closed, opened)).filter(line != "")
     for marker in NOISE:
-        cleaned = cleaned.filter(~F.col("line").contains(marker))
+        cleaned = cleaned.filter(~line.contains(marker))
     return cleaned
 
 
 def classified_lines(cleaned: DataFrame, db_name: str = DEFAULT_DB) -> DataFrame:
-    """Each line with its kind and, on collection lines, the collection name."""
-    literal_db = r"\Q" + db_name.replace(r"\E", r"\E\\E\Q") + r"\E"
-    name = F.regexp_extract("line", f"^({literal_db}.*):$", 1)
+    """Each line with its kind and, on collection lines, the collection name.
+
+    A collection line is ``<db>…:``, an index line ``{…}``, an opcount line holds the counter.
+    """
+    line = F.col("line")
     return cleaned.withColumn(
         "kind",
-        F.when(name != "", "collection")
-        .when(F.col("line").rlike(SPEC_LINE), "index")
-        .when(F.col("line").rlike(OPS_LINE), "opcount")
+        F.when(line.startswith(db_name) & line.endswith(":") & (F.length(line) > len(db_name)),
+               "collection")
+        .when(line.startswith("{") & line.endswith("}") & (F.length(line) > 1), "index")
+        .when(line.contains("ops: ") & line.rlike(OPS_LINE), "opcount")
         .otherwise("other"),
-    ).withColumn("collection", F.when(F.col("kind") == "collection", name))
+    ).withColumn(
+        "collection",
+        F.when(F.col("kind") == "collection", line.substr(F.lit(1), F.length(line) - 1)),
+    )
 
 
 def numbered_lines(classified: DataFrame) -> DataFrame:
@@ -205,31 +217,36 @@ def parse_reports(
     ).select(*OP_COUNT_ITEM.schema.names)
 
 
-def report_lines(items: DataFrame) -> DataFrame:
-    """The text of a report for each snapshot: lines with their place and sort order.
+def report_lines(items: DataFrame, items_per_report: int = 2_000_000) -> DataFrame:
+    """The text of the reports of each snapshot: lines with their place and sort order.
 
-    The inverse of :func:`parse_reports`, with the noise a real capture carries.
+    The inverse of :func:`parse_reports`, with the noise a real capture carries. A report is one
+    file and so one task's work; a snapshot with more than ``items_per_report`` items gets several
+    reports, each with its share of the collections.
     """
-    captured = items.withColumn("snapshot", F.concat_ws("_", DAY, SECOND))
-    place = [HOST, "snapshot"]
+    largest = items.groupBy(*SNAPSHOT).count().agg(F.max("count")).first()[0] or 0
+    parts = -(-largest // items_per_report) or 1
+    captured = items.withColumn("snapshot", F.concat_ws("_", DAY, SECOND)).withColumn(
+        "part", F.pmod(F.xxhash64(COLLECTION), F.lit(parts))
+    )
     blank = F.lit("")
 
     def lines(
         rows: DataFrame, offset: int, collection: Column, index: Column, *text: Column
     ) -> DataFrame:
         return rows.select(
-            *place,
+            *REPORT,
             collection.alias("collection"),
             index.alias("index"),
             F.posexplode(F.array(*text)).alias("step", "line"),
         ).withColumn("step", F.col("step") + offset)
 
     opening = lines(
-        captured.select(*place).distinct(),
+        captured.select(*REPORT).distinct(),
         0, blank, blank, F.lit("2024 R simagix/keyhole"), F.lit("index usage"), blank,
     )
     headers = lines(
-        captured.select(*place, COLLECTION).distinct(),
+        captured.select(*REPORT, COLLECTION).distinct(),
         3, F.col(COLLECTION), blank, F.concat(F.col(COLLECTION), F.lit(":")),
     )
     body = lines(
@@ -243,14 +260,14 @@ def report_lines(items: DataFrame) -> DataFrame:
     return opening.unionByName(headers).unionByName(body)
 
 
-def write_reports(lines: DataFrame, lake_root: str) -> None:
-    """Report lines as text, one file per snapshot directory."""
-    place = [HOST, "snapshot"]
+def write_reports(lines: DataFrame, root: str) -> str:
+    """Report lines as text files in capture directories; returns the glob of the directories."""
     (
-        lines.repartition(*place)
-        .sortWithinPartitions(*place, "collection", "index", "step")
-        .select("line", *place)
-        .write.partitionBy(*place)
+        lines.repartition(*REPORT)
+        .sortWithinPartitions(*REPORT, "collection", "index", "step")
+        .select("line", *REPORT)
+        .write.partitionBy(*REPORT)
         .mode("overwrite")
-        .text(lake_root)
+        .text(root)
     )
+    return lake_glob(f"{root}/part=*")

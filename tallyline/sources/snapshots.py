@@ -118,8 +118,9 @@ def _placed() -> Column:
     return F.col(HOST).isNotNull() & F.col(DAY).isNotNull() & F.col(SECOND).isNotNull()
 
 
-def write_snapshots(items: DataFrame, lake_root: str) -> None:
-    """Items as delimited capture files, one directory per snapshot (Hive-style names)."""
+def write_snapshots(items: DataFrame, lake_root: str) -> str:
+    """Items as delimited capture files, one directory per snapshot (Hive-style names); returns
+    the glob of the directories."""
     (
         items.select(
             COLLECTION,
@@ -136,3 +137,4 @@ def write_snapshots(items: DataFrame, lake_root: str) -> None:
         .mode("overwrite")
         .csv(lake_root)
     )
+    return lake_glob(lake_root)
