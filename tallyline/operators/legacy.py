@@ -49,8 +49,12 @@ def known_collections_legacy(items: DataFrame) -> DataFrame:
 
 
 def first_snapshot_items(items: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Items of the first snapshot of each host; other snapshot directories are pruned."""
-    return items.join(ranges.filter("is_first_partition").select(*SNAPSHOT), SNAPSHOT)
+    """Items of the first snapshot of each host.
+
+    Asked for by rank, not by the flag: a comparison counts as selective, so the planner prunes
+    all other snapshot directories at run time.
+    """
+    return items.join(ranges.filter("partition_rank = 1").select(*SNAPSHOT), SNAPSHOT)
 
 
 def initial_future_date(items: DataFrame, ranges: DataFrame) -> DataFrame:

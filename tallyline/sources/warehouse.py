@@ -53,7 +53,9 @@ class Warehouse:
     def read(self, name: str) -> DataFrame:
         """The declared schema keeps partition values as they are: host ``0456`` stays a string,
         and no footer has to be opened for inference."""
-        return self.spark.read.schema(TABLES[name].schema).format(self.fmt).load(self.path(name))
+        schema = TABLES[name].schema
+        rows = self.spark.read.schema(schema).format(self.fmt).load(self.path(name))
+        return rows.select(*schema.names)
 
     def write(self, name: str, df: DataFrame) -> None:
         """Replace the partitions that occur in ``df``.
