@@ -80,13 +80,18 @@ def _label(day: Column, sequence: Column) -> Column:
 
 
 def partition_ranges(snapshots: DataFrame) -> DataFrame:
-    """The timeline table, from distinct (host, day, second) rows."""
+    """The timeline table, from distinct (host, day, second) rows.
+
+    The rows are used twice. Filtering incomplete keys up front gives both uses the same plan, so
+    their shuffle, and the scan below it, run once.
+    """
+    complete = F.col(HOST).isNotNull() & F.col(DAY).isNotNull() & F.col(SECOND).isNotNull()
+    snapshots = snapshots.select(*SNAPSHOT).filter(complete)
     in_day = Window.partitionBy(HOST, DAY).orderBy(SECOND)
     day, second = F.col(DAY), F.col(SECOND)
 
     placed = (
-        snapshots.select(*SNAPSHOT)
-        .join(_days(snapshots), [HOST, DAY])
+        snapshots.join(_days(snapshots), [HOST, DAY])
         .withColumn("row", F.row_number().over(in_day))
         .withColumn("lag_second", F.lag(SECOND).over(in_day))
         .withColumn("lead_second", F.lead(SECOND).over(in_day))

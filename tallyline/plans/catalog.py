@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyline.functions.paths import snapshot_path_columns
 from tallyline.operators import facts as fact_ops
 from tallyline.operators import history, labels, legacy, quality, sankey, timeline
 from tallyline.plans.prepared import (
@@ -25,6 +24,7 @@ from tallyline.schema import (
     HOST,
     OP_COUNT_ITEM,
     PARTITION_RANGES,
+    SNAPSHOT,
 )
 from tallyline.sources import reports, snapshots
 from tallyline.sources.scratch import scratch_folder, stored
@@ -115,8 +115,7 @@ def _numbered(inputs: Inputs, lake: str) -> DataFrame:
 
 
 def clean_index_report(inputs: Inputs) -> DataFrame:
-    place = snapshot_path_columns(F.col("file_path"))
-    return _numbered(inputs, inputs.report_lake()).select(*place, "line_no", "line")
+    return _numbered(inputs, inputs.report_lake()).select(*SNAPSHOT, "line_no", "line")
 
 
 def parse_index_report(inputs: Inputs) -> DataFrame:

@@ -89,7 +89,7 @@ def classified_lines(cleaned: DataFrame, db_name: str = DEFAULT_DB) -> DataFrame
 
 
 def numbered_lines(classified: DataFrame) -> DataFrame:
-    """Lines with their number in the file, the collection they stand under and the line before.
+    """Lines with the snapshot and number in their file, their collection, and the line before.
 
     Line 0 opens the report and is read past, whatever it says: it starts no collection and
     precedes nothing.
@@ -127,6 +127,7 @@ def numbered_lines(classified: DataFrame) -> DataFrame:
         .withColumn("header", F.when(~F.col("header.seq").eqNullSafe(F.col("line_0")), F.col("header")))
         .select(
             *_BLOCK,
+            *snapshot_path_columns(F.col("file_path")),
             "line_0",
             F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("lines_before"),
             F.last("header", ignorenulls=True).over(earlier).alias("header_before"),
@@ -140,6 +141,7 @@ def numbered_lines(classified: DataFrame) -> DataFrame:
     )
     return placed.join(inherited, _BLOCK).select(
         "file_path",
+        *SNAPSHOT,
         line_no.alias("line_no"),
         "line",
         "kind",
@@ -174,7 +176,7 @@ def report_items(numbered: DataFrame) -> DataFrame:
         F.col("prior.line").alias(INDEX),
         F.regexp_extract("line", OPS_LINE, 1).try_cast("bigint").alias("UseCount"),
         since_timestamp(F.regexp_extract("line", OPS_LINE, 2)).alias("Since"),
-        *snapshot_path_columns(F.col("file_path")),
+        *SNAPSHOT,
     )
 
 
@@ -187,9 +189,7 @@ def report_errors(numbered: DataFrame) -> DataFrame:
         numbered.filter(F.col("line_no") > 0)
         .withColumn("expected", _expected())
         .filter(~allowed)
-        .select(
-            *snapshot_path_columns(F.col("file_path")), "file_path", "line_no", "line", "expected"
-        )
+        .select(*SNAPSHOT, "file_path", "line_no", "line", "expected")
     )
 
 
@@ -212,9 +212,7 @@ def parse_reports(
 ) -> DataFrame:
     """Items of all reports under ``paths``, in the shape of the item table."""
     items = report_items(numbered_lines(staged_lines(spark, paths, db_name, file_name)))
-    return items.filter(
-        F.col(HOST).isNotNull() & F.col(DAY).isNotNull() & F.col(SECOND).isNotNull()
-    ).select(*OP_COUNT_ITEM.schema.names)
+    return items.filter(F.col(HOST).isNotNull()).select(*OP_COUNT_ITEM.schema.names)
 
 
 def report_lines(items: DataFrame, items_per_report: int = 2_000_000) -> DataFrame:
