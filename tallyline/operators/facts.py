@@ -25,11 +25,17 @@ def index_facts(items: DataFrame, facts: DataFrame) -> DataFrame:
     ``LoadedInCollectionCount`` asks whether the owning collection is in use at all, so items meet
     their collection's facts. That is an equi join with one fact row per key: a collection with
     very many indexes is split by the adaptive skew join, which a window over the collection
-    could not be.
+    could not be. The planner splits only what comes straight from a shuffle, while facts
+    aggregated in the same plan would already lie by these keys; joining on one struct of the keys
+    makes it shuffle them, the smaller side, for the join.
     """
-    owner = facts.select(*SNAPSHOT, COLLECTION, (F.col("ActiveIndexCount") > 0).alias("loaded"))
+    named = F.col(COLLECTION).isNotNull()
+    owner = F.struct(*SNAPSHOT, COLLECTION).alias("owner")
+    owners = facts.filter(named).select(owner, (F.col("ActiveIndexCount") > 0).alias("loaded"))
     return (
-        items.join(owner, [*SNAPSHOT, COLLECTION])
+        items.filter(named)
+        .select(*SNAPSHOT, INDEX, "UseCount", owner)
+        .join(owners, "owner")
         .groupBy(*SNAPSHOT, INDEX)
         .agg(
             F.sum("UseCount").alias("UseCount"),

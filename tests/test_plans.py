@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from tallyline.operators.facts import collection_facts, index_facts
 from tallyline.plans.catalog import Inputs, registered
 from tests.conftest import SAMPLE
 
@@ -72,3 +73,26 @@ def test_no_python_and_no_cross_joins(spark):
 def test_inputs_are_shared_within_a_session(spark):
     first, second = Inputs(spark, SAMPLE), Inputs(spark, SAMPLE)
     assert first.items.inputFiles() == second.items.inputFiles()
+
+
+def test_collection_with_very_many_indexes_is_split(spark, setting):
+    for key, value in {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }.items():
+        setting(key, value)
+    # Collection 0 holds half of all items.
+    collection = "if(id % 2 = 0, 'c0', concat('c', id % 1000))"
+    items = spark.range(0, 40000, 1, 8).selectExpr(
+        f"{collection} AS CollectionName", "concat('i', id) AS IndexName", "id % 3 AS UseCount",
+        "'h' AS mongo_hostname", "1 AS days_post_epoch", "1 AS seconds_of_day",
+    )
+    df = index_facts(items, collection_facts(items))
+    assert df.filter("LoadedInCollectionCount = 1").count() > 0
+    rows = df.collect()
+    assert len(rows) == 40000
+    assert "isSkew=true" in plan_of(df) or "skew=true" in plan_of(df)
