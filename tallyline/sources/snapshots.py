@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyline.functions.paths import snapshot_path_columns
@@ -17,7 +19,7 @@ FILE_NAME = "allCollectionIndices.csv"
 SINCE_PATTERN = "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS] Z z"
 
 # By position: the header line is skipped and its names ignored.
-_LINE = StructType(
+LINE = StructType(
     [
         StructField(COLLECTION, StringType()),
         StructField(INDEX, StringType()),
@@ -25,6 +27,8 @@ _LINE = StructType(
         StructField("Since", StringType()),
     ]
 )
+Reader = TypeVar("Reader", DataFrameReader, DataStreamReader)
+
 _REQUIRED = [COLLECTION, INDEX, "UseCount", "Since"]
 
 
@@ -43,6 +47,16 @@ def lake_glob(lake_root: str, host: str = "*") -> str:
     return f"{lake_root.rstrip('/')}/{host}/*_*"
 
 
+def csv_options(reader: Reader, file_name: str) -> Reader:
+    """The format of capture files, for a batch or a streaming reader."""
+    return (
+        reader.option("sep", "|")
+        .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("pathGlobFilter", file_name)
+    )
+
+
 def read_snapshots(
     spark: SparkSession, paths: str | Sequence[str], file_name: str = FILE_NAME
 ) -> DataFrame:
@@ -51,15 +65,8 @@ def read_snapshots(
     A field that does not parse is NULL; a path that is not a capture directory leaves host, day
     and second NULL. Nothing is dropped here.
     """
-    lines = (
-        spark.read.schema(_LINE)
-        .option("sep", "|")
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", file_name)
-        .csv([paths] if isinstance(paths, str) else list(paths))
-    )
-    return with_snapshot_columns(lines)
+    reader = csv_options(spark.read.schema(LINE), file_name)
+    return with_snapshot_columns(reader.csv([paths] if isinstance(paths, str) else list(paths)))
 
 
 def with_snapshot_columns(lines: DataFrame) -> DataFrame:

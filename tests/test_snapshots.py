@@ -19,6 +19,7 @@ from tallyline.sources.snapshots import (
     write_snapshots,
 )
 from tallyline.sources.warehouse import Warehouse
+from tallyline.streaming.ingest import load_new_snapshots
 
 HEADER = "VariomeName|IndexName|UseCount|Since\n"
 SINCE = "2024-01-01 10:00:00.250 +0000 UTC"
@@ -114,3 +115,22 @@ def test_written_captures_read_back(spark, setting, tmp_path, zone):
     setting("spark.sql.session.timeZone", zone)
     again = read_snapshots(spark, write_snapshots(items, str(tmp_path / "b")), "*.csv")
     assert placed_items(again).collect() == expected
+
+
+def test_only_new_captures_are_loaded(spark, tmp_path):
+    lake, progress = tmp_path / "lake", str(tmp_path / "progress")
+    warehouse = Warehouse(spark, str(tmp_path / "parquet"))
+
+    def loaded():
+        rows = warehouse.read("opCountItem").collect()
+        return sorted((r.mongo_hostname, r.days_post_epoch, r.UseCount) for r in rows)
+
+    capture(lake, "h", "19723_1", f"c|i|1|{SINCE}")
+    capture(lake, "g", "19723_1", f"c|i|2|{SINCE}")
+    load_new_snapshots(warehouse, str(lake), progress, files_per_batch=1)
+    assert loaded() == [("g", 19723, 2), ("h", 19723, 1)]
+    # A file already loaded is not read again; a new one is.
+    (lake / "h" / "19723_1" / FILE_NAME).unlink()
+    capture(lake, "h", "19724_1", f"c|i|3|{SINCE}")
+    load_new_snapshots(warehouse, str(lake), progress)
+    assert loaded() == [("g", 19723, 2), ("h", 19723, 1), ("h", 19724, 3)]
