@@ -13,7 +13,6 @@ from tallyline.operators import history, labels, legacy, quality, sankey, timeli
 from tallyline.plans.prepared import (
     csv_lake,
     event_warehouse,
-    new_warehouse,
     report_lake,
     reportable,
 )
@@ -28,6 +27,7 @@ from tallyline.schema import (
 )
 from tallyline.sources import reports, snapshots
 from tallyline.sources.scratch import scratch_folder, stored
+from tallyline.sources.warehouse import Warehouse
 
 # Fixed parameters of the registered queries.
 LABEL_DAYS = (19730, 19745)
@@ -82,7 +82,7 @@ class Inputs:
 
 
 def load_snapshot_csv(inputs: Inputs) -> DataFrame:
-    warehouse = new_warehouse(inputs.spark)
+    warehouse = Warehouse.scratch(inputs.spark)
     snapshots.load_paths(warehouse, [inputs.csv_lake()], "*.csv")
     return warehouse.read(OP_COUNT_ITEM.name)
 
@@ -98,7 +98,7 @@ def reload_one_snapshot(inputs: Inputs) -> DataFrame:
     spoiled = inputs.items.withColumn(
         "UseCount", F.when(wrong, F.col("UseCount") + 1000).otherwise(F.col("UseCount"))
     )
-    warehouse = new_warehouse(inputs.spark)
+    warehouse = Warehouse.scratch(inputs.spark)
     warehouse.write(OP_COUNT_ITEM.name, spoiled)
     one_snapshot = inputs.csv_lake().replace("*/*_*", f"*{REWRITTEN_HOST}/*{REWRITTEN_DAY}_*")
     snapshots.load_paths(warehouse, [one_snapshot], "*.csv")
@@ -106,7 +106,7 @@ def reload_one_snapshot(inputs: Inputs) -> DataFrame:
 
 
 def warehouse_roundtrip_orc(inputs: Inputs) -> DataFrame:
-    warehouse = new_warehouse(inputs.spark, "orc")
+    warehouse = Warehouse.scratch(inputs.spark, "orc")
     return warehouse.replace(OP_COUNT_ITEM.name, inputs.items)
 
 
@@ -152,7 +152,7 @@ def _shifted(df: DataFrame, condition: Column) -> DataFrame:
 
 def overwrite_dynamic(inputs: Inputs) -> DataFrame:
     """Write all collection facts, then write the later days again with other counts."""
-    warehouse = new_warehouse(inputs.spark)
+    warehouse = Warehouse.scratch(inputs.spark)
     stored_facts = warehouse.replace(COLLECTION_OPS_AGG.name, inputs.facts)
     later = F.col(DAY) >= REWRITTEN_DAY
     rewritten = stored(_shifted(stored_facts.filter(later), later), "rewritten")
@@ -161,7 +161,7 @@ def overwrite_dynamic(inputs: Inputs) -> DataFrame:
 
 def overwrite_dynamic_host(inputs: Inputs) -> DataFrame:
     """The same on a table partitioned by host: one host's history is replaced as a whole."""
-    warehouse = new_warehouse(inputs.spark)
+    warehouse = Warehouse.scratch(inputs.spark)
     name = COLLECTION_POLICY_LABELS.name
     stored_labels = warehouse.replace(name, inputs.policy())
     one_host = F.col(HOST) == REWRITTEN_HOST
@@ -173,11 +173,14 @@ def overwrite_dynamic_host(inputs: Inputs) -> DataFrame:
 
 
 def index_ops_agg_recompute(inputs: Inputs) -> DataFrame:
-    return fact_ops.recompute_facts(inputs.items, new_warehouse(inputs.spark))[1]
+    return fact_ops.recompute_facts(inputs.items, Warehouse.scratch(inputs.spark))[1]
 
 
 def _with_copies(table: DataFrame) -> DataFrame:
-    return table.unionByName(table.filter((F.col(DAY) == COPIED_DAY) & (F.col("UseCount") > 0)))
+    """The table with a second copy of some rows, in one pass over it."""
+    copied = (F.col(DAY) == COPIED_DAY) & (F.col("UseCount") > 0)
+    copies = F.when(copied, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return table.withColumn("copy", F.explode(copies)).drop("copy")
 
 
 def change_navigation(inputs: Inputs) -> DataFrame:

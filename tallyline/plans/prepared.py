@@ -27,16 +27,12 @@ def _once(kind: str, spark: SparkSession, data_dir: str, make: Callable[[], Any]
     return _prepared[key]
 
 
-def new_warehouse(spark: SparkSession, fmt: str = "parquet") -> Warehouse:
-    return Warehouse(spark, scratch_folder(spark, "warehouse"), fmt)
-
-
 def event_warehouse(spark: SparkSession, data_dir: str) -> Warehouse:
     """Items and timeline, the tables that the labelling steps find in a warehouse. Everything
     else is computed by the query that asks for it."""
 
     def fill() -> Warehouse:
-        warehouse = new_warehouse(spark)
+        warehouse = Warehouse.scratch(spark)
         events = spark.read.parquet(f"{data_dir}/events.parquet")
         items = warehouse.replace(OP_COUNT_ITEM.name, op_count_items(events))
         warehouse.write(PARTITION_RANGES.name, partition_ranges(distinct_snapshots(items)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.schema import TABLES
+from tallyline.sources.scratch import scratch_folder
 
 FORMATS = ("orc", "parquet")
 # The path schemes a root may use; otherwise it must be absolute.
@@ -47,6 +48,14 @@ class Warehouse:
         self.root = validate_root(root)
         self.fmt = infer_format(self.root, fmt)
 
+    @classmethod
+    def scratch(cls, spark: SparkSession, fmt: str = "parquet") -> Warehouse:
+        """A warehouse in the shared scratch folder, on whatever scheme the cluster gave it."""
+        warehouse = cls.__new__(cls)
+        warehouse.spark, warehouse.root = spark, scratch_folder(spark, "warehouse")
+        warehouse.fmt = infer_format(warehouse.root, fmt)
+        return warehouse
+
     def path(self, name: str) -> str:
         return f"{self.root}/{TABLES[name].name}"
 
