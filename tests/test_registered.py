@@ -7,11 +7,13 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from oracle.statements import statements
 from tests.compare import difference, duck
+from tallyline.plans.catalog import registered
 from tests.conftest import SAMPLE
 
-QUERIES = contract.queries()
-STATEMENTS = contract.oracle_sql()
+QUERIES = registered()
+STATEMENTS = statements()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +23,7 @@ def connection():
 
 def test_every_query_has_a_statement():
     assert QUERIES.keys() == STATEMENTS.keys()
+    assert QUERIES.keys() <= contract.queries().keys()
 
 
 @pytest.mark.parametrize("name", QUERIES)
