@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyline.llm import packing
+from tallyline.llm import decontamination, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +16,27 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, data_dir: str) -> DataFrame:
+    found = decontamination.contamination(
+        table(spark, data_dir, "documents"), table(spark, data_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op5_packing(spark: SparkSession, data_dir: str) -> DataFrame:
     return packing.pack(table(spark, data_dir, "documents"))
 
 
 def registered() -> dict[str, Query]:
     return {
+        "op2_decontamination": op2_decontamination,
         "op5_packing": op5_packing,
     }
 
