@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, packing
+from tallyline.llm import decontamination, packing, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,10 +34,18 @@ def op5_packing(spark: SparkSession, data_dir: str) -> DataFrame:
     return packing.pack(table(spark, data_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.deduplicate(table(spark, data_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
         "op2_decontamination": op2_decontamination,
         "op5_packing": op5_packing,
+        "op7_suffix_dedup": op7_suffix_dedup,
     }
 
 

@@ -32,3 +32,43 @@ def contamination(docs, items, size=10):
         digest = hashlib.sha256(names.encode()).hexdigest()
         out.append((doc, len(words), len(hit), len({x for x in found if x is not None}), digest, bool(hit)))
     return out
+
+
+def repeated_spans(texts, length):
+    """Which units of each sequence lie in a run of ``length`` units that starts twice anywhere."""
+    starts = Counter(
+        bytes(t[i : i + length]) if isinstance(t, bytes) else tuple(t[i : i + length])
+        for t in texts
+        for i in range(len(t) - length + 1)
+    )
+    out = []
+    for t in texts:
+        gone = [False] * len(t)
+        until = 0
+        for i in range(len(t) - length + 1):
+            key = bytes(t[i : i + length]) if isinstance(t, bytes) else tuple(t[i : i + length])
+            if starts[key] > 1:
+                for k in range(max(i, until), i + length):
+                    gone[k] = True
+                until = i + length
+        out.append(gone)
+    return out
+
+
+def suffix_dedup(docs, length=200):
+    texts = [(text or "").encode() for _, text in docs]
+    out = []
+    for (doc, _), text, gone in zip(docs, texts, repeated_spans(texts, length)):
+        kept = bytes(b for b, g in zip(text, gone) if not g)
+        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((doc, len(text), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def phrase_dedup(docs, length=35):
+    texts = [DARK.findall(text or "") for _, text in docs]
+    out = []
+    for (doc, _), words, gone in zip(docs, texts, repeated_spans(texts, length)):
+        kept = " ".join(w for w, g in zip(words, gone) if not g)
+        out.append((doc, len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
