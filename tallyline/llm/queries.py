@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, packing, suffix_dedup
+from tallyline.llm import decontamination, packing, phrase_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,11 +41,17 @@ def op7_suffix_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+def op10_phrase_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
+    cleaned = phrase_dedup.deduplicate(table(spark, data_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op2_decontamination": op2_decontamination,
         "op5_packing": op5_packing,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op10_phrase_dedup": op10_phrase_dedup,
     }
 
 
