@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, packing, phrase_dedup, suffix_dedup
+from tallyline.llm import decontamination, near_dedup, packing, phrase_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op2_decontamination(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
+    return near_dedup.near_copies(table(spark, data_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, data_dir: str) -> DataFrame:
     return packing.pack(table(spark, data_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_phrase_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {
         "op2_decontamination": op2_decontamination,
+        "op3_near_dedup": op3_near_dedup,
         "op5_packing": op5_packing,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op10_phrase_dedup": op10_phrase_dedup,

@@ -72,3 +72,30 @@ def phrase_dedup(docs, length=35):
         kept = " ".join(w for w, g in zip(words, gone) if not g)
         out.append((doc, len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def near_dedup(docs, size=5, percent=75):
+    sets = {}
+    for doc, text in docs:
+        words = DARK.findall((text or "").translate(LOWER))
+        n = min(size, len(words))
+        sets[doc] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+    root = {doc: doc for doc in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = defaultdict(list)
+    for doc in sets:
+        for shingle in sets[doc]:
+            holders[shingle].append(doc)
+    common = Counter()
+    for group in holders.values():
+        common.update((a, b) for a in group for b in group if a < b)
+    for (a, b), n in common.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return [(doc, len(sets[doc]), find(doc), find(doc) == doc) for doc in sets]
