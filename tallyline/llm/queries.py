@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, near_dedup, packing, phrase_dedup, suffix_dedup
+from tallyline.llm import (
+    decontamination,
+    language_id,
+    near_dedup,
+    packing,
+    phrase_dedup,
+    suffix_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +41,14 @@ def op3_near_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, data_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, data_dir: str) -> DataFrame:
+    docs = table(spark, data_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    models = language_id.trained(docs.where(~held_out))
+    found = language_id.identified(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_packing(spark: SparkSession, data_dir: str) -> DataFrame:
     return packing.pack(table(spark, data_dir, "documents"))
 
@@ -54,6 +69,7 @@ def registered() -> dict[str, Query]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_near_dedup": op3_near_dedup,
+        "op4_language_id": op4_language_id,
         "op5_packing": op5_packing,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op10_phrase_dedup": op10_phrase_dedup,
