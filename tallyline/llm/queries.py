@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm import (
     decontamination,
+    fingerprints,
     language_id,
     near_dedup,
     packing,
@@ -53,6 +54,10 @@ def op5_packing(spark: SparkSession, data_dir: str) -> DataFrame:
     return packing.pack(table(spark, data_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, data_dir: str) -> DataFrame:
+    return fingerprints.compared_with_next(table(spark, data_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     cleaned = suffix_dedup.deduplicate(table(spark, data_dir, "documents"))
     return cleaned.select(
@@ -71,6 +76,7 @@ def registered() -> dict[str, Query]:
         "op3_near_dedup": op3_near_dedup,
         "op4_language_id": op4_language_id,
         "op5_packing": op5_packing,
+        "op6_fingerprints": op6_fingerprints,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op10_phrase_dedup": op10_phrase_dedup,
     }
