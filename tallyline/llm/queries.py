@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import (
@@ -15,6 +15,7 @@ from tallyline.llm import (
     packing,
     phrase_dedup,
     suffix_dedup,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +66,19 @@ def op7_suffix_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, data_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, data_dir, "pages"))
+
+    def page(urn: str) -> Column:
+        digits = F.regexp_extract(urn, "^<urn:page:(-?[0-9]+):", 1)
+        return F.when(digits != "", digits.cast("long"))
+
+    return found.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), page("refers_to").alias("refers_to"),
+    )
+
+
 def op10_phrase_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     cleaned = phrase_dedup.deduplicate(table(spark, data_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -78,6 +92,7 @@ def registered() -> dict[str, Query]:
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op9_warc": op9_warc,
         "op10_phrase_dedup": op10_phrase_dedup,
     }
 
