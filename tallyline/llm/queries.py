@@ -14,6 +14,7 @@ from tallyline.llm import (
     near_dedup,
     packing,
     phrase_dedup,
+    quality,
     suffix_dedup,
     warc,
 )
@@ -66,6 +67,12 @@ def op7_suffix_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, data_dir: str) -> DataFrame:
+    labels = table(spark, data_dir, "labels")
+    trusted = labels.select("doc_id", (F.expr("quality = 1 and coalesce(toxic, 0) = 0")).alias("trusted"))
+    return quality.classified(table(spark, data_dir, "documents"), trusted)
+
+
 def op9_warc(spark: SparkSession, data_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, data_dir, "pages"))
 
@@ -92,6 +99,7 @@ def registered() -> dict[str, Query]:
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_quality": op8_quality,
         "op9_warc": op9_warc,
         "op10_phrase_dedup": op10_phrase_dedup,
     }
