@@ -11,6 +11,7 @@ from tallyline.llm import (
     decontamination,
     fingerprints,
     language_id,
+    lm_scoring,
     near_dedup,
     packing,
     phrase_dedup,
@@ -26,6 +27,11 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, data_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
+    return lm_scoring.scores(table(spark, data_dir, "documents"), held_out)
+
+
 def op2_decontamination(spark: SparkSession, data_dir: str) -> DataFrame:
     found = decontamination.contamination(
         table(spark, data_dir, "documents"), table(spark, data_dir, "benchmark")
@@ -93,6 +99,7 @@ def op10_phrase_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_decontamination": op2_decontamination,
         "op3_near_dedup": op3_near_dedup,
         "op4_language_id": op4_language_id,

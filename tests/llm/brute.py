@@ -99,3 +99,20 @@ def near_dedup(docs, size=5, percent=75):
             a, b = sorted((find(a), find(b)))
             root[b] = a
     return [(doc, len(sets[doc]), find(doc), find(doc) == doc) for doc in sets]
+
+
+def base_scores(docs, held_out):
+    """docs: (id, text); returns (id, held_out, n_tokens, n_known, train_tokens, base_score)."""
+    from math import log10
+
+    end = object()
+    tokens = {doc: [*DARK.findall((text or "").translate(LOWER)), end] for doc, text in docs}
+    counts = Counter(t for doc in tokens if not held_out(doc) for t in tokens[doc])
+    total, kinds = sum(counts.values()), len(counts)
+    return [
+        (
+            doc, held_out(doc), len(own), sum(counts[t] > 0 for t in own), total,
+            sum(log10((counts[t] + 1) / (total + kinds + 1)) for t in own),
+        )
+        for doc, own in tokens.items()
+    ]
