@@ -98,7 +98,7 @@ def trained(
         made = attention.to_bytes(attention.train(start, stream, steps, RATE, seed=1))
         return pa.table([pa.array([made], pa.binary())], names=["weights"])
 
-    made = sample.select("text").groupBy(F.lit(0)).applyInArrow(run, "weights binary").first()
+    made = sample.select("text", F.lit(0).alias("one")).groupBy("one").applyInArrow(run, "weights binary").first()
     return attention.from_bytes(made.weights) if made else first
 
 
