@@ -1,0 +1,56 @@
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pytest
+
+from tallyline.llm.fingerprints import compared_with_next, edited, fingerprint, likeness, of_texts
+from tests.llm.fixtures import documents, empty, pairs
+
+
+def test_against_plain_neighbours(spark):
+    docs = documents(spark, extra=True)
+    rows = {r.doc_id: r for r in compared_with_next(docs).collect()}
+    ordered = sorted((doc, text or "") for doc, text in pairs(docs))
+    assert len(rows) == len(ordered)
+    prints = {doc: of_texts([text.encode()])[0].tobytes().hex() for doc, text in ordered}
+    for (doc, text), (after, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        changed = edited(text, following)
+        assert rows[doc].n_chars == len(text)
+        assert rows[doc].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert rows[doc].fingerprint == prints[doc]
+        assert rows[doc].edited_fingerprint == of_texts([changed.encode()])[0].tobytes().hex()
+        one, two = (of_texts([t.encode()]) for t in (text, following))
+        assert rows[doc].near_next == pytest.approx(likeness(one, two)[0])
+        assert 0 <= rows[doc].near_edited <= 1
+    natural = [r for doc, r in rows.items() if doc < 1000 and r.n_chars > 200]
+    assert np.mean([r.near_edited > r.near_next for r in natural]) > 0.95
+
+
+@pytest.mark.parametrize(("text", "following", "wanted"), [
+    ("abcdef", "xyz123", "abcxyz"), ("abcde", "x", "abcx"), ("a", "b", "a"), ("", "b", ""), ("éèê", "日本", "éè日"),
+])
+def test_edits(text, following, wanted):
+    assert edited(text, following) == wanted
+
+
+def test_equal_texts_and_bounds(spark):
+    data = np.random.default_rng(1).integers(0, 256, (2, 4000)).astype(np.uint8)
+    one, two, none = (of_texts([x]) for x in (data[0].tobytes(), data[1].tobytes(), b""))
+    assert likeness(one, one)[0] == 1.0 and 0 <= likeness(one, none)[0] < likeness(one, two)[0] < 1
+    small = of_texts([data[0].tobytes()[:2000] + data[0].tobytes()[1990:]])
+    assert likeness(one, small)[0] > likeness(one, two)[0]
+    docs = spark.createDataFrame([(1, "same text"), (2, "same text"), (3, None), (4, "")], "doc_id long, text string")
+    a, b, c, d = (r[0] for r in docs.orderBy("doc_id").select(fingerprint("text")).collect())
+    assert a == b != c == d
+
+
+def test_one_document_no_documents_and_equal_ids(spark):
+    one = spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")
+    assert compared_with_next(one).first().edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
+    assert compared_with_next(empty(spark)).collect() == []
+    rows = [(1, "bbbb"), (1, "aaaa"), (None, "cccc"), (2, "dddd")]
+    found = compared_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    digests = {hashlib.sha256(t).hexdigest() for t in (b"aabb", b"bbdd", b"ccaa", b"ddcc")}
+    assert {r.edited_sha256 for r in found} == digests
