@@ -36,6 +36,7 @@ SEGMENT = 1 << 15
 VERSION = b"WARC/1.1\r\n"
 RECORD_END = b"\r\n\r\n"
 BOUNDARY = RECORD_END + VERSION
+_LINE = VERSION.rstrip()  # its line end may come from the framing
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -144,14 +145,21 @@ def whole_characters(data: bytes, at: int) -> int:
 
 
 def chunked(payload: bytes, size: int) -> Iterator[bytes]:
-    """HTTP chunks of about ``size`` bytes, none of which holds a record boundary."""
+    """HTTP chunks of about ``size`` bytes. No record boundary is left in or arises from them: one in
+    the payload is parted before its version line, and a version line after a line end that would
+    begin a chunk, right after the line end of the chunk's size, is parted from it."""
     begin = 0
     while begin < len(payload):
-        end = max(whole_characters(payload, begin + size), begin + 1) if begin + size < len(payload) else len(payload)
-        while end < len(payload) and payload[end] & 0xC0 == 0x80:
-            end += 1
-        looks_so = payload.find(BOUNDARY, begin, end + len(BOUNDARY))
-        if looks_so >= 0:
+        end = begin + size
+        if payload.startswith(b"\r\n" + _LINE, begin):
+            end = begin + 2
+        elif end < len(payload):
+            end = max(whole_characters(payload, end), begin + 1)
+            while end < len(payload) and payload[end] & 0xC0 == 0x80:
+                end += 1
+        looks_so = payload.find(RECORD_END + _LINE, begin, end + len(BOUNDARY))
+        end = min(end, len(payload))
+        if begin <= looks_so < end:
             end = min(end, looks_so + len(RECORD_END))
         yield b"%x\r\n" % (end - begin) + payload[begin:end] + b"\r\n"
         begin = end
@@ -173,11 +181,13 @@ def unchunked(body: bytes) -> bytes:
 
 
 def segments(block: bytes, size: int) -> list[bytes]:
-    """The block in parts of about ``size`` bytes; no part but the first begins like a record."""
+    """The block in parts of about ``size`` bytes. No part but the first begins with a version line or
+    a line end and one, which would look like a boundary after the record's header."""
+    like_record = (_LINE, b"\r\n" + _LINE)
     parts, begin = [], 0
     while len(block) - begin > size:
         end = max(whole_characters(block, begin + size), begin + 1)
-        while block[end : end + 1] and (block[end] & 0xC0 == 0x80 or block.startswith(VERSION, end)):
+        while block[end : end + 1] and (block[end] & 0xC0 == 0x80 or block.startswith(like_record, end)):
             end += 1
         parts.append(block[begin:end])
         begin = end
