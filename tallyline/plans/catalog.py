@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tallyline.operators import facts as fact_ops
 from tallyline.operators import history, labels, legacy, quality, sankey, timeline
+from tallyline.plans import report_captures
 from tallyline.plans.prepared import (
     csv_lake,
     event_warehouse,
@@ -128,8 +129,8 @@ def report_parse_errors(inputs: Inputs) -> DataFrame:
     ops = F.col("line").contains("ops: ")
     digit = F.regexp_extract("line", r"ops: \d*(\d),", 1)
     # The counter of an index line is on the line after it, which shares its report and index.
-    lines = reports.report_lines(reportable(inputs.items))
-    series = Window.partitionBy(*reports.REPORT, "collection", "index").orderBy("step")
+    lines = report_captures.report_lines(reportable(inputs.items))
+    series = Window.partitionBy(*report_captures.REPORT, "collection", "index").orderBy("step")
     damaged = (
         lines.withColumn("digit", F.when(ops, digit).otherwise(F.lead(digit).over(series)))
         .withColumn(
@@ -137,7 +138,7 @@ def report_parse_errors(inputs: Inputs) -> DataFrame:
         )
         .filter(ops | ~F.col("digit").eqNullSafe("4"))
     )
-    lake = reports.write_reports(damaged, scratch_folder(inputs.spark, "reports"))
+    lake = report_captures.write_reports(damaged, scratch_folder(inputs.spark, "reports"))
     return reports.report_errors(_numbered(inputs, lake)).drop("file_path")
 
 

@@ -15,7 +15,6 @@ from tallyline.functions.clock import SECONDS_PER_DAY, event_epoch
 from tallyline.schema import COLLECTION, DAY, HOST, INDEX, OP_COUNT_ITEM, SECOND
 
 # Fixed values of the mapping.
-FIRST_DAY, LAST_DAY = 19723, 19752
 RESET_DAY = 19743
 USAGE_VALUE = 80
 GAP_DAYS = (19733, 19735)
@@ -38,9 +37,9 @@ def _has_extra(host: Column, day: Column) -> Column:
     return (host == 3) & (day % 5 == 0)
 
 
-def _snapshots(host: Column) -> Column:
+def _snapshots(host: Column, first_day: int, last_day: int) -> Column:
     """Array of the captures of a host."""
-    days = F.sequence(F.lit(FIRST_DAY), F.lit(LAST_DAY))
+    days = F.sequence(F.lit(first_day), F.lit(last_day))
 
     def capture(day: Column, second: Column) -> Column:
         return F.struct(day.cast("int").alias("day"), second.cast("int").alias("second"))
@@ -53,8 +52,9 @@ def _snapshots(host: Column) -> Column:
 
 
 def op_count_items(events: DataFrame) -> DataFrame:
-    """The item table. Work grows with the events and with collections times captures; the only
-    per-group state is one series of captures per index."""
+    """The item table, with captures from the day of the first event to that of the last. Work grows
+    with the events and with collections times captures; the only per-group state is one series
+    of captures per index."""
     epoch = F.unix_seconds(F.col("ts").cast("timestamp"))
     log = events.select(
         F.col("user_id").alias("u"),
@@ -64,14 +64,16 @@ def op_count_items(events: DataFrame) -> DataFrame:
         F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"),
         (F.col("user_id") % 3 + 1).cast("int").alias("h"),
     )
-    return _items(_collections(log), _uses(log))
+    ends = log.agg(F.min("t").alias("first"), F.max("t").alias("last")).first()
+    first_day, last_day = ((t or 0) // SECONDS_PER_DAY for t in (ends.first, ends.last))
+    return _items(_collections(log), _uses(log, first_day, last_day), first_day, last_day)
 
 
 def _collections(log: DataFrame) -> DataFrame:
     return log.groupBy("u", "e", "h").agg(F.min("t").alias("ft"))
 
 
-def _uses(log: DataFrame) -> DataFrame:
+def _uses(log: DataFrame, first_day: int, last_day: int) -> DataFrame:
     """Uses per index and first capture at or after them."""
     used = log.filter(F.col("value") >= USAGE_VALUE).withColumn(
         "d", F.floor(F.col("t") / SECONDS_PER_DAY).cast("int")
@@ -90,19 +92,19 @@ def _uses(log: DataFrame) -> DataFrame:
     # A use from before a counter reset is gone from captures after it.
     lost = resets & (F.col(DAY) >= RESET_DAY) & (F.col("t") < RESET_DAY * SECONDS_PER_DAY)
     return (
-        used.withColumn(DAY, F.greatest(capture_day, F.lit(FIRST_DAY)).cast("int"))
+        used.withColumn(DAY, F.greatest(capture_day, F.lit(first_day)).cast("int"))
         .withColumn(SECOND, capture_second.cast("int"))
-        .filter((F.col(DAY) <= LAST_DAY) & ~lost)
+        .filter((F.col(DAY) <= last_day) & ~lost)
         .withColumn(INDEX, F.when(F.col("k") >= 50, "k_hi").otherwise("k_lo"))
         .groupBy("u", "e", INDEX, DAY, SECOND)
         .agg(F.count("*").alias("uses"))
     )
 
 
-def _items(collections: DataFrame, uses: DataFrame) -> DataFrame:
+def _items(collections: DataFrame, uses: DataFrame, first_day: int, last_day: int) -> DataFrame:
     u, day = F.col("u"), F.col(DAY)
     grid = (
-        collections.withColumn("snapshot", F.explode(_snapshots(F.col("h"))))
+        collections.withColumn("snapshot", F.explode(_snapshots(F.col("h"), first_day, last_day)))
         .withColumn(INDEX, F.explode(F.array(F.lit("k_lo"), F.lit("k_hi"))))
         .withColumn(DAY, F.col("snapshot.day"))
         .withColumn(SECOND, F.col("snapshot.second"))
@@ -129,7 +131,7 @@ def _items(collections: DataFrame, uses: DataFrame) -> DataFrame:
     )
     since = (
         F.when(F.col("after_reset"), RESET_DAY * SECONDS_PER_DAY)
-        .when(u % 2 == 0, (FIRST_DAY - 1) * SECONDS_PER_DAY)
+        .when(u % 2 == 0, (first_day - 1) * SECONDS_PER_DAY)
         .otherwise(F.col("ft"))
     )
     return (

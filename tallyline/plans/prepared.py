@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tallyline.operators.facts import distinct_snapshots
 from tallyline.operators.timeline import partition_ranges
 from tallyline.plans.event_items import op_count_items
+from tallyline.plans.report_captures import report_lines, write_reports
 from tallyline.schema import COLLECTION, INDEX, OP_COUNT_ITEM, PARTITION_RANGES
-from tallyline.sources.reports import DEFAULT_DB, report_lines, write_reports
+from tallyline.sources.reports import DEFAULT_DB
 from tallyline.sources.scratch import scratch_folder
 from tallyline.sources.snapshots import write_snapshots
 from tallyline.sources.warehouse import Warehouse

@@ -1,11 +1,12 @@
-"""Raw index reports: plain text, one file per capture.
+"""Raw index reports: plain text, one per capture directory, in one file or several.
 
 A report holds, per collection, a header line ``<db>…:`` and, per index, a ``{…}`` line followed
 by a line with ``ops: <n>, since: <time> UTC``. What a line means depends on the lines before it,
-so order matters; yet one file may be far larger than a task can hold. Files are therefore read
-line by line in ordinary splits. A split (file, block) is at most ``maxPartitionBytes`` long, so
-windows run inside a block only, and what a block inherits from earlier blocks of its file (line
-count, latest header, last line) comes from a one-row-per-block summary.
+so order matters; yet one report may be far larger than a task can hold. A report may therefore
+be cut into files whose names sort in its order, and files are read in ordinary splits. A split
+(file, block) is at most ``maxPartitionBytes`` long, so windows run inside a block only, and what
+a block inherits from earlier blocks of its report (line count, latest header, last line) comes
+from a one-row-per-block summary.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyline.functions.paths import snapshot_path_columns
-from tallyline.schema import COLLECTION, DAY, HOST, INDEX, OP_COUNT_ITEM, SECOND, SNAPSHOT
+from tallyline.schema import COLLECTION, HOST, INDEX, OP_COUNT_ITEM, SNAPSHOT
 from tallyline.sources.scratch import stored
-from tallyline.sources.snapshots import lake_glob, since_timestamp, utc_text
+from tallyline.sources.snapshots import since_timestamp
 
+# Fixed names: the file of a capture, and the database whose collections are reported.
 FILE_NAME = "idx.log"
 DEFAULT_DB = "loadtest"
 
@@ -30,8 +32,6 @@ NOISE = ("R simagix/keyhole", "is larger than the max int32", "I GetIndexes ends
 OPS_LINE = r"ops: ([0-9]+), since: (.* UTC)"
 
 _BLOCK = ["file_path", "block"]
-# Place of a written report; host and snapshot are its last two directories.
-REPORT = ["part", HOST, "snapshot"]
 
 
 def read_reports(
@@ -89,7 +89,7 @@ def classified_lines(cleaned: DataFrame, db_name: str = DEFAULT_DB) -> DataFrame
 
 
 def numbered_lines(classified: DataFrame) -> DataFrame:
-    """Lines with the snapshot and number in their file, their collection, and the line before.
+    """Lines with the snapshot and number in their report, their collection, and the line before.
 
     Line 0 opens the report and is read past, whatever it says: it starts no collection and
     precedes nothing.
@@ -111,8 +111,9 @@ def numbered_lines(classified: DataFrame) -> DataFrame:
         F.lag(line).over(in_block).alias("prior_here"),
     )
 
-    # One row per block, then what each block inherits from those before it in its file.
-    by_block = Window.partitionBy("file_path").orderBy("block")
+    # One row per block, then what each block inherits from those before it in its report.
+    directory = F.regexp_replace("file_path", "/[^/]*$", "")
+    by_block = Window.partitionBy(directory).orderBy(*_BLOCK)
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     opening = F.lag("first_seq").over(by_block).isNull()
     inherited = (
@@ -213,59 +214,3 @@ def parse_reports(
     """Items of all reports under ``paths``, in the shape of the item table."""
     items = report_items(numbered_lines(staged_lines(spark, paths, db_name, file_name)))
     return items.filter(F.col(HOST).isNotNull()).select(*OP_COUNT_ITEM.schema.names)
-
-
-def report_lines(items: DataFrame, items_per_report: int = 2_000_000) -> DataFrame:
-    """The text of the reports of each snapshot: lines with their place and sort order.
-
-    The inverse of :func:`parse_reports`, with the noise a real capture carries. A report is one
-    file and so one task's work; a snapshot with more than ``items_per_report`` items gets several
-    reports, each with its share of the collections.
-    """
-    largest = items.groupBy(*SNAPSHOT).count().agg(F.max("count")).first()[0] or 0
-    parts = -(-largest // items_per_report) or 1
-    captured = items.withColumn("snapshot", F.concat_ws("_", DAY, SECOND)).withColumn(
-        "part", F.pmod(F.xxhash64(COLLECTION), F.lit(parts))
-    )
-    blank = F.lit("")
-
-    def lines(
-        rows: DataFrame, offset: int, collection: Column, index: Column, *text: Column
-    ) -> DataFrame:
-        return rows.select(
-            *REPORT,
-            collection.alias("collection"),
-            index.alias("index"),
-            F.posexplode(F.array(*text)).alias("step", "line"),
-        ).withColumn("step", F.col("step") + offset)
-
-    opening = lines(
-        captured.select(*REPORT).distinct(),
-        0, blank, blank, F.lit("2024 R simagix/keyhole"), F.lit("index usage"), blank,
-    )
-    headers = lines(
-        captured.select(*REPORT, COLLECTION).distinct(),
-        3, F.col(COLLECTION), blank, F.concat(F.col(COLLECTION), F.lit(":")),
-    )
-    body = lines(
-        captured, 4, F.col(COLLECTION), F.col(INDEX),
-        F.concat(F.lit("  "), F.col(INDEX), F.lit("  ")),
-        F.concat(
-            F.lit("    node: ops: "), F.col("UseCount").cast("string"),
-            F.lit(", since: "), utc_text(F.col("Since")), F.lit(" +0000 UTC"),
-        ),
-    )
-    return opening.unionByName(headers).unionByName(body)
-
-
-def write_reports(lines: DataFrame, root: str) -> str:
-    """Report lines as text files in capture directories; returns the glob of the directories."""
-    (
-        lines.repartition(*REPORT)
-        .sortWithinPartitions(*REPORT, "collection", "index", "step")
-        .select("line", *REPORT)
-        .write.partitionBy(*REPORT)
-        .mode("overwrite")
-        .text(root)
-    )
-    return lake_glob(f"{root}/part=*")

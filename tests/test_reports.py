@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pytest
 
+from tallyline.plans.report_captures import LINE_ORDER, report_lines, write_reports
 from tallyline.sources.reports import (
     FILE_NAME,
     clean_lines,
@@ -15,9 +16,7 @@ from tallyline.sources.reports import (
     parse_reports,
     report_errors,
     report_items,
-    report_lines,
     staged_lines,
-    write_reports,
 )
 from tallyline.sources.snapshots import lake_glob
 
@@ -168,14 +167,30 @@ def test_blocks_do_not_matter(spark, setting, tmp_path, block_bytes):
         ]
 
 
-def test_large_snapshot_is_written_as_several_reports(spark, tmp_path):
+def test_one_report_in_several_files(spark, setting, tmp_path):
+    """However many files a report is cut into: the same numbers, rows and errors."""
     items = spark.createDataFrame(
-        [("h", 19723, 1, f"db.c{n}", "{ x }", n, None) for n in range(40)],
+        [("h", 19723, 1 + n % 2, f"db.c{n // 4}", "{ x%d }" % n, n, None) for n in range(80)],
         "mongo_hostname string, days_post_epoch int, seconds_of_day int, CollectionName string, "
         "IndexName string, UseCount bigint, Since timestamp",
-    ).fillna(0)
-    items = items.selectExpr("* except (Since)", "timestamp_seconds(UseCount) AS Since")
-    paths = write_reports(report_lines(items, items_per_report=10), str(tmp_path))
-    assert len(list(tmp_path.glob("part=*"))) > 1
-    parsed = parse_reports(spark, paths, "db", "*.txt")
-    assert sorted(parsed.select(items.columns).collect()) == sorted(items.collect())
+    ).selectExpr("* except (Since)", "timestamp_seconds(UseCount) AS Since")
+    lines = report_lines(items).filter("not (line like '%ops: 7%')")
+    setting("spark.sql.adaptive.enabled", "false")
+    found = []
+    for files in (1, 7):
+        setting("spark.sql.shuffle.partitions", str(files))
+        paths = write_reports(lines, str(tmp_path / str(files)))
+        assert len(list((tmp_path / str(files)).glob("*/*1/*.txt"))) == files // 2 + 1
+        df = numbered_lines(staged_lines(spark, paths, "db", "*.txt"))
+        found.append((
+            sorted(map(tuple, df.select("mongo_hostname", "days_post_epoch", "seconds_of_day", "line_no", "line", "collection").collect())),
+            sorted(map(tuple, report_items(df).select(items.columns).collect())),
+            sorted(map(tuple, report_errors(df).drop("file_path").collect())),
+        ))
+    assert found[0] == found[1]
+    rows, parsed, errors = found[0]
+    assert parsed == sorted(tuple(r) for r in items.filter("not cast(UseCount as string) like '7%'").collect())
+    assert len(errors) > 5 and LINE_ORDER[0] == "mongo_hostname"
+    # Every capture has one line 0 and no number twice.
+    places = [row[:4] for row in rows]
+    assert len(set(places)) == len(places) and sum(row[3] == 0 for row in rows) == 2
