@@ -1,19 +1,23 @@
-"""Load only the captures that arrived since the last run.
+"""Load only the captures that arrived or changed since the last run.
 
-The same reading and writing as :func:`tallyline.sources.snapshots.load_snapshots`, driven by a
-file stream that remembers which files it has loaded. Everything derived from items looks ahead in
-time and stays a batch job.
+A file stream remembers which capture files it has seen. It only tells which capture directories
+new files are in; those directories are then loaded whole, with the same reading and writing as
+:func:`tallyline.sources.snapshots.load_snapshots`. So it does not matter how files fall into
+batches, whether a batch is repeated after a failure, or whether a file reaches a directory late.
+Everything derived from items looks ahead in time and stays a batch job.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tallyline.schema import OP_COUNT_ITEM
-from tallyline.sources.snapshots import FILE_NAME, LINE, csv_options, lake_glob, placed_items
-from tallyline.sources.snapshots import with_snapshot_columns
+from tallyline.sources.snapshots import FILE_NAME, lake_glob, load_paths
 from tallyline.sources.warehouse import Warehouse
 
+# What Spark's source of whole files gives; only the path is read.
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+
 
 def load_new_snapshots(
     warehouse: Warehouse,
@@ -23,25 +27,27 @@ def load_new_snapshots(
     file_name: str = FILE_NAME,
     files_per_batch: int = 10_000,
 ) -> None:
-    """Load all new capture files in bounded batches, then return.
+    """Load the capture directories of all new files, in bounded batches, then return.
 
-    ``progress`` is a shared folder that keeps the stream's state between runs. A batch that is
-    repeated after a failure rewrites the same snapshot partitions, so rows are not duplicated. A
-    capture must be complete when it appears: files that reach a snapshot directory in a later
-    batch would replace the earlier ones.
+    ``progress`` is a shared folder that keeps the stream's state between runs. A batch asks for no
+    more directories than it has files.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        warehouse.write(OP_COUNT_ITEM.name, placed_items(batch))
+    def load(batch: DataFrame, _: int) -> None:
+        directories = [row.directory for row in batch.distinct().collect()]
+        if directories:
+            load_paths(warehouse, directories, file_name)
 
-    lines = (
-        csv_options(warehouse.spark.readStream.schema(LINE), file_name)
+    files = (
+        warehouse.spark.readStream.schema(_FILES)
+        .format("binaryFile")
+        .option("pathGlobFilter", file_name)
         .option("maxFilesPerTrigger", files_per_batch)
-        .csv(lake_glob(lake_root, host))
+        .load(lake_glob(lake_root, host))
+        .select(F.regexp_replace("path", "/[^/]*$", "").alias("directory"))
     )
     query = (
-        with_snapshot_columns(lines)
-        .writeStream.foreachBatch(write)
+        files.writeStream.foreachBatch(load)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()

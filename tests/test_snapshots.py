@@ -134,3 +134,29 @@ def test_only_new_captures_are_loaded(spark, tmp_path):
     capture(lake, "h", "19724_1", f"c|i|3|{SINCE}")
     load_new_snapshots(warehouse, str(lake), progress)
     assert loaded() == [("g", 19723, 2), ("h", 19723, 1), ("h", 19724, 3)]
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 2, 100])
+def test_a_capture_is_loaded_whole_whatever_the_batches(spark, tmp_path, files_per_batch):
+    lake, progress = tmp_path / "lake", str(tmp_path / "progress")
+    streamed = Warehouse(spark, str(tmp_path / "new" / "parquet"))
+    batch = Warehouse(spark, str(tmp_path / "all" / "parquet"))
+
+    def add(host: str, snapshot: str, name: str, collection: str) -> None:
+        folder = lake / host / snapshot
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(HEADER + f"{collection}|i|1|{SINCE}\n")
+
+    def rows(warehouse):
+        return sorted(map(tuple, warehouse.read("opCountItem").collect()))
+
+    for name, collection in (("a.csv", "c1"), ("b.csv", "c2"), ("c.csv", "c3")):
+        for snapshot in ("19723_1", "19724_1"):
+            add("h", snapshot, name, collection)
+    load_new_snapshots(streamed, str(lake), progress, file_name="*.csv", files_per_batch=files_per_batch)
+    load_snapshots(batch, str(lake), file_name="*.csv")
+    assert rows(streamed) == rows(batch) and len(rows(batch)) == 6
+    add("h", "19723_1", "late.csv", "c4")
+    load_new_snapshots(streamed, str(lake), progress, file_name="*.csv", files_per_batch=files_per_batch)
+    load_snapshots(batch, str(lake), file_name="*.csv")
+    assert rows(streamed) == rows(batch) and len(rows(batch)) == 7
