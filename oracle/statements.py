@@ -16,7 +16,7 @@ _CTES = {
             CASE WHEN regexp_extract(props, '(\d+)', 1)::INTEGER >= 50 THEN 'k_hi' ELSE 'k_lo' END AS i
         FROM events
     """,
-    "days": "SELECT unnest(range(19723, 19753))::INTEGER AS d",
+    "days": "SELECT unnest(range(min(t) // 86400, max(t) // 86400 + 1))::INTEGER AS d FROM log",
     "captures": """
         SELECT 1 AS h, d, 36000 AS s FROM days
         UNION ALL SELECT 2, d, (d * 7919) % 86400 FROM days
@@ -43,7 +43,7 @@ _CTES = {
             p.s::INTEGER AS seconds_of_day, p.name AS CollectionName, p.i AS IndexName,
             count(l.t)::BIGINT AS UseCount,
             make_timestamp(1000000 * CASE WHEN p.was_reset THEN 19743::BIGINT * 86400
-                WHEN p.u % 2 = 0 THEN 19722::BIGINT * 86400 ELSE p.ft END) AS Since
+                WHEN p.u % 2 = 0 THEN ((SELECT min(d) FROM days) - 1)::BIGINT * 86400 ELSE p.ft END) AS Since
         FROM present p LEFT JOIN log l
             ON l.u = p.u AND l.e = p.e AND l.i = p.i AND l.value >= 80 AND l.t <= p.instant
             AND (NOT p.was_reset OR l.t >= 19743::BIGINT * 86400)
@@ -82,18 +82,18 @@ _CTES = {
             lag(instant) OVER w AS prior_at, lead(instant) OVER w AS next_at,
             first_value(instant) OVER whole AS first_at, last_value(instant) OVER whole AS last_at
         FROM timed
-        WINDOW w AS (PARTITION BY mongo_hostname ORDER BY instant),
-            whole AS (PARTITION BY mongo_hostname ORDER BY instant
+        WINDOW w AS (PARTITION BY mongo_hostname ORDER BY days_post_epoch, seconds_of_day),
+            whole AS (PARTITION BY mongo_hostname ORDER BY days_post_epoch, seconds_of_day
                 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
     """,
     "sequenced": """
         SELECT *, (instant - first_at) // 86400 AS up_rel, (last_at - instant) // 86400 AS down_rel,
             d - first_at // 86400 AS up_abs, last_at // 86400 - d AS down_abs,
-            row_number() OVER (PARTITION BY host, (instant - first_at) // 86400 ORDER BY instant) AS up_rel_seq,
-            row_number() OVER (PARTITION BY host, (last_at - instant) // 86400 ORDER BY instant DESC)
+            row_number() OVER (PARTITION BY host, (instant - first_at) // 86400 ORDER BY d, s) AS up_rel_seq,
+            row_number() OVER (PARTITION BY host, (last_at - instant) // 86400 ORDER BY d DESC, s DESC)
                 AS down_rel_seq,
-            row_number() OVER (PARTITION BY host, d ORDER BY instant) AS up_abs_seq,
-            row_number() OVER (PARTITION BY host, d ORDER BY instant DESC) AS down_abs_seq
+            row_number() OVER (PARTITION BY host, d ORDER BY s) AS up_abs_seq,
+            row_number() OVER (PARTITION BY host, d ORDER BY s DESC) AS down_abs_seq
         FROM placed
     """,
     "conflicts": """
