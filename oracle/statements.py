@@ -424,6 +424,22 @@ _STATEMENTS = {
                 ELSE 'index or collection' END AS expected
         FROM damaged_numbered WHERE step = 3 AND digit IN (4, 9)
     """,
+    "load_errors": f"""
+        SELECT {_KEY}, line_no, line,
+            CASE WHEN prior_step = 1 THEN 'index' WHEN step = 3 AND digit = 9 THEN 'opcount'
+                ELSE 'index or collection' END AS expected
+        FROM damaged_numbered WHERE step = 3 AND digit IN (4, 9)
+    """,
+    "load_issues": """
+        SELECT mongo_hostname, days_post_epoch,
+            CASE WHEN days_post_epoch % 7 = 0 THEN seconds_of_day % 10000 + 90000 ELSE seconds_of_day END
+                AS seconds_of_day,
+            count(*) FILTER (UseCount % 10 IN (4, 9))::BIGINT AS CorruptCount,
+            count(*) FILTER (days_post_epoch % 7 = 0)::BIGINT AS OutOfRangeSecondCount,
+            count(*) FILTER (UseCount % 10 IN (4, 9))::BIGINT AS NullUseCountCount,
+            count(*) FILTER (UseCount % 10 = 4)::BIGINT AS NullSinceCount
+        FROM items GROUP BY ALL HAVING OutOfRangeSecondCount > 0 OR CorruptCount > 0
+    """,
     "overwrite_dynamic": _shifted("facts", "days_post_epoch >= 19740"),
     "overwrite_dynamic_host": _shifted("policy", "mongo_hostname = 'mongo02'"),
     "op_count_item": _ALL_ITEMS,

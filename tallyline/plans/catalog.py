@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyline.functions.paths import snapshot_path_columns
 from tallyline.operators import facts as fact_ops
 from tallyline.operators import history, labels, legacy, quality, sankey, timeline
 from tallyline.plans import report_captures
@@ -18,12 +19,17 @@ from tallyline.plans.prepared import (
     reportable,
 )
 from tallyline.schema import (
+    COLLECTION,
     COLLECTION_OPS_AGG,
     COLLECTION_POLICY_LABELS,
     DAY,
     HOST,
+    INDEX,
+    LOAD_ERRORS,
+    LOAD_ISSUES,
     OP_COUNT_ITEM,
     PARTITION_RANGES,
+    SECOND,
     SNAPSHOT,
 )
 from tallyline.sources import reports, snapshots
@@ -123,7 +129,7 @@ def parse_index_report(inputs: Inputs) -> DataFrame:
     return reports.parse_reports(inputs.spark, inputs.report_lake(), file_name="*.txt")
 
 
-def report_parse_errors(inputs: Inputs) -> DataFrame:
+def _damaged_reports(inputs: Inputs) -> str:
     """Reports in which ops lines of counts ending in 9 are garbled and index lines of counts
     ending in 4 are missing."""
     ops = F.col("line").contains("ops: ")
@@ -138,10 +144,51 @@ def report_parse_errors(inputs: Inputs) -> DataFrame:
         )
         .filter(ops | ~F.col("digit").eqNullSafe("4"))
     )
-    lake = report_captures.write_reports(damaged, scratch_folder(inputs.spark, "reports"))
+    return report_captures.write_reports(damaged, scratch_folder(inputs.spark, "reports"))
+
+
+def report_parse_errors(inputs: Inputs) -> DataFrame:
+    lake = _damaged_reports(inputs)
     return reports.report_errors(_numbered(inputs, lake)).drop("file_path")
 
 
+def load_errors(inputs: Inputs) -> DataFrame:
+    """The same damaged reports as the loading job leaves them in the table of errors."""
+    warehouse = Warehouse.scratch(inputs.spark)
+    reports.load_reports(warehouse, _damaged_reports(inputs), file_name="*.txt")
+    return warehouse.read(LOAD_ERRORS.name).drop("file_path", "LoadedAt")
+
+
+def load_issues(inputs: Inputs) -> DataFrame:
+    """Captures in which counts ending in 9 are no numbers, lines of counts ending in 4 have a field
+    too many, and seconds of some days are out of range; what the loading job says of them."""
+    digit = F.col("UseCount") % 10
+    second = F.when(F.col(DAY) % 7 == 0, F.col(SECOND) % 10_000 + 90_000).otherwise(F.col(SECOND))
+    lake = scratch_folder(inputs.spark, "csv")
+    (
+        inputs.items.select(
+            COLLECTION,
+            F.when(digit == 4, F.concat(INDEX, F.lit("|more"))).otherwise(F.col(INDEX)).alias(INDEX),
+            F.when(digit == 9, "n/a").otherwise(F.col("UseCount").cast("string")).alias("UseCount"),
+            F.concat(snapshots.utc_text(F.col("Since")), F.lit(" +0000 UTC")).alias("Since"),
+            HOST,
+            F.concat_ws("_", DAY, second).alias("snapshot"),
+        )
+        .write.partitionBy(HOST, "snapshot")
+        .option("sep", "|").option("header", True).option("quote", "")
+        .csv(lake)
+    )
+    warehouse = Warehouse.scratch(inputs.spark)
+    snapshots.load_snapshots(warehouse, lake, file_name="*.csv")
+    found = warehouse.read(LOAD_ISSUES.name)
+    counts = ("CorruptCount", "OutOfRangeSecondCount", "NullUseCountCount", "NullSinceCount")
+    return (
+        found.select(*snapshot_path_columns(F.col("file_path")), *counts)
+        .groupBy(*SNAPSHOT)
+        .agg(*(F.sum(c).alias(c) for c in counts))
+    )
+
+
 # --- sinks -----------------------------------------------------------------------------------
 
 
@@ -203,6 +250,8 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "clean_index_report": clean_index_report,
     "parse_index_report": parse_index_report,
     "report_parse_errors": report_parse_errors,
+    "load_issues": load_issues,
+    "load_errors": load_errors,
     "overwrite_dynamic": overwrite_dynamic,
     "overwrite_dynamic_host": overwrite_dynamic_host,
     # facts

@@ -27,8 +27,9 @@ from tallyline.schema import (
     OP_COUNT_ITEM,
     PARTITION_RANGES,
 )
-from tallyline.sources.reports import DEFAULT_DB, parse_reports
-from tallyline.sources.scratch import stored
+from tallyline.sources import reports
+from tallyline.sources.reports import DEFAULT_DB
+from tallyline.sources.scratch import stored, temporary
 from tallyline.sources.snapshots import lake_glob, load_snapshots
 from tallyline.sources.warehouse import Warehouse
 
@@ -38,9 +39,8 @@ def load_csv(warehouse: Warehouse, lake_root: str, host: str = "*") -> None:
 
 
 def load_reports(warehouse: Warehouse, lake_root: str, db_name: str = DEFAULT_DB) -> None:
-    """Raw reports straight into the item table."""
-    items = parse_reports(warehouse.spark, lake_glob(lake_root), db_name)
-    warehouse.write(OP_COUNT_ITEM.name, items)
+    """Raw reports straight into the item table, with the issues and errors found in them."""
+    reports.load_reports(warehouse, lake_glob(lake_root), db_name)
 
 
 def derive_collection_facts(warehouse: Warehouse) -> None:
@@ -89,6 +89,7 @@ def run_all(warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY) -> Dat
 def label_legacy(warehouse: Warehouse) -> None:
     """The legacy label table and its Sankey counts."""
     items, ranges = (warehouse.read(t.name) for t in (OP_COUNT_ITEM, PARTITION_RANGES))
-    dated = stored(dated_ranges(items, ranges), "dated-ranges")
-    labels = warehouse.replace(LEGACY_ACTIVITY_LABELS.name, legacy_activity_labels(items, dated))
-    warehouse.write(BASIC_SANKEY.name, basic_sankey(labels, ranges))
+    with temporary(warehouse.spark):
+        dated = stored(dated_ranges(items, ranges), "dated-ranges")
+        labels = warehouse.replace(LEGACY_ACTIVITY_LABELS.name, legacy_activity_labels(items, dated))
+        warehouse.write(BASIC_SANKEY.name, basic_sankey(labels, ranges))

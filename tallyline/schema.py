@@ -53,6 +53,30 @@ OP_COUNT_ITEM = Table(
     [COLLECTION, INDEX],
 )
 
+# What a load could not store or read, a row per file with any such thing.
+LOAD_ISSUES = Table(
+    "loadIssues",
+    _schema(
+        ("LoadedAt", TimestampType()), ("file_path", _STRING), ("LineCount", _LONG),
+        ("UnplacedCount", _LONG), ("OutOfRangeSecondCount", _LONG), ("CorruptCount", _LONG),
+        ("NullCollectionNameCount", _LONG), ("NullIndexNameCount", _LONG),
+        ("NullUseCountCount", _LONG), ("NullSinceCount", _LONG),
+    ),
+    [],
+    ["file_path"],
+)
+
+# Report lines that stand where the grammar does not allow them.
+LOAD_ERRORS = Table(
+    "loadErrors",
+    _schema(
+        ("LoadedAt", TimestampType()), *_SNAPSHOT_FIELDS, ("file_path", _STRING), ("line_no", _LONG),
+        ("line", _STRING), ("expected", _STRING),
+    ),
+    [],
+    ["file_path", "line_no"],
+)
+
 COLLECTION_OPS_AGG = Table(
     "collectionOpsAgg",
     _schema(
@@ -152,7 +176,7 @@ BASIC_SANKEY = Table(
 TABLES = {
     table.name: table
     for table in (
-        OP_COUNT_ITEM, COLLECTION_OPS_AGG, INDEX_OPS_AGG, PARTITION_RANGES,
+        OP_COUNT_ITEM, LOAD_ISSUES, LOAD_ERRORS, COLLECTION_OPS_AGG, INDEX_OPS_AGG, PARTITION_RANGES,
         COLLECTION_DISCRETE_LABELS, COLLECTION_POLICY_LABELS, LEGACY_ACTIVITY_LABELS, BASIC_SANKEY,
     )
 }

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyline.functions.paths import snapshot_path_columns
-from tallyline.schema import COLLECTION, HOST, INDEX, OP_COUNT_ITEM, SNAPSHOT
-from tallyline.sources.scratch import stored
-from tallyline.sources.snapshots import since_timestamp
+from tallyline.schema import COLLECTION, INDEX, LOAD_ERRORS, LOAD_ISSUES, OP_COUNT_ITEM, SNAPSHOT
+from tallyline.sources.scratch import stored, temporary
+from tallyline.sources.snapshots import load_issues, placed_items, since_timestamp
+from tallyline.sources.warehouse import Warehouse
 
 # Fixed names: the file of a capture, and the database whose collections are reported.
 FILE_NAME = "idx.log"
@@ -178,6 +179,8 @@ def report_items(numbered: DataFrame) -> DataFrame:
         F.regexp_extract("line", OPS_LINE, 1).try_cast("bigint").alias("UseCount"),
         since_timestamp(F.regexp_extract("line", OPS_LINE, 2)).alias("Since"),
         *SNAPSHOT,
+        "file_path",
+        F.lit(False).alias("IsCorrupt"),
     )
 
 
@@ -212,5 +215,18 @@ def parse_reports(
     file_name: str = FILE_NAME,
 ) -> DataFrame:
     """Items of all reports under ``paths``, in the shape of the item table."""
-    items = report_items(numbered_lines(staged_lines(spark, paths, db_name, file_name)))
-    return items.filter(F.col(HOST).isNotNull()).select(*OP_COUNT_ITEM.schema.names)
+    return placed_items(report_items(numbered_lines(staged_lines(spark, paths, db_name, file_name))))
+
+
+def load_reports(
+    warehouse: Warehouse, paths: str | Sequence[str], db_name: str = DEFAULT_DB, file_name: str = FILE_NAME
+) -> None:
+    """Reports straight into the item table; items that have no place there or unreadable fields
+    are counted in the table of issues, and lines out of place are listed in that of errors. The
+    raw files are read once, and their staged lines are removed at the end."""
+    with temporary(warehouse.spark):
+        numbered = numbered_lines(staged_lines(warehouse.spark, paths, db_name, file_name))
+        items = report_items(numbered)
+        warehouse.write(OP_COUNT_ITEM.name, placed_items(items))
+        warehouse.append(LOAD_ISSUES.name, load_issues(items))
+        warehouse.append(LOAD_ERRORS.name, report_errors(numbered))

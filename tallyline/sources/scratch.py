@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+# Folders made so far and not removed, by application.
+_made: dict[str, list[str]] = {}
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
@@ -25,8 +32,45 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A path under the shared folder that no other run uses; Spark creates it on write."""
-    return f"{shared_root(spark)}/tallyline-{purpose}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses; Spark creates it on write.
+
+    What is in it is removed by :func:`release`, at the latest when the driver ends: the results of
+    queries are read from such folders for as long as they are used.
+    """
+    path = f"{shared_root(spark)}/tallyline-{purpose}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the scratch folders of this application, but for the first ``keep``."""
+    _remove(spark.sparkContext, keep)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders made inside are removed at the end, whether or not it succeeds; for jobs that
+    leave nothing to be read from them."""
+    before = len(_made.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def _remove(context: SparkContext, keep: int) -> None:
+    folders = _made.get(context.applicationId, [])
+    for folder in folders[keep:]:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    del folders[keep:]
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        _remove(context, 0)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tallyline.functions.clock import SECONDS_PER_DAY
 from tallyline.functions.paths import snapshot_path_columns
-from tallyline.schema import COLLECTION, DAY, HOST, INDEX, OP_COUNT_ITEM, SECOND
+from tallyline.schema import COLLECTION, DAY, HOST, INDEX, LOAD_ISSUES, OP_COUNT_ITEM, SECOND
+from tallyline.sources.scratch import stored, temporary
 from tallyline.sources.warehouse import Warehouse
 
+# Fixed name of a capture file.
 FILE_NAME = "allCollectionIndices.csv"
 # Fixed format of the Since column, with zero to nine digits of fraction.
 SINCE_PATTERN = "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS] Z z"
@@ -25,9 +26,10 @@ LINE = StructType(
         StructField(INDEX, StringType()),
         StructField("UseCount", LongType()),
         StructField("Since", StringType()),
+        # The whole line, where it has too few or too many fields or one that does not parse.
+        StructField("corrupt_line", StringType()),
     ]
 )
-Reader = TypeVar("Reader", DataFrameReader, DataStreamReader)
 
 _REQUIRED = [COLLECTION, INDEX, "UseCount", "Since"]
 
@@ -47,16 +49,6 @@ def lake_glob(lake_root: str, host: str = "*") -> str:
     return f"{lake_root.rstrip('/')}/{host}/*_*"
 
 
-def csv_options(reader: Reader, file_name: str) -> Reader:
-    """The format of capture files, for a batch or a streaming reader."""
-    return (
-        reader.option("sep", "|")
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", file_name)
-    )
-
-
 def read_snapshots(
     spark: SparkSession, paths: str | Sequence[str], file_name: str = FILE_NAME
 ) -> DataFrame:
@@ -65,11 +57,15 @@ def read_snapshots(
     A field that does not parse is NULL; a path that is not a capture directory leaves host, day
     and second NULL. Nothing is dropped here.
     """
-    reader = csv_options(spark.read.schema(LINE), file_name)
-    return with_snapshot_columns(reader.csv([paths] if isinstance(paths, str) else list(paths)))
-
-
-def with_snapshot_columns(lines: DataFrame) -> DataFrame:
+    lines = (
+        spark.read.schema(LINE)
+        .option("sep", "|")
+        .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "corrupt_line")
+        .option("pathGlobFilter", file_name)
+        .csv([paths] if isinstance(paths, str) else list(paths))
+    )
     path = F.col("_metadata.file_path")
     return lines.select(
         COLLECTION,
@@ -78,6 +74,7 @@ def with_snapshot_columns(lines: DataFrame) -> DataFrame:
         since_timestamp(F.col("Since")).alias("Since"),
         *snapshot_path_columns(path),
         path.alias("file_path"),
+        F.col("corrupt_line").isNotNull().alias("IsCorrupt"),
     )
 
 
@@ -87,13 +84,21 @@ def placed_items(lines: DataFrame) -> DataFrame:
 
 
 def load_issues(lines: DataFrame) -> DataFrame:
-    """Per file: rows, rows without a place in the warehouse, and unreadable fields."""
-    counts = ["UnplacedCount", *(f"Null{c}Count" for c in _REQUIRED)]
+    """Per file with any of them: rows without a place in the warehouse, seconds that no day has,
+    lines with a wrong number of fields or a field that does not parse, and unreadable fields.
+
+    Only rows without a place are not stored; of the others, what could not be read is NULL.
+    """
+    counts = [
+        "UnplacedCount", "OutOfRangeSecondCount", "CorruptCount", *(f"Null{c}Count" for c in _REQUIRED)
+    ]
     return (
         lines.groupBy("file_path")
         .agg(
             F.count("*").alias("LineCount"),
             F.count_if(~_placed()).alias("UnplacedCount"),
+            F.count_if(F.col(SECOND) >= SECONDS_PER_DAY).alias("OutOfRangeSecondCount"),
+            F.count_if("IsCorrupt").alias("CorruptCount"),
             *(F.count_if(F.col(c).isNull()).alias(f"Null{c}Count") for c in _REQUIRED),
         )
         .filter(F.greatest(*counts) > 0)
@@ -116,9 +121,12 @@ def load_snapshots(
 
 
 def load_paths(warehouse: Warehouse, paths: Sequence[str], file_name: str = FILE_NAME) -> None:
-    """(Re)load chosen capture directories; the other snapshots of the table stay as they are."""
-    lines = read_snapshots(warehouse.spark, paths, file_name)
-    warehouse.write(OP_COUNT_ITEM.name, placed_items(lines))
+    """(Re)load chosen capture directories; the other snapshots of the table stay as they are. What
+    could not be stored or read is added to the table of issues. The raw files are read once."""
+    with temporary(warehouse.spark):
+        lines = stored(read_snapshots(warehouse.spark, paths, file_name), "snapshot-lines")
+        warehouse.write(OP_COUNT_ITEM.name, placed_items(lines))
+        warehouse.append(LOAD_ISSUES.name, load_issues(lines))
 
 
 def _placed() -> Column:

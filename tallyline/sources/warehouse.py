@@ -87,6 +87,18 @@ class Warehouse:
             .save(self.path(name))
         )
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """Add rows to a table that keeps a row for every run; the time of the run is set here."""
+        table = TABLES[name]
+        rows = df.withColumn("LoadedAt", F.current_timestamp())
+        (
+            rows.select(*(F.col(f.name).cast(f.dataType) for f in table.schema))
+            .sortWithinPartitions(*map(_ordering, table.order))
+            .write.mode("append")
+            .format(self.fmt)
+            .save(self.path(name))
+        )
+
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Write, then read back: later steps start from stored files, not from a long lineage."""
         self.write(name, df)

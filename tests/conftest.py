@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from tallyline.sources.scratch import release  # noqa: E402
+
 SAMPLE = "/root/testdata/sf0.001"
 
 
@@ -25,6 +27,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

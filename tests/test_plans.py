@@ -29,7 +29,7 @@ def exchanges(plan: str) -> list[str]:
 WRITING = {
     "load_snapshot_csv", "path_partition_columns", "reload_one_snapshot", "warehouse_roundtrip_orc",
     "clean_index_report", "parse_index_report", "report_parse_errors", "overwrite_dynamic",
-    "overwrite_dynamic_host", "index_ops_agg_recompute",
+    "overwrite_dynamic_host", "index_ops_agg_recompute", "load_issues", "load_errors",
 }
 SERIES = "mongo_hostname, CollectionName"
 FACT_KEY = "mongo_hostname, days_post_epoch, seconds_of_day, CollectionName"

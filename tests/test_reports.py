@@ -12,6 +12,7 @@ from tallyline.plans.report_captures import LINE_ORDER, report_lines, write_repo
 from tallyline.sources.reports import (
     FILE_NAME,
     clean_lines,
+    load_reports,
     numbered_lines,
     parse_reports,
     report_errors,
@@ -19,6 +20,7 @@ from tallyline.sources.reports import (
     staged_lines,
 )
 from tallyline.sources.snapshots import lake_glob
+from tallyline.sources.warehouse import Warehouse
 
 OPS = "ops: {}, since: 2024-01-01 00:00:00.000 +0000 UTC"
 GOOD = [
@@ -194,3 +196,16 @@ def test_one_report_in_several_files(spark, setting, tmp_path):
     # Every capture has one line 0 and no number twice.
     places = [row[:4] for row in rows]
     assert len(set(places)) == len(places) and sum(row[3] == 0 for row in rows) == 2
+
+
+def test_every_counter_line_is_stored_or_reported(spark, tmp_path):
+    """Two reports, one with a stray counter line, the other where no capture should be."""
+    report(tmp_path / "lake", ["preamble", "db.a:", "{ x }", OPS.format(1), OPS.format(2)])
+    report(tmp_path / "lake", ["preamble", "db.b:", "{ y }", OPS.format(3)], snapshot="1_1")
+    warehouse = Warehouse(spark, str(tmp_path / "parquet"))
+    load_reports(warehouse, lake_glob(str(tmp_path / "lake")), "db")
+    assert [r.UseCount for r in warehouse.read("opCountItem").collect()] == [1]
+    (issue,) = warehouse.read("loadIssues").collect()
+    assert (issue.LineCount, issue.UnplacedCount) == (1, 1) and "/1_1/" in issue.file_path
+    (error,) = warehouse.read("loadErrors").collect()
+    assert (error.mongo_hostname, error.line_no, error.line) == ("h", 4, OPS.format(2))

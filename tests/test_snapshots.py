@@ -75,10 +75,10 @@ def test_bad_fields_and_places_are_reported(spark, tmp_path):
         (19723, "i", None), (19723, "j", 1), (19724, "i", 1),
     }
     issues = {
-        r.file_path.split("/")[-2]: (r.LineCount, r.UnplacedCount, r.NullUseCountCount)
+        r.file_path.split("/")[-2]: (r.LineCount, r.UnplacedCount, r.CorruptCount, r.NullUseCountCount)
         for r in load_issues(lines).collect()
     }
-    assert issues == {"19723_1": (2, 0, 1), "19723_1234567": (1, 1, 0)}
+    assert issues == {"19723_1": (2, 0, 1, 1), "19723_1234567": (1, 1, 0, 0)}
     counts = path_partition_columns(lines).collect()
     assert {(r.days_post_epoch, r.LineCount) for r in counts} == {(19723, 2), (19724, 1), (None, 1)}
 
@@ -160,3 +160,23 @@ def test_a_capture_is_loaded_whole_whatever_the_batches(spark, tmp_path, files_p
     load_new_snapshots(streamed, str(lake), progress, file_name="*.csv", files_per_batch=files_per_batch)
     load_snapshots(batch, str(lake), file_name="*.csv")
     assert rows(streamed) == rows(batch) and len(rows(batch)) == 7
+
+
+def test_every_row_is_stored_or_reported(spark, tmp_path):
+    lake = tmp_path / "lake"
+    capture(lake, "h", "19723_1", f"c|i|1|{SINCE}", "c|i", f"c|i|2|{SINCE}|more", f"c|i|x|{SINCE}")
+    capture(lake, "h", "19723_86400", f"c|i|1|{SINCE}")
+    capture(lake, "h", "19723_1234567", f"c|i|1|{SINCE}", f"c|i|2|{SINCE}")
+    capture(lake, "h", "19724_1", f"c|i|1|{SINCE}")
+    warehouse = Warehouse(spark, str(tmp_path / "parquet"))
+    load_snapshots(warehouse, str(lake))
+    issues = {r.file_path.split("/")[-2]: r for r in warehouse.read("loadIssues").collect()}
+    assert issues.keys() == {"19723_1", "19723_86400", "19723_1234567"}
+    assert (issues["19723_1"].LineCount, issues["19723_1"].CorruptCount) == (4, 3)
+    assert issues["19723_86400"].OutOfRangeSecondCount == 1
+    assert issues["19723_1234567"].UnplacedCount == 2
+    stored = warehouse.read("opCountItem").count()
+    assert stored + sum(r.UnplacedCount for r in issues.values()) == 8
+    # A later load adds to the report.
+    load_paths(warehouse, [str(lake / "h" / "19723_86400")])
+    assert warehouse.read("loadIssues").count() == 4
