@@ -24,6 +24,7 @@ from tallyline.schema import (
     SERIES,
     SNAPSHOT,
 )
+from tallyline.sources.scratch import stored
 
 # Names that these labels leave out.
 EXCLUDED_NAMES = ("audit%", "%AnnotationSource.metas%")
@@ -48,13 +49,23 @@ def known_collections_legacy(items: DataFrame) -> DataFrame:
     )
 
 
+# Up to so many hosts, their first snapshots are written into the plan.
+LISTED_HOSTS = 1000
+
+
 def first_snapshot_items(items: DataFrame, ranges: DataFrame) -> DataFrame:
     """Items of the first snapshot of each host.
 
-    Asked for by rank, not by the flag: a comparison counts as selective, so the planner prunes
-    all other snapshot directories at run time.
+    The first snapshots, one row per host, are stored, so the planner knows how small they are.
+    If they are few they are also listed in a filter on the partition columns, which keeps all
+    other snapshot directories unread even where nothing is broadcast.
     """
-    return items.join(ranges.filter("partition_rank = 1").select(*SNAPSHOT), SNAPSHOT)
+    firsts = stored(ranges.filter("partition_rank = 1").select(*SNAPSHOT), "first-snapshots")
+    listed = firsts.limit(LISTED_HOSTS + 1).collect()
+    if len(listed) <= LISTED_HOSTS:
+        names = ["/".join(map(str, row)) for row in listed]
+        items = items.filter(F.concat_ws("/", *SNAPSHOT).isin(names))
+    return items.join(firsts, SNAPSHOT)
 
 
 def initial_future_date(items: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -81,8 +92,9 @@ def legacy_facts(items: DataFrame) -> DataFrame:
 
 def dated_ranges(items: DataFrame, ranges: DataFrame) -> DataFrame:
     """The timeline with the horizon of each host on all its snapshots. Store it before use: the
-    labels then join one small table of known size, on host and rank."""
-    return ranges.join(initial_future_date(items, ranges), HOST)
+    labels then join one small table of known size, on host and rank. The horizons, one row per
+    host, are stored too; only the timeline is joined by host, never the collections."""
+    return ranges.join(stored(initial_future_date(items, ranges), "horizons"), HOST)
 
 
 def legacy_activity_labels(items: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.operators.legacy import first_snapshot_items
-from tallyline.schema import COLLECTION, DAY, HOST, INDEX, SECOND, SERIES, SNAPSHOT
+from tallyline.schema import COLLECTION, DAY, INDEX, SECOND, SERIES, SNAPSHOT
+from tallyline.sources.scratch import stored
 
 # Keys that must be unique per table.
 ITEM_KEY = [*SNAPSHOT, COLLECTION, INDEX]
@@ -45,17 +46,16 @@ def label_lookup(labels: DataFrame, collection: str, day: int) -> DataFrame:
 def startup_dates(items: DataFrame, ranges: DataFrame) -> DataFrame:
     """Collections whose counters already ran at the earliest start seen in the first snapshot.
 
-    The earliest start of a host is the least of its collections' earliest starts, so the items
-    are reduced to one row per collection before hosts are compared.
+    The earliest start of each host is stored, one row per first snapshot, and joined to the
+    items on the whole snapshot key from plain shuffles, so that a host with very many
+    collections can be split.
     """
-    starts = (
-        first_snapshot_items(items.filter(F.col("Since").isNotNull()), ranges)
-        .groupBy(*SERIES)
-        .agg(F.min("Since").alias("MinSince"))
-    )
-    earliest = starts.groupBy(HOST).agg(F.min("MinSince").alias("PostSince"))
+    first = first_snapshot_items(items.filter(F.col("Since").isNotNull()), ranges)
+    earliest = stored(first.groupBy(*SNAPSHOT).agg(F.min("Since").alias("PostSince")), "earliest-starts")
     return (
-        starts.join(earliest, HOST)
+        first.join(earliest, SNAPSHOT)
+        .groupBy(*SERIES)
+        .agg(F.min("Since").alias("MinSince"), F.min("PostSince").alias("PostSince"))
         .filter(F.col("MinSince") <= F.col("PostSince"))
         .select(*SERIES, "MinSince", "PostSince")
     )

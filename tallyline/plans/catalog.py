@@ -15,11 +15,13 @@ from tallyline.plans import report_captures
 from tallyline.plans.prepared import (
     csv_lake,
     event_warehouse,
+    labelled_warehouse,
     report_lake,
     reportable,
 )
 from tallyline.schema import (
     COLLECTION,
+    COLLECTION_DISCRETE_LABELS,
     COLLECTION_OPS_AGG,
     COLLECTION_POLICY_LABELS,
     DAY,
@@ -31,6 +33,7 @@ from tallyline.schema import (
     PARTITION_RANGES,
     SECOND,
     SNAPSHOT,
+    Table,
 )
 from tallyline.sources import reports, snapshots
 from tallyline.sources.scratch import scratch_folder, stored
@@ -62,6 +65,10 @@ class Inputs:
     def report_lake(self) -> str:
         return report_lake(self.spark, self.data_dir)
 
+    def stored(self, table: Table) -> DataFrame:
+        """A table that the jobs have filled, for queries on stored facts and labels."""
+        return labelled_warehouse(self.spark, self.data_dir).read(table.name)
+
     @property
     def facts(self) -> DataFrame:
         return fact_ops.collection_facts(self.items)
@@ -238,7 +245,7 @@ def change_navigation(inputs: Inputs) -> DataFrame:
 
 
 def label_lookup(inputs: Inputs) -> DataFrame:
-    return quality.label_lookup(inputs.discrete(), *LOOKUP)
+    return quality.label_lookup(inputs.stored(COLLECTION_DISCRETE_LABELS), *LOOKUP)
 
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
@@ -260,13 +267,13 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "index_ops_agg": lambda q: q.index_facts,
     "index_ops_agg_recompute": index_ops_agg_recompute,
     "known_collections": lambda q: fact_ops.known_collections(q.facts),
-    "distinct_snapshots": lambda q: fact_ops.distinct_snapshots(q.items),
+    "distinct_snapshots": lambda q: fact_ops.distinct_snapshots(q.stored(COLLECTION_OPS_AGG)),
     # timeline
     "partition_ranges": lambda q: timeline.partition_ranges(
-        fact_ops.distinct_snapshots(q.items)
+        fact_ops.distinct_snapshots(q.stored(COLLECTION_OPS_AGG))
     ).drop("partition_count"),
     "partition_labels": lambda q: timeline.partition_labels(
-        timeline.partition_ranges(fact_ops.distinct_snapshots(q.items))
+        timeline.partition_ranges(fact_ops.distinct_snapshots(q.stored(COLLECTION_OPS_AGG)))
     ),
     # labels
     "collection_grid": lambda q: history.collection_grid(q.facts, q.ranges),
@@ -301,9 +308,11 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "snapshot_counts_indexes": lambda q: quality.snapshot_counts(q.index_facts),
     "instant_counts_items": lambda q: quality.instant_counts(q.items),
     "instant_counts_collections": lambda q: quality.instant_counts(q.facts),
-    "label_counts": lambda q: quality.label_counts(q.discrete(), LABEL_DAYS),
+    "label_counts": lambda q: quality.label_counts(
+        q.stored(COLLECTION_DISCRETE_LABELS), LABEL_DAYS
+    ),
     "label_counts_detailed": lambda q: quality.label_counts(
-        q.policy(), LABEL_DAYS, "CollectionUseStatus", "ActivityPolicyStatus"
+        q.stored(COLLECTION_POLICY_LABELS), LABEL_DAYS, "CollectionUseStatus", "ActivityPolicyStatus"
     ),
     "label_lookup": label_lookup,
     "startup_dates": lambda q: quality.startup_dates(q.items, q.ranges),

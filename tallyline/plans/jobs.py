@@ -12,7 +12,10 @@ from tallyline.operators.facts import collection_facts, distinct_snapshots, inde
 from tallyline.operators.labels import (
     DEFAULT_INACTIVITY,
     activity_policy_labels,
+    discrete_history,
     discrete_labels,
+    policy_labels_of,
+    with_policy_status,
 )
 from tallyline.operators.legacy import basic_sankey, dated_ranges, legacy_activity_labels
 from tallyline.operators.sankey import sankey_report, write_report
@@ -72,8 +75,26 @@ def apply_policy(
     )
 
 
-def report_transitions(warehouse: Warehouse, path: str) -> None:
-    write_report(sankey_report(warehouse.read(COLLECTION_POLICY_LABELS.name)), path)
+def label_all(
+    warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY, rules: str = "current"
+) -> DataFrame:
+    """Both label tables in one pass from the facts: the grid is made once, in place, and the policy
+    table has all columns of the other, which only has to be laid out by snapshot."""
+    facts, ranges = (warehouse.read(t.name) for t in (COLLECTION_OPS_AGG, PARTITION_RANGES))
+    labels = policy_labels_of(facts, ranges, n_inactivity, rules)
+    policy = warehouse.replace(COLLECTION_POLICY_LABELS.name, labels)
+    warehouse.write(COLLECTION_DISCRETE_LABELS.name, policy)
+    return policy
+
+
+def transitions(warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY) -> DataFrame:
+    """Policy labels by rank, from the facts: shuffling these costs less than shuffling the stored grid."""
+    facts, ranges = (warehouse.read(t.name) for t in (COLLECTION_OPS_AGG, PARTITION_RANGES))
+    return with_policy_status(discrete_history(facts, ranges), n_inactivity)
+
+
+def report_transitions(warehouse: Warehouse, path: str, n_inactivity: int = DEFAULT_INACTIVITY) -> None:
+    write_report(sankey_report(transitions(warehouse, n_inactivity)), path)
 
 
 def run_all(warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY) -> DataFrame:
@@ -81,9 +102,7 @@ def run_all(warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY) -> Dat
     derive_collection_facts(warehouse)
     derive_index_facts(warehouse)
     derive_timeline(warehouse)
-    label_collections(warehouse)
-    apply_policy(warehouse, n_inactivity)
-    return warehouse.read(COLLECTION_POLICY_LABELS.name)
+    return label_all(warehouse, n_inactivity)
 
 
 def label_legacy(warehouse: Warehouse) -> None:

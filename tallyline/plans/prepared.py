@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyline.operators.facts import distinct_snapshots
 from tallyline.operators.timeline import partition_ranges
+from tallyline.plans import jobs
 from tallyline.plans.event_items import op_count_items
 from tallyline.plans.report_captures import report_lines, write_reports
 from tallyline.schema import COLLECTION, INDEX, OP_COUNT_ITEM, PARTITION_RANGES
@@ -42,6 +43,18 @@ def event_warehouse(spark: SparkSession, data_dir: str) -> Warehouse:
     return _once("warehouse", spark, data_dir, fill)
 
 
+def labelled_warehouse(spark: SparkSession, data_dir: str) -> Warehouse:
+    """The same with facts and labels, for the checks that look at stored tables."""
+
+    def fill() -> Warehouse:
+        warehouse = event_warehouse(spark, data_dir)
+        jobs.derive_collection_facts(warehouse)
+        jobs.label_all(warehouse)
+        return warehouse
+
+    return _once("labels", spark, data_dir, fill)
+
+
 def csv_lake(spark: SparkSession, data_dir: str) -> str:
     """The items as delimited capture files; returns the glob of the capture directories."""
     items = event_warehouse(spark, data_dir).read(OP_COUNT_ITEM.name)

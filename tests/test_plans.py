@@ -7,7 +7,9 @@ import re
 import pytest
 
 from tallyline.operators.facts import collection_facts, index_facts
+from tallyline.plans import jobs
 from tallyline.plans.catalog import Inputs, registered
+from tallyline.sources.warehouse import Warehouse
 from tests.conftest import SAMPLE
 
 
@@ -25,6 +27,11 @@ def exchanges(plan: str) -> list[str]:
     ]
 
 
+def reads(df) -> set[str]:
+    """The tables of a warehouse that a query reads."""
+    return {re.search(r"/(\w+)/mongo_hostname=", path)[1] for path in df.inputFiles()}
+
+
 # Queries that write and read back; their plans are scans.
 WRITING = {
     "load_snapshot_csv", "path_partition_columns", "reload_one_snapshot", "warehouse_roundtrip_orc",
@@ -58,8 +65,30 @@ def test_scans_read_only_what_is_needed(spark):
 def test_partitions_are_pruned(spark):
     plan = plan_of(registered()["cohort_overlap"](spark, SAMPLE))
     assert re.search(r"PartitionFilters: \[.*days_post_epoch#\d+ IN \(19725,19750\)", plan)
-    first = plan_of(registered()["initial_future_date"](spark, SAMPLE))
-    assert "dynamicpruning" in first
+    for name in ("label_counts", "label_lookup"):
+        plan = plan_of(registered()[name](spark, SAMPLE))
+        assert re.search(r"PartitionFilters: \[.*days_post_epoch#\d+", plan) and "Exchange hash" not in plan.split("HashAggregate")[-1]
+    assert reads(registered()["distinct_snapshots"](spark, SAMPLE)) == {"collectionOpsAgg"}
+
+
+@pytest.mark.parametrize("name", ["initial_future_date", "startup_dates"])
+def test_only_first_snapshots_are_read_even_without_broadcast(spark, setting, name):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    plan = plan_of(registered()[name](spark, SAMPLE))
+    items = [scan for scan in re.findall(r"FileScan parquet .*", plan) if re.search(r"\bSince:timestamp", scan)]
+    assert items and all(re.search(r"PartitionFilters: \[.*concat_ws", scan) for scan in items)
+
+
+def test_jobs_make_the_grid_once(spark, tmp_path):
+    """Labels, policy and transitions come from the facts, not from a stored grid."""
+    warehouse = Warehouse(spark, str(tmp_path / "parquet"))
+    source = Inputs(spark, SAMPLE)
+    warehouse.write("opCountItem", source.items.filter("days_post_epoch < 19727"))
+    jobs.run_all(warehouse)
+    found = jobs.transitions(warehouse)
+    assert reads(found) == {"collectionOpsAgg", "partitionRanges"}
+    assert exchanges(plan_of(found)) == [SERIES]
 
 
 def test_no_python_and_no_cross_joins(spark):

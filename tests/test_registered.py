@@ -35,7 +35,7 @@ def test_query(spark, connection, name):
     "name",
     [
         "collection_grid", "before_after_grid", "activity_policy_labels", "sankey_edges",
-        "legacy_activity_labels",
+        "legacy_activity_labels", "initial_future_date", "startup_dates",
     ],
 )
 def test_without_broadcast(spark, connection, setting, name):
@@ -45,7 +45,8 @@ def test_without_broadcast(spark, connection, setting, name):
     df = QUERIES[name](spark, SAMPLE)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
-    assert not re.search(r"hashpartitioning\(mongo_hostname#\d+, \d+\)", plan)
+    # Only a horizon per host is grouped by host alone, from sums made before the shuffle.
+    assert name == "initial_future_date" or not re.search(r"hashpartitioning\(mongo_hostname#\d+, \d+\)", plan)
     assert difference(df, connection, STATEMENTS[name]) is None
 
 
