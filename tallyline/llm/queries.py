@@ -19,6 +19,7 @@ from tallyline.llm import (
     suffix_dedup,
     warc,
 )
+from tallyline.llm.statements import STATEMENTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,4 +114,4 @@ def registered() -> dict[str, Query]:
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return dict(STATEMENTS)
