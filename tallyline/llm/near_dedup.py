@@ -8,9 +8,10 @@ probability under 0.00001. Every link is confirmed on the full sets.
 
 Documents with equal sets are one node from the start. In each bucket of a band all nodes are held
 against the smallest one, which links nearly all of a group of near copies with as many pairs as
-members. Only members whose components still differ are then held against each other, by their
-signatures, in blocks; pairs that may reach the threshold are confirmed too. Nodes in one component
-need no further pairs, so nothing is lost and no group is written out as all its pairs.
+members. Only members whose components still differ are then held against each other, in blocks of
+a bounded size: by their signatures first, then, those with a possible partner, by their full sets.
+Only links are written out. Nodes in one component need no further pairs, and a pair is looked at
+in its first common bucket only, so nothing is lost and no group is written out as all its pairs.
 
 A text with fewer words than a shingle is one shingle; null text and a text without words have
 none and link with nothing. Rows that share a ``doc_id`` are one node. Rows without a ``doc_id``
@@ -146,7 +147,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bl
     stars = shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     first = stored(confirmed(docs, alike(stars, nodes, percent), size, percent), "links-to-hubs")
     roots = components(first)
-    rest = stored(confirmed(docs, crossing(shared, roots, nodes, percent, block), size, percent), "links-across")
+    rest = stored(crossing(docs, shared, roots, nodes, size, percent, block), "links-across")
     if not rest.isEmpty():
         roots = components(first.union(rest))
     per_class = (
@@ -191,9 +192,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "s_a", "s_b").mapInArrow(close, "a long, b long")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    pairs = stored(pairs, "pairs")
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``node, shingles`` of the wanted nodes: the sorted hashes of their sets."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,18 +203,23 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
                 names = batch.column(0).slice(first, len(part)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([names, pa.array(bodies, pa.binary())], schema=schema)
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked = wanted.select(F.pmod(F.xxhash64("node"), F.lit(_ASKED)).alias("slot")).distinct()
+    slot = F.pmod(F.xxhash64("node"), F.lit(_ASKED)).alias("slot")
     texts = (
         docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-        .withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(_ASKED)))
+        .select("*", slot)
         # At most _ASKED numbers, whatever the number of documents.
-        .join(F.broadcast(asked), "slot", "left_semi")
+        .join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
         .join(wanted, "node", "left_semi")
         .select("node", "text")
     )
-    known = stored(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    return stored(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
+
+def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    known = full_sets(docs, wanted, size)
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,47 +241,106 @@ def linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(one) + len(two) - both) > 0
 
 
-def crossing(shared: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of one bucket and different components that were not held against each other yet."""
-    member = (
+_CELL = ["bucket", "low", "high"]
+
+
+def crossing(
+    docs: DataFrame, shared: DataFrame, roots: DataFrame, nodes: DataFrame, size: int, percent: int, block: int
+) -> DataFrame:
+    """Links between nodes of one bucket and different components that were not held against each
+    other yet: enough of them to join their components."""
+    member = stored(
         shared.where("n > 2 and node != hub")
         .join(roots, "node", "left")
-        .select("bucket", "n", "node", F.coalesce("root", "node").alias("root"))
+        .join(nodes, "node")
+        .select("bucket", "node", F.coalesce("root", "node").alias("root"), "n_shingles", "signature"),
+        "bucket-members",
     )
-    member = stored(member, "bucket-members")
-    mixed = (
-        member.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low != high").select("bucket")
+    mixed = stored(
+        member.groupBy("bucket")
+        .agg(
+            F.min("root").alias("least"), F.max("root").alias("most"),
+            F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / (block * 2048))).cast("int").alias("parts"),
+        )
+        .where("least != most").select("bucket", "parts"),
+        "mixed-buckets",
     )
-    parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("mine")), F.greatest(k, F.col("mine")))
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda k: F.struct(F.least(k, F.col("mine")).alias("low"), F.greatest(k, F.col("mine")).alias("high")),
     )
     dealt = (
-        member.join(stored(mixed, "mixed-buckets"), "bucket")
-        .withColumn("parts", parts).withColumn("mine", mine)
-        .join(nodes.select("node", "n_shingles", "signature"), "node")
+        member.join(mixed, "bucket")
+        .withColumn("mine", mine)
         .withColumn("cell", F.explode(cells))
-        .select("bucket", "cell", "mine", "node", "root", "n_shingles", "signature")
+        .select("bucket", "cell.low", "cell.high", "mine", "node", "root", "n_shingles", "signature")
     )
-    least = _LEAST_SHARE * percent / 100 * COORDINATES
-
-    def across(rows: pa.Table) -> pa.Table:
-        node, root, count, mine = (rows.column(n).to_numpy() for n in ("node", "root", "n_shingles", "mine"))
-        matrix = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, COORDINATES)
-        cell = rows.column("cell")[0].as_py()
-        within = len(set(cell.values())) == 1
-        pairs = []
-        for i in range(len(node)):
-            other = (root != root[i]) & (node < node[i])
-            if not within:
-                other &= mine != mine[i]
-            other &= (np.minimum(count, count[i]) * 100 >= np.maximum(count, count[i]) * percent)
-            at = np.flatnonzero(other)
-            at = at[(matrix[at] == matrix[i]).sum(axis=1) >= least]
-            pairs.append(np.stack([np.full(len(at), node[i]), node[at]]))
-        both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        return pa.table([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-    return dealt.groupBy("bucket", "cell").applyInArrow(across, "a long, b long").distinct()
+    kind = "bucket long, low int, high int, mine int, node long, root long, n_shingles long, signature binary"
+    possible = stored(dealt.groupBy(*_CELL).applyInArrow(_with_partner(percent), kind), "possible")
+    known = full_sets(docs, possible.select("node").distinct(), size)
+    return possible.join(known, "node").groupBy(*_CELL).applyInArrow(_links(percent), "a long, b long")
+
+
+class Cell:
+    """The rows of a cell of a bucket, and for each row the partners worth a look."""
+
+    def __init__(self, rows: pa.Table, percent: int) -> None:
+        names = ("node", "root", "n_shingles", "mine")
+        self.node, self.root, self.count, self.mine = (rows.column(n).to_numpy() for n in names)
+        data = b"".join(rows.column("signature").to_pylist())
+        self.matrix = np.frombuffer(data, np.uint16).reshape(-1, COORDINATES)
+        self.bands = band_hashes(self.matrix).astype(np.int64)
+        self.bucket = rows.column("bucket")[0].as_py()
+        self.within = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+        self.percent, self.least = percent, _LEAST_SHARE * percent / 100 * COORDINATES
+
+    def partners(self, i: int) -> np.ndarray:
+        """Nodes before node i, of other components and alike sizes, whose first common bucket with it
+        is this one and whose signatures are near enough."""
+        other = (self.root != self.root[i]) & (self.node < self.node[i])
+        if not self.within:
+            other &= self.mine != self.mine[i]
+        count = self.count
+        other &= np.minimum(count, count[i]) * 100 >= np.maximum(count, count[i]) * self.percent
+        at = np.flatnonzero(other)
+        at = at[(self.matrix[at] == self.matrix[i]).sum(axis=1) >= self.least]
+        first = (self.bands[at] == self.bands[i]).argmax(axis=1)
+        return at[self.bands[i][first] == self.bucket]
+
+
+def _with_partner(percent: int):
+    def keep(rows: pa.Table) -> pa.Table:
+        cell = Cell(rows, percent)
+        found = np.zeros(len(cell.node), bool)
+        for i in range(len(cell.node)):
+            at = cell.partners(i)
+            found[at] = True
+            found[i] |= len(at) > 0
+        return rows.filter(pa.array(found))
+
+    return keep
+
+
+def _links(percent: int):
+    def join(rows: pa.Table) -> pa.Table:
+        cell = Cell(rows, percent)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        parent: dict[int, int] = {}
+
+        def find(root: int) -> int:
+            while parent.get(root, root) != root:
+                root = parent[root]
+            return root
+
+        links = []
+        for i in range(len(cell.node)):
+            for j in cell.partners(i).tolist():
+                one, two = find(int(cell.root[i])), find(int(cell.root[j]))
+                if one != two and linked(sets[i], sets[j], percent):
+                    parent[max(one, two)] = min(one, two)
+                    links.append((int(cell.node[i]), int(cell.node[j])))
+        columns = zip(*links) if links else [[], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return join
