@@ -14,8 +14,9 @@ Only links are written out. Nodes in one component need no further pairs, and a
 in its first common bucket only, so nothing is lost and no group is written out as all its pairs.
 
 A text with fewer words than a shingle is one shingle; null text and a text without words have
-none and link with nothing. Rows that share a ``doc_id`` are one node. Rows without a ``doc_id``
-are not linked: they have no component and are kept. Empty tables give empty results; other
+none and link with nothing. Rows that share a ``doc_id`` but not the set are one node: the set of the
+smallest digest stands for it, and all of them get its component. Rows without a ``doc_id`` are
+not linked: they have no component and are kept. Empty tables give empty results; other
 columns are ignored.
 """
 
@@ -75,6 +76,10 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip([0, *ends], ends)]
 
 
+def digest(shingles: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     place, rows = permutations()
     at = place[(shingles >> U64(44)).astype(np.int64)]
@@ -89,9 +94,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for first, part in chunks(binary(batch.column(1))):
                 sets = shingle_sets(part, size)
-                digests = np.array(
-                    [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-                ).reshape(-1, 2)
+                digests = np.array([digest(s) for s in sets]).reshape(-1, 2)
                 signatures = [signature(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -134,9 +137,10 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bl
     rows = stored(signed(docs, size), "signed")
     named = rows.where("n_shingles > 0 and doc_id is not null")
     classes = stored(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
+    chosen = classes.groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("d")).select("node", "d.*")
     nodes = stored(
-        classes.join(named.withColumnRenamed("doc_id", "node"), ["d1", "d2", "node"])
-        .dropDuplicates(["node"]).select("node", "n_shingles", "signature"),
+        chosen.join(named.withColumnRenamed("doc_id", "node"), ["d1", "d2", "node"])
+        .dropDuplicates(["node"]).select("node", "d1", "n_shingles", "signature"),
         "nodes",
     )
     members = stored(buckets(nodes), "buckets")
@@ -145,7 +149,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bl
     )
     shared = stored(members.join(hubs, "bucket"), "shared-buckets")
     stars = shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = stored(confirmed(docs, alike(stars, nodes, percent), size, percent), "links-to-hubs")
+    first = stored(confirmed(docs, nodes, alike(stars, nodes, percent), size, percent), "links-to-hubs")
     roots = components(first)
     rest = stored(crossing(docs, shared, roots, nodes, size, percent, block), "links-across")
     if not rest.isEmpty():
@@ -154,7 +158,6 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bl
         classes.join(roots, "node", "left")
         .select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
     )
-    # Rows of one id with different sets are one node: the smallest component holds for all.
     named_as = stored(per_class, "components")
     found = (
         rows.join(named_as, ["d1", "d2"], "left")
@@ -192,16 +195,19 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "s_a", "s_b").mapInArrow(close, "a long, b long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``node, shingles`` of the wanted nodes: the sorted hashes of their sets."""
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("d1", pa.int64()), ("shingles", pa.binary())])
+    wanted = stored(nodes.join(wanted, "node", "left_semi").select("node", "d1"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in chunks(binary(batch.column(1))):
-                bodies = [s.tobytes() for s in shingle_sets(part, size)]
+                found = shingle_sets(part, size)
                 names = batch.column(0).slice(first, len(part)).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([names, pa.array(bodies, pa.binary())], schema=schema)
+                firsts = pa.array([int(digest(s)[0]) for s in found], pa.int64())
+                bodies = pa.array([s.tobytes() for s in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, firsts, bodies], schema=schema)
 
     slot = F.pmod(F.xxhash64("node"), F.lit(_ASKED)).alias("slot")
     texts = (
@@ -212,14 +218,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         .join(wanted, "node", "left_semi")
         .select("node", "text")
     )
-    return stored(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    # A row of the same id with another set is not the one that was signed.
+    own = texts.mapInArrow(sets, "node long, d1 long, shingles binary").join(wanted, ["node", "d1"], "left_semi")
+    return stored(own.dropDuplicates(["node"]).drop("d1"), "sets")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    known = full_sets(docs, wanted, size)
+    known = full_sets(docs, nodes, wanted, size)
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +260,7 @@ def crossing(
     member = stored(
         shared.where("n > 2 and node != hub")
         .join(roots, "node", "left")
-        .join(nodes, "node")
+        .join(nodes.drop("d1"), "node")
         .select("bucket", "node", F.coalesce("root", "node").alias("root"), "n_shingles", "signature"),
         "bucket-members",
     )
@@ -278,7 +286,7 @@ def crossing(
     )
     kind = "bucket long, low int, high int, mine int, node long, root long, n_shingles long, signature binary"
     possible = stored(dealt.groupBy(*_CELL).applyInArrow(_with_partner(percent), kind), "possible")
-    known = full_sets(docs, possible.select("node").distinct(), size)
+    known = full_sets(docs, nodes, possible.select("node").distinct(), size)
     return possible.join(known, "node").groupBy(*_CELL).applyInArrow(_links(percent), "a long, b long")
 
 

@@ -43,6 +43,11 @@ def test_rows_without_id_and_repeated_rows(spark):
         (None, 3, None, True), (3, 3, 3, True), (3, 3, 3, True), (7, 3, 3, False), (9, 0, 9, True)
     ]
     assert near_copies(empty(spark)).collect() == []
+    # One id with two texts, each of which has a copy: whichever stands for it, it is one document.
+    rows = [(1, "other words " + text), (5, text), (5, "a b c d e f g h i j k l"), (8, text), (9, "a b c d e f g h i j k l")]
+    found = near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len({r.component_id for r in found.where("doc_id = 5").collect()}) == 1
+    assert rows_of(found, *OUT) == rows_of(near_copies(spark.createDataFrame(rows[::-1], "doc_id long, text string")), *OUT)
 
 
 def test_threshold_counts_a_tie():
