@@ -114,8 +114,8 @@ def test_no_machine_local_scratch_on_a_cluster():
         scratch.shared_root(cluster)
 
 
-def test_scratch_folders_are_removed(spark, setting, tmp_path):
-    setting("spark.checkpoint.dir", f"file://{tmp_path}")
+def test_scratch_folders_are_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scratch, "shared_root", lambda _: str(tmp_path))
     kept = scratch.stored(spark.range(3), "kept")
     with scratch.temporary(spark):
         assert scratch.stored(spark.range(2), "inside").count() == 2
@@ -127,8 +127,8 @@ def test_scratch_folders_are_removed(spark, setting, tmp_path):
     assert len(list(tmp_path.glob("tallyline-*"))) == 1
 
 
-def test_jobs_leave_no_scratch_folder(spark, setting, tmp_path):
-    setting("spark.checkpoint.dir", f"file://{tmp_path}/scratch")
+def test_jobs_leave_no_scratch_folder(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scratch, "shared_root", lambda _: str(tmp_path / "scratch"))
     warehouse = Warehouse(spark, str(tmp_path / "parquet"))
     events = spark.read.parquet(f"{SAMPLE}/events.parquet").filter("user_id < 4")
     warehouse.write("opCountItem", op_count_items(events))
@@ -138,11 +138,12 @@ def test_jobs_leave_no_scratch_folder(spark, setting, tmp_path):
 
 
 def test_events_of_any_days_are_kept(spark):
-    rows = [(1, f"2024-03-{d:02d} 10:00:00", 2, "click", 90.0, '{"k": 60}') for d in range(1, 31)]
-    rows += [(2, f"2024-04-{d:02d} 10:00:00", 2, "click", 90.0, '{"k": 60}') for d in range(1, 11)]
+    """Uses at the second at which this host is captured every day."""
+    rows = [(1, f"2024-03-{d:02d} 10:00:00", 6, "click", 90.0, '{"k": 60}') for d in range(1, 31)]
+    rows += [(2, f"2024-04-{d:02d} 10:00:00", 6, "click", 90.0, '{"k": 60}') for d in range(1, 11)]
     events = spark.createDataFrame(
         rows, "event_id long, ts string, user_id long, event_type string, value double, props string"
     )
     items = op_count_items(events).filter("IndexName = 'k_hi'")
     last = items.orderBy("days_post_epoch").collect()[-1]
-    assert items.select("days_post_epoch").distinct().count() == 40 and last.UseCount == 40
+    assert items.select("days_post_epoch").distinct().count() == 41 and last.UseCount == 40
