@@ -12,7 +12,7 @@ import io
 
 import numpy as np
 
-HEAD, GROUPS, SIZE = 63, 15, 64
+HEAD, GROUPS, SIZE = 24, 24, 40
 RARE = HEAD + GROUPS * SIZE
 BEGIN = RARE + 1
 CLASSES = RARE + 2
@@ -20,6 +20,8 @@ TOPS = HEAD + GROUPS + 1
 WIDTH, HIDDEN = 32, 32
 WINDOW, STRIDE = 32, 16
 _F = np.float32
+_ONES = np.ones(128, _F)
+_BATCH = 6000  # classes scored at once
 
 
 class Classes:
@@ -172,11 +174,23 @@ class Scorer:
         self.values = w["embed"] @ w["value"] @ w["mix"]
         ago = STRIDE + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :]
         self.near = np.where(ago >= 0, np.exp(np.clip(w["distance"][np.maximum(ago, 0)], -30, 30)), 0).astype(_F)
+        self.top = np.column_stack([w["top"], w["top_bias"]]).T.copy()
+        self.inner = [np.column_stack(both).T.copy() for both in zip(w["inner"], w["inner_bias"])]
 
     def log_chances(self, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Of every class but the first of each document, given those before it.
 
-        A window is a block of ``STRIDE`` places that are scored and the block before it, which is
+        Documents are taken a few at a time, so that the arrays of a batch stay in the cache.
+        """
+        parts, first = [], 0
+        while first < len(bounds) - 1:
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + _BATCH, side="right")) - 1)
+            parts.append(self._batch(classes[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]))
+            first = last
+        return np.concatenate(parts) if parts else np.zeros(0, _F)
+
+    def _batch(self, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """A window is a block of ``STRIDE`` places that are scored and the block before it, which is
         context only; the first block of a document has none.
         """
         sizes = np.diff(bounds) - 1
@@ -191,34 +205,36 @@ class Scorer:
         inputs[slot] = classes[source]
         inputs = inputs.reshape(-1, STRIDE)
         keys = np.concatenate([np.roll(inputs, 1, axis=0), inputs], axis=1)
-        pull = self.pull[(inputs * CLASSES)[:, :, None] + keys[:, None, :]]
+        pull = self.pull.take((inputs * CLASSES)[:, :, None] + keys[:, None, :], mode="clip")
         pull *= self.near
         pull[starts[sizes > 0], :, : WINDOW - STRIDE] = 0
-        pull /= pull.sum(axis=2, keepdims=True)
-        h = (self.w["embed"][inputs] + pull @ self.values[keys]).reshape(-1, WIDTH)[slot]
-        z = h + np.maximum(h @ self.w["widen"] + self.w["shift"], 0) @ self.w["narrow"]
+        seen = pull @ self.values.take(keys, axis=0, mode="clip")
+        seen /= (pull @ _ONES[:WINDOW])[:, :, None]
+        h = (self.w["embed"].take(inputs, axis=0, mode="clip") + seen).reshape(-1, WIDTH).take(slot, axis=0)
+        wide = h @ self.w["widen"]
+        wide += self.w["shift"]
+        np.maximum(wide, 0, out=wide)
+        z = np.ones((len(h), WIDTH + 1), _F)  # the last column takes the biases
+        z[:, :WIDTH] = h + wide @ self.w["narrow"]
         return self._choices(z, classes[source + 1])
 
     def _choices(self, z: np.ndarray, target: np.ndarray) -> np.ndarray:
         top = top_of(target)
-        out = self._chance(z, self.w["top"], self.w["top_bias"], top)
-        inner = (top >= HEAD) & (top < HEAD + GROUPS)
-        rows = np.flatnonzero(inner)
+        out = self._chance(z, self.top, top)
+        rows = np.flatnonzero((top >= HEAD) & (top < HEAD + GROUPS))
         rows = rows[np.argsort(top[rows], kind="stable")]
         edges = np.searchsorted(top[rows], np.arange(HEAD, HEAD + GROUPS + 1))
         for group in range(GROUPS):
             own = rows[edges[group] : edges[group + 1]]
             if len(own):
-                choice = (target[own] - HEAD) % SIZE
-                out[own] += self._chance(z[own], self.w["inner"][group], self.w["inner_bias"][group], choice)
+                out[own] += self._chance(z[own], self.inner[group], (target[own] - HEAD) % SIZE)
         return out
 
     @staticmethod
-    def _chance(z, weights, bias, choice) -> np.ndarray:
-        logits = z @ weights.T
-        logits += bias
+    def _chance(z: np.ndarray, weights: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        logits = z @ weights
+        if logits.max() > 60:  # exp would leave the range of the type
+            logits -= logits.max(axis=1, keepdims=True)
         chosen = logits[np.arange(len(z)), choice]
-        highest = logits.max(axis=1)
-        logits -= highest[:, None]
         np.exp(logits, out=logits)
-        return chosen - highest - np.log(logits.sum(axis=1))
+        return chosen - np.log(logits @ _ONES[: logits.shape[1]])
