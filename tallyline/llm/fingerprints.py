@@ -130,7 +130,7 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], _OUT_DDL)
     # The smallest id of each block that has any: no more numbers than shuffle partitions.
     below = docs.select(order).withColumn("block", _place(sorted(set(cuts))))
-    firsts = sorted(r[0] for r in below.groupBy("block").agg(F.min("order")).collect())
+    firsts = sorted(r.first for r in below.groupBy("block").agg(F.min("order").alias("first")).collect())
 
     own = F.struct((_place(firsts) - 1).alias("block"), F.lit(0).alias("late"))
     before = F.struct(
