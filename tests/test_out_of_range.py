@@ -23,6 +23,7 @@ def test_order_is_by_day_then_second(spark):
         (r.CollectionName, r.PartitionRank): r.CollectionUseStatus
         for r in discrete_labels(facts, ranges).collect()
     }
-    assert labels["gone", 2] == "Deleted" and len(labels) == 4
+    # There at the first snapshot and purged since: removed, not "not yet created".
+    assert labels["gone", 2] == "Removed" and len(labels) == 4
     known = {r.CollectionName: tuple(r) for r in known_collections(facts).collect()}
     assert 101 * 86_400 in known["both"] and 100 * 86_400 + 95_000 in known["gone"]
