@@ -1,62 +1,75 @@
 """A small causal self-attention model of classes of subword ids, in numpy.
 
 One head attends to the last ``WINDOW`` places with a learned weight per distance; a hidden layer
-follows. The next id is chosen in two steps: one of ``HEAD`` frequent ids, a group of ids or the
-rare ones; then an id of the group. The rare ids share one class and keep the shares that their
-counts in the corpus give them.
+follows. Every id that occurs in the corpus is a class with an embedding and an output of its own.
+The next one is chosen in steps: one of ``HEAD`` frequent ids, a group of frequent ids or the tail;
+then an id of the group, or a group of the tail and an id of that. Ids that the corpus lacks, of which
+nothing can be learnt, share the class ``RARE`` in equal parts.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 
 HEAD, GROUPS, SIZE = 24, 24, 40
-RARE = HEAD + GROUPS * SIZE
+COMMON = HEAD + GROUPS * SIZE
+TAILS = 222  # groups of the tail, and classes in each: room for all ids of the tokenizer
+RARE = COMMON + TAILS * TAILS
 BEGIN = RARE + 1
 CLASSES = RARE + 2
 TOPS = HEAD + GROUPS + 1
 WIDTH, HIDDEN = 32, 32
 WINDOW, STRIDE = 32, 16
 _F = np.float32
-_ONES = np.ones(128, _F)
+_ONES = np.ones(TAILS + 1, _F)
 _BATCH = 6000  # classes scored at once
+_NEVER = 1e-20  # for a count of a class that no id has
 
 
 class Classes:
-    """The class of every id, from the ids' counts in the corpus."""
+    """The class of every id, from the ids' counts in the corpus: the most frequent ids first."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        top = np.argsort(-counts, kind="stable")[:RARE]
+        top = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        if len(top) > RARE:
+            raise ValueError(f"{len(top)} ids, but {RARE} classes")
         self.of = np.full(len(counts), RARE, np.int32)
         self.of[top] = np.arange(len(top))
-        rare = np.where(self.of == RARE, counts + 0.5, 0.0)
-        with np.errstate(divide="ignore"):
-            self.log_share = np.where(self.of == RARE, np.log(rare / max(rare.sum(), 1.0)), 0.0)
-        self.counts = np.bincount(self.of, counts, minlength=CLASSES) + 1.0
+        rare = self.of == RARE
+        self.log_share = np.where(rare, -np.log(max(rare.sum(), 1)), 0.0)
+        self.counts = np.bincount(self.of, counts, minlength=CLASSES)
+        self.counts[: len(top)] += 1.0
+        self.counts[RARE:] += 1.0
 
 
 def top_of(target: np.ndarray) -> np.ndarray:
     """The first choice that leads to a class."""
     group = HEAD + (target - HEAD) // SIZE
-    return np.where(target < HEAD, target, np.where(target < RARE, group, HEAD + GROUPS))
+    return np.where(target < HEAD, target, np.where(target < COMMON, group, HEAD + GROUPS))
 
 
 def initial(counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
     """Small random weights; biases of the choices from the classes' counts."""
     random = np.random.default_rng(seed)
-    tops = np.concatenate([counts[:HEAD], counts[HEAD:RARE].reshape(GROUPS, SIZE).sum(axis=1), counts[RARE : RARE + 1]])
-    inner = counts[HEAD:RARE].reshape(GROUPS, SIZE)
+    counts = np.maximum(counts, _NEVER)
+    inner = counts[HEAD:COMMON].reshape(GROUPS, SIZE)
+    last = counts[COMMON:RARE].reshape(TAILS, TAILS)
+    tail = np.append(last.sum(axis=1), counts[RARE])
+    tops = np.concatenate([counts[:HEAD], inner.sum(axis=1), [tail.sum()]])
     shapes = {
         "embed": (CLASSES, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH),
         "mix": (WIDTH, WIDTH), "widen": (WIDTH, HIDDEN), "narrow": (HIDDEN, WIDTH), "top": (TOPS, WIDTH),
-        "inner": (GROUPS, SIZE, WIDTH),
+        "inner": (GROUPS, SIZE, WIDTH), "tail": (TAILS + 1, WIDTH), "last": (TAILS, TAILS, WIDTH),
     }
-    weights = {name: random.normal(0, 0.1 if name in ("embed", "top", "inner") else 0.2, s) for name, s in shapes.items()}
+    small = ("embed", "top", "inner", "tail", "last")
+    weights = {name: random.normal(0, 0.1 if name in small else 0.2, s) for name, s in shapes.items()}
     weights |= {
         "distance": np.zeros(WINDOW), "shift": np.zeros(HIDDEN),
         "top_bias": np.log(tops / tops.sum()), "inner_bias": np.log(inner / inner.sum(axis=1, keepdims=True)),
+        "tail_bias": np.log(tail / tail.sum()), "last_bias": np.log(last / last.sum(axis=1, keepdims=True)),
     }
     return {name: w.astype(_F) for name, w in weights.items()}
 
@@ -83,6 +96,28 @@ _CAUSAL = np.where(_AGO >= 0, 0, -1e9).astype(_F)
 _AGO = np.maximum(_AGO, 0)
 
 
+def _by_group(rows: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of every group that has any."""
+    rows = rows[np.argsort(group, kind="stable")]
+    found, starts = np.unique(np.sort(group), return_index=True)
+    yield from zip(found.tolist(), np.split(rows, starts[1:]))
+
+
+def _choices_of(target: np.ndarray) -> Iterator[tuple[str, int | None, np.ndarray, np.ndarray]]:
+    """All choices on the way to the targets: weights, group in them, rows that choose, what they choose."""
+    top = top_of(target)
+    yield "top", None, np.arange(len(target)), top
+    rows = np.flatnonzero((top >= HEAD) & (top < HEAD + GROUPS))
+    for group, own in _by_group(rows, top[rows] - HEAD):
+        yield "inner", group, own, (target[own] - HEAD) % SIZE
+    rows = np.flatnonzero(top == HEAD + GROUPS)
+    if len(rows):
+        yield "tail", None, rows, (target[rows] - COMMON) // TAILS  # RARE is what follows the last group
+    rows = rows[target[rows] < RARE]
+    for group, own in _by_group(rows, (target[rows] - COMMON) // TAILS):
+        yield "last", group, own, (target[own] - COMMON) % TAILS
+
+
 def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of a batch of windows and its derivatives; targets below 0 do not count."""
     n, scale = len(inputs), _F(1 / np.sqrt(WIDTH))
@@ -99,24 +134,24 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray)
     rows = np.flatnonzero(y >= 0)
     y, zs = y[rows], z[rows]
     each = _F(1 / max(len(rows), 1))
-    top, at = top_of(y), np.arange(len(rows))
-    p = _softmax(zs @ w["top"].T + w["top_bias"])
-    loss = -np.log(p[at, top] + 1e-30).sum()
-    p[at, top] -= 1
-    p *= each
     g = {name: np.zeros_like(value) for name, value in w.items()}
-    g["top"], g["top_bias"] = p.T @ zs, p.sum(axis=0)
-    dz = p @ w["top"]
-    for group in range(GROUPS):
-        own = np.flatnonzero(top == HEAD + group)
-        if len(own):
-            choice = (y[own] - HEAD) % SIZE
-            p = _softmax(zs[own] @ w["inner"][group].T + w["inner_bias"][group])
-            loss -= np.log(p[np.arange(len(own)), choice] + 1e-30).sum()
-            p[np.arange(len(own)), choice] -= 1
-            p *= each
-            g["inner"][group], g["inner_bias"][group] = p.T @ zs[own], p.sum(axis=0)
-            dz[own] += p @ w["inner"][group]
+    dz = np.zeros_like(zs)
+    loss = 0.0
+    for name, place, own, choice in _choices_of(y):
+        weights, bias = (w[name], w[name + "_bias"]) if place is None else (w[name][place], w[name + "_bias"][place])
+        p = zs[own] @ weights.T + bias
+        p -= p.max(axis=1, keepdims=True)
+        at = np.arange(len(own))
+        chosen = p[at, choice]
+        np.exp(p, out=p)
+        sums = p.sum(axis=1, keepdims=True)
+        loss -= (chosen - np.log(sums[:, 0])).sum()
+        p /= sums
+        p[at, choice] -= 1
+        p *= each
+        where = ... if place is None else place
+        g[name][where], g[name + "_bias"][where] = p.T @ zs[own], p.sum(axis=0)
+        dz[own] += p @ weights
     full = np.zeros_like(z)
     full[rows] = dz
     g["narrow"] = active.T @ full
@@ -136,10 +171,21 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray)
     for name, d in (("query", dq), ("key", dk), ("value", dv)):
         g[name] = flat(x).T @ flat(d)
         dx += d @ w[name].T
-    np.add.at(g["embed"], inputs.ravel(), flat(dx))
+    order = np.argsort(inputs, axis=None, kind="stable")
+    found, starts = np.unique(inputs.ravel()[order], return_index=True)
+    g["embed"][found] = np.add.reduceat(flat(dx)[order], starts, axis=0)
     return float(loss * each), g
 
 
+def _touched(inputs: np.ndarray, targets: np.ndarray) -> dict[str, object]:
+    """What of every weight a batch has derivatives for: of the large ones only some rows."""
+    tail = targets[(targets >= COMMON) & (targets < RARE)]
+    groups = np.unique((tail - COMMON) // TAILS)
+    names = ("query", "key", "value", "mix", "widen", "narrow", "distance", "shift", "top", "top_bias",
+             "inner", "inner_bias", "tail", "tail_bias")
+    return dict.fromkeys(names, ...) | {"embed": np.unique(inputs), "last": groups, "last_bias": groups}
+
+
 def train(w: dict[str, np.ndarray], stream: np.ndarray, steps: int, rate: float, seed: int, batch: int = 64) -> dict[str, np.ndarray]:
     """Adam over random windows of a stream of classes (documents one after the other)."""
     random = np.random.default_rng(seed)
@@ -155,27 +201,29 @@ def train(w: dict[str, np.ndarray], stream: np.ndarray, steps: int, rate: float,
         targets = np.where(following == BEGIN, -1, following)
         _, g = gradients(w, stream[at], targets)
         now = rate * min(1.0, step / 30) * (1 - 0.7 * step / steps)
-        for name in w:
-            first[name] += 0.1 * (g[name] - first[name])
-            second[name] += 0.01 * (g[name] ** 2 - second[name])
-            size = np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8
-            w[name] -= (now * first[name] / (1 - 0.9**step) / size).astype(_F)
+        for name, touched in _touched(stream[at], targets).items():
+            slope = g[name][touched]
+            one = first[name][touched] * _F(0.9) + _F(0.1) * slope
+            two = second[name][touched] * _F(0.99) + _F(0.01) * slope**2
+            first[name][touched], second[name][touched] = one, two
+            size = np.sqrt(two / (1 - 0.99**step)) + 1e-8
+            w[name][touched] -= (now * one / (1 - 0.9**step) / size).astype(_F)
     return w
 
 
 class Scorer:
-    """Log probabilities of whole documents. As inputs are classes, the products of queries and
-    keys and the mixed values are tables, made once."""
+    """Log probabilities of whole documents. As inputs are classes, their queries, keys and mixed
+    values are tables, made once."""
 
     def __init__(self, w: dict[str, np.ndarray]) -> None:
         self.w = w
-        score = (w["embed"] @ w["query"]) @ (w["embed"] @ w["key"]).T * _F(1 / np.sqrt(WIDTH))
-        self.pull = np.exp(np.clip(score, -30, 30)).ravel()
+        self.queries = w["embed"] @ w["query"] * _F(1 / np.sqrt(WIDTH))
+        self.keys = w["embed"] @ w["key"]
         self.values = w["embed"] @ w["value"] @ w["mix"]
         ago = STRIDE + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :]
         self.near = np.where(ago >= 0, np.exp(np.clip(w["distance"][np.maximum(ago, 0)], -30, 30)), 0).astype(_F)
-        self.top = np.column_stack([w["top"], w["top_bias"]]).T.copy()
-        self.inner = [np.column_stack(both).T.copy() for both in zip(w["inner"], w["inner_bias"])]
+        self.choices = {n: np.concatenate([w[n], w[n + "_bias"][..., None]], axis=-1) for n in ("top", "inner", "tail", "last")}
+        self.choices = {n: np.ascontiguousarray(both.swapaxes(-1, -2)) for n, both in self.choices.items()}
 
     def log_chances(self, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Of every class but the first of each document, given those before it.
@@ -205,7 +253,10 @@ class Scorer:
         inputs[slot] = classes[source]
         inputs = inputs.reshape(-1, STRIDE)
         keys = np.concatenate([np.roll(inputs, 1, axis=0), inputs], axis=1)
-        pull = self.pull.take((inputs * CLASSES)[:, :, None] + keys[:, None, :], mode="clip")
+        pull = self.queries.take(inputs, axis=0, mode="clip") @ self.keys.take(keys, axis=0, mode="clip").swapaxes(1, 2)
+        if pull.size and max(pull.max(), -pull.min()) > 30:
+            np.clip(pull, -30, 30, out=pull)
+        np.exp(pull, out=pull)
         pull *= self.near
         pull[starts[sizes > 0], :, : WINDOW - STRIDE] = 0
         seen = pull @ self.values.take(keys, axis=0, mode="clip")
@@ -219,15 +270,13 @@ class Scorer:
         return self._choices(z, classes[source + 1])
 
     def _choices(self, z: np.ndarray, target: np.ndarray) -> np.ndarray:
-        top = top_of(target)
-        out = self._chance(z, self.top, top)
-        rows = np.flatnonzero((top >= HEAD) & (top < HEAD + GROUPS))
-        rows = rows[np.argsort(top[rows], kind="stable")]
-        edges = np.searchsorted(top[rows], np.arange(HEAD, HEAD + GROUPS + 1))
-        for group in range(GROUPS):
-            own = rows[edges[group] : edges[group + 1]]
-            if len(own):
-                out[own] += self._chance(z[own], self.inner[group], (target[own] - HEAD) % SIZE)
+        out = np.zeros(len(z), _F)
+        for name, group, own, choice in _choices_of(target):
+            if group is None and len(own) == len(z):
+                out += self._chance(z, self.choices[name], choice)
+            else:
+                weights = self.choices[name]
+                out[own] += self._chance(z[own], weights if group is None else weights[group], choice)
         return out
 
     @staticmethod

@@ -107,3 +107,27 @@ def test_training_lowers_the_loss():
     made = attention.train(start, stream, 150, 1e-2, seed=1)
     inputs, targets = stream[None, : attention.WINDOW], stream[None, 1 : attention.WINDOW + 1]
     assert attention.gradients(made, inputs, targets)[0] < 0.5 * attention.gradients(start, inputs, targets)[0]
+
+
+def test_every_id_of_the_corpus_is_a_class_of_its_own():
+    counts = np.zeros(lm_scoring.IDS)
+    counts[::10] = np.arange(1, len(counts[::10]) + 1)
+    classes = attention.Classes(counts)
+    occurring = classes.of[counts > 0]
+    assert len(np.unique(occurring)) == len(occurring) and not (occurring == attention.RARE).any()
+    assert (classes.log_share[counts > 0] == 0).all() and (classes.of[counts == 0] == attention.RARE).all()
+    # All ids of the tokenizer have room.
+    assert len(np.unique(attention.Classes(np.ones(lm_scoring.IDS)).of)) == lm_scoring.IDS
+
+
+def test_infrequent_ids_are_learnt_from_and_predicted_by_context():
+    """Ids beyond the frequent ones, of equal counts, in a fixed order: each tells the next."""
+    counts = np.zeros(lm_scoring.IDS)
+    counts[:1600] = np.where(np.arange(1600) < 1500, 1000, 10)
+    classes = attention.Classes(counts)
+    stream = np.tile(classes.of[1500:1600], 60)
+    start = attention.initial(classes.counts)
+    made = attention.train(start, stream, 200, 1e-2, seed=1)
+    text, bounds = stream[:101], np.array([0, 101])
+    before, after = (attention.Scorer(w).log_chances(text, bounds).mean() for w in (start, made))
+    assert after > -1 and before < -4
