@@ -10,7 +10,7 @@ nothing can be learnt, share the class ``RARE`` in equal parts.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -186,12 +186,75 @@ def _touched(inputs: np.ndarray, targets: np.ndarray) -> dict[str, object]:
     return dict.fromkeys(names, ...) | {"embed": np.unique(inputs), "last": groups, "last_bias": groups}
 
 
+class Adam:
+    """Weights in training, and how often each row of the large ones had derivatives."""
+
+    def __init__(self, w: dict[str, np.ndarray]) -> None:
+        self.w = {name: value.copy() for name, value in w.items()}
+        self.first = {name: np.zeros_like(value) for name, value in w.items()}
+        self.second = {name: np.zeros_like(value) for name, value in w.items()}
+        self.steps = 0
+        self.uses = {name: np.zeros(w[name].shape[0] if name in BY_ROW else 1) for name in w}
+
+    def step(self, inputs: np.ndarray, targets: np.ndarray, rate: float) -> None:
+        self.steps += 1
+        _, g = gradients(self.w, inputs, targets)
+        for name, touched in _touched(inputs, targets).items():
+            slope = g[name][touched]
+            one = self.first[name][touched] * _F(0.9) + _F(0.1) * slope
+            two = self.second[name][touched] * _F(0.99) + _F(0.01) * slope**2
+            self.first[name][touched], self.second[name][touched] = one, two
+            size = np.sqrt(two / (1 - 0.99**self.steps)) + 1e-8
+            self.w[name][touched] -= (rate * one / (1 - 0.9**self.steps) / size).astype(_F)
+            self.uses[name][touched] += 1
+
+    def over(self, inputs: np.ndarray, targets: np.ndarray, rate: Callable[[int], float], random, batch: int) -> None:
+        """All the windows once, in a random order."""
+        order = random.permutation(len(inputs))
+        for k in range(0, len(order), batch):
+            at = order[k : k + batch]
+            self.step(inputs[at], targets[at], rate(self.steps + 1))
+
+    def moves(self, start: dict[str, np.ndarray]) -> np.ndarray:
+        """How far the weights are from the start times their uses, and the uses, in one vector: sums of
+        such vectors make the mean in which a row counts as often as it was used."""
+        parts = []
+        for name in sorted(start):
+            uses = self.uses[name]
+            moved = (self.w[name] - start[name]).reshape(len(uses), -1) * uses[:, None]
+            parts += [moved.ravel(), uses]
+        return np.concatenate(parts).astype(_F)
+
+
+BY_ROW = ("embed", "last", "last_bias")
+
+
+def moved(start: dict[str, np.ndarray], moves: np.ndarray) -> dict[str, np.ndarray]:
+    """The start and the mean of the moves that were summed."""
+    out, at = {}, 0
+    for name in sorted(start):
+        rows = start[name].shape[0] if name in BY_ROW else 1
+        sums, uses = moves[at : at + start[name].size], moves[at + start[name].size :][:rows]
+        at += len(sums) + rows
+        mean = sums.reshape(rows, -1) / np.maximum(uses, 1)[:, None]
+        out[name] = (start[name] + mean.reshape(start[name].shape)).astype(_F)
+    return out
+
+
+def windows(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of a stream of classes; every class but the first and the begin marks is a
+    target once."""
+    number = -(-(len(stream) - 1) // WINDOW)
+    padded = np.full(number * WINDOW + 1, BEGIN, np.int32)
+    padded[: len(stream)] = stream
+    inputs, following = padded[:-1].reshape(-1, WINDOW), padded[1:].reshape(-1, WINDOW)
+    return inputs, np.where(following == BEGIN, -1, following)
+
+
 def train(w: dict[str, np.ndarray], stream: np.ndarray, steps: int, rate: float, seed: int, batch: int = 64) -> dict[str, np.ndarray]:
     """Adam over random windows of a stream of classes (documents one after the other)."""
     random = np.random.default_rng(seed)
-    w = {name: value.copy() for name, value in w.items()}
-    first = {name: np.zeros_like(value) for name, value in w.items()}
-    second = {name: np.zeros_like(value) for name, value in w.items()}
+    adam = Adam(w)
     if len(stream) <= WINDOW + 1:
         stream = np.resize(stream, WINDOW + 2) if len(stream) else np.full(WINDOW + 2, BEGIN)
     places = np.arange(WINDOW)
@@ -199,16 +262,13 @@ def train(w: dict[str, np.ndarray], stream: np.ndarray, steps: int, rate: float,
         at = random.integers(0, len(stream) - WINDOW, batch)[:, None] + places
         following = stream[at + 1]
         targets = np.where(following == BEGIN, -1, following)
-        _, g = gradients(w, stream[at], targets)
-        now = rate * min(1.0, step / 30) * (1 - 0.7 * step / steps)
-        for name, touched in _touched(stream[at], targets).items():
-            slope = g[name][touched]
-            one = first[name][touched] * _F(0.9) + _F(0.1) * slope
-            two = second[name][touched] * _F(0.99) + _F(0.01) * slope**2
-            first[name][touched], second[name][touched] = one, two
-            size = np.sqrt(two / (1 - 0.99**step)) + 1e-8
-            w[name][touched] -= (now * one / (1 - 0.9**step) / size).astype(_F)
-    return w
+        adam.step(stream[at], targets, falling(rate, steps)(step))
+    return adam.w
+
+
+def falling(rate: float, steps: int) -> Callable[[int], float]:
+    """Rate of a step: rising at first, then falling to three tenths."""
+    return lambda step: rate * min(1.0, step / 30) * (1 - 0.7 * min(1.0, step / max(steps, 1)))
 
 
 class Scorer:

@@ -1,8 +1,10 @@
 """Log probabilities of documents under a causal self-attention model and a word unigram base.
 
 Counts of words and of subword ids cover all training documents; they are combined in the tasks
-before they are shuffled. The attention model is trained, in a task of its own, on a bounded sample
-of training documents. Documents are scored where they are read: their ids go through overlapping windows, every
+before they are shuffled. The attention model learns from every training document: first, in a task of
+its own, from as many as a task has at least; then from all others in rounds. In a round every task
+goes through its documents in steps of a batch, and the moves of the weights are averaged, those of an
+id's own weights by how often a task used them. Documents are scored where they are read: their ids go through overlapping windows, every
 id is scored once, with the block of ids before its own as context.
 
 For the base, words that make up at least one in ``FREQUENT`` training tokens are looked up in a
@@ -31,8 +33,11 @@ from tallyline.llm.subwords import default_paths, encoder
 from tallyline.sources.scratch import stored
 
 FREQUENT = 500_000
-SAMPLE_DOCUMENTS = 6000
+TASK_DOCUMENTS = 6000
 STEPS, RATE = 2500, 1e-2
+BATCH = 64  # windows in a step of the first task
+ROUNDS, ROUND_BATCH = 4, 256
+_BLOCK, _FAN = 1 << 16, 32  # numbers of a vector in one row, and rows added up at once
 IDS = 50257
 END = 50256
 _WORD, _ID, _TEXT = 0, 1, 2
@@ -83,23 +88,79 @@ def sequences(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def trained(
     docs: DataFrame, classes: attention.Classes, paths: tuple[str, str], total: int, documents: int, steps: int
 ) -> dict[str, np.ndarray]:
-    """Weights after training on about ``documents`` of the ``total`` documents."""
-    first = attention.initial(classes.counts)
-    given = docs.sparkSession.sparkContext.broadcast((first, classes))
-    share = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = docs.where(F.col("text").isNotNull() & (share < documents / max(total, 1)))
-
-    def run(rows: pa.Table) -> pa.Table:
-        start, classes = given.value
-        # The order of rows that were shuffled is not fixed.
-        texts = sorted(lower(binary(rows.column("text").combine_chunks())))
-        ids, _ = sequences(*encoder(*paths).encode(texts))
-        stream = np.append(classes.of, attention.BEGIN)[ids]
-        made = attention.to_bytes(attention.train(start, stream, steps, RATE, seed=1))
-        return pa.table([pa.array([made], pa.binary())], names=["weights"])
-
-    made = sample.select("text", F.lit(0).alias("one")).groupBy("one").applyInArrow(run, "weights binary").first()
-    return attention.from_bytes(made.weights) if made else first
+    """Weights after training on all the ``total`` documents, each in one round."""
+    weights = attention.initial(classes.counts)
+    hashed = F.xxhash64("text", "doc_id")
+    share = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+    given = docs.where(F.col("text").isNotNull())
+    first = min(1.0, documents / max(total, 1))
+    # The order of rows that were shuffled is not fixed.
+    alone = given.where(share < first).select("text", hashed.alias("hash")).repartition(1)
+    rate = attention.falling(RATE, steps)
+    weights = learnt(alone.sortWithinPartitions("hash", "text"), weights, classes, paths, rate, BATCH, steps, 1)
+    if first == 1.0:
+        return weights
+    tasks = -(-total // documents)
+    for number in range(ROUNDS):
+        low, high = (first + (1 - first) * k / ROUNDS for k in (number, number + 1))
+        among = share >= low if number == ROUNDS - 1 else (share >= low) & (share < high)
+        rate = attention.falling(0.3 * RATE * (1 - 0.8 * number / ROUNDS), 1 << 30)
+        # Tasks have enough documents each, and are no more than that allows.
+        weights = learnt(given.where(among).coalesce(tasks), weights, classes, paths, rate, ROUND_BATCH, 0, tasks)
+    return weights
+
+
+def learnt(docs: DataFrame, weights, classes, paths, rate, batch: int, steps: int, tasks: int) -> dict[str, np.ndarray]:
+    """Weights after every task, of which there are ``tasks`` at most, made its steps: at least ``steps``,
+    if it has documents, in several passes over few documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((weights, classes))
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("body", pa.binary())])
+    ddl = "part int, block int, body binary"
+    few = steps * batch
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, classes = shared.value
+        of = np.append(classes.of, attention.BEGIN)
+        encode = encoder(*paths).encode
+        part = TaskContext.get().partitionId()
+        adam, random = attention.Adam(start), np.random.default_rng([1, part])
+        held, number = [], 0
+        for rows in batches:
+            for _, texts in chunks(binary(rows.column(0)), 1 << 20):
+                ids, _ = sequences(*encode(lower(texts)))
+                inputs, targets = attention.windows(of[ids])
+                adam.over(inputs, targets, rate, random, batch)
+                number += len(inputs)
+                if number < few:
+                    held.append((inputs, targets))
+                else:
+                    held = []
+        while held and adam.steps < steps:
+            adam.over(*(np.concatenate(both) for both in zip(*held)), rate, random, batch)
+        if adam.steps:
+            moves = adam.moves(start)
+            for block in range(-(-len(moves) // _BLOCK)):
+                body = moves[block * _BLOCK : (block + 1) * _BLOCK].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([body], pa.binary())], schema=schema)
+
+    def added(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        bodies = [np.frombuffer(body, np.float32) for body in rows.column("body").to_pylist()]
+        total = np.sum(bodies, axis=0, dtype=np.float64).astype(np.float32)
+        row = {"part": rows.column("up")[0].as_py(), "block": rows.column("block")[0].as_py(), "body": total.tobytes()}
+        return pa.Table.from_pylist([row], schema=schema)
+
+    rows = docs.select("text").mapInArrow(learn, ddl)
+    while tasks > 1:
+        up = F.floor(F.col("part") / _FAN).cast("int")
+        rows = rows.withColumn("up", up).groupBy("up", "block").applyInArrow(added, ddl)
+        tasks = -(-tasks // _FAN)
+    bodies = {r.block: r.body for r in rows.select("block", "body").collect()}
+    shared.unpersist()
+    if not bodies:
+        return weights
+    moves = np.concatenate([np.frombuffer(bodies[block], np.float32) for block in sorted(bodies)])
+    return attention.moved(weights, moves)
 
 
 _FOUND_DDL = (
@@ -170,14 +231,15 @@ def scored(docs: DataFrame, held_out: Column, weights, classes, frequent, texts:
 def scores(
     docs: DataFrame,
     held_out: Column,
-    documents: int = SAMPLE_DOCUMENTS,
+    documents: int = TASK_DOCUMENTS,
     steps: int = STEPS,
     frequent: int = FREQUENT,
     paths: tuple[str, str] | None = None,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
-    ``held_out``: the documents that nothing is learnt from. ``documents``: about so many are trained on.
+    ``held_out``: the documents that nothing is learnt from. All others are trained on, about
+    ``documents`` at least in a task, the first of which makes ``steps`` steps at least.
     """
     paths = paths or default_paths()
     training = docs.where(~held_out)

@@ -131,3 +131,53 @@ def test_infrequent_ids_are_learnt_from_and_predicted_by_context():
     text, bounds = stream[:101], np.array([0, 101])
     before, after = (attention.Scorer(w).log_chances(text, bounds).mean() for w in (start, made))
     assert after > -1 and before < -4
+
+
+def test_every_training_document_is_learnt_from(spark):
+    """However few documents a task takes, each document is in one round."""
+    pick = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(pick.choice(vocabulary, 60))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    paths = lm_scoring.default_paths()
+    by_id = np.zeros(lm_scoring.IDS)
+    for row in lm_scoring.counted(docs, paths).where("kind = 1").collect():
+        by_id[row.key] += row.n
+    classes = attention.Classes(by_id)
+    seen = []
+    whole = lm_scoring.learnt
+
+    def spied(part, *rest):
+        seen.append([r.text for r in part.select("text").collect()])
+        return whole(part, *rest)
+
+    lm_scoring.learnt = spied
+    try:
+        made = lm_scoring.trained(docs, classes, paths, 400, 50, 5)
+    finally:
+        lm_scoring.learnt = whole
+    assert len(seen) == 1 + lm_scoring.ROUNDS and all(seen)
+    assert sorted(t for part in seen for t in part) == sorted(text for _, text in rows)
+    start = attention.initial(classes.counts)
+    assert all(np.isfinite(w).all() for w in made.values())
+    used = np.unique(np.append(classes.of[by_id > 0], attention.BEGIN))
+    used = used[used != classes.of[lm_scoring.END]]  # the end precedes nothing
+    assert (made["embed"][used] != start["embed"][used]).any(axis=1).all()
+
+
+def test_steps_grow_with_the_tokens_and_moves_are_averaged_by_use(spark):
+    counts = np.zeros(lm_scoring.IDS)
+    counts[:2000] = 5
+    start = attention.initial(attention.Classes(counts).counts)
+    one, two = attention.Adam(start), attention.Adam(start)
+    inputs, targets = attention.windows(np.append(attention.BEGIN, np.arange(1, 200)))
+    assert np.array_equal(np.sort(targets[targets >= 0]), np.arange(1, 200))
+    one.over(inputs, targets, lambda step: 0.01, np.random.default_rng(0), 2)
+    other = attention.windows(np.append(attention.BEGIN, np.arange(1000, 1100)))
+    two.over(*other, lambda step: 0.01, np.random.default_rng(0), 2)
+    assert (one.steps, two.steps) == (4, 2)
+    both = attention.moved(start, one.moves(start) + two.moves(start))
+    # Rows that one task used are not thinned by the other; shared ones are a mean.
+    assert np.allclose(both["embed"][1:190], one.w["embed"][1:190], atol=1e-6)
+    assert np.allclose(both["embed"][1000:1090], two.w["embed"][1000:1090], atol=1e-6)
+    assert np.allclose(both["query"], (4 * one.w["query"] + 2 * two.w["query"]) / 6, atol=1e-6)
