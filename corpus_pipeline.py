@@ -22,10 +22,16 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id. Rows that share an id
-    are one document and stay or go together, so copies under one id both stay; rows without an
-    id stay."""
-    return without(docs, near_dedup.near_copies(docs).where("not kept"), "near-copies")
+    """One row of each group of near copies: that of the smallest id, rows without an id last. Rows are
+    told apart by a key made here, so copies under one id or without an id go too, and rows of one id
+    with different texts are decided each on its own."""
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "keyed")
+    found = near_dedup.near_copies(keyed.select(F.col("key").alias("doc_id"), "row.text"))
+    found = found.select(F.col("doc_id").alias("key"), "component_id")
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", "key")
+    first = found.join(keyed.select("key", order.alias("order")), "key").groupBy("component_id").agg(F.min("order").alias("first"))
+    kept = stored(first.select("first.key"), "kept-rows")
+    return keyed.join(kept, "key", "left_semi").select("row.*")
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,14 @@ def test_empty_tables_and_missing_ids(spark, name):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string"))
     found = STAGES[name](spark, docs, SAMPLE)
     assert len(rows_of(found, found.columns[0])) >= 1
+
+
+def test_copies_under_one_id_or_without_an_id_leave_one_text(spark):
+    text, other = (" ".join(f"{w}{k}" for k in range(60)) for w in ("clean", "other"))
+    lone = " ".join(f"lone{k}" for k in range(60))
+    rows = [(1, text), (1, text), (None, text), (2, other), (None, other + " end"), (None, lone), (None, lone), (1, lone + " x"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = NEAR(spark, docs, SAMPLE)
+    wanted = [(1, lone + " x"), (1, text), (2, other), (3, None)]
+    assert sorted((tuple(r) for r in left.collect()), key=str) == sorted(wanted, key=str)
+    assert sorted((tuple(r) for r in STRINGS(spark, left, SAMPLE).collect()), key=str) == sorted(wanted, key=str)
