@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import (
+    clustering,
     decontamination,
+    exact_dedup,
     fingerprints,
     language_id,
+    lexical_search,
     lm_scoring,
     near_dedup,
     packing,
@@ -98,6 +101,20 @@ def op10_phrase_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_clustering(spark: SparkSession, data_dir: str) -> DataFrame:
+    found = clustering.clustered(table(spark, data_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", clustering.centroid_digest()).drop("centroid")
+
+
+def op12_lexical_search(spark: SparkSession, data_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, data_dir, "documents"), table(spark, data_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
+    found = exact_dedup.marked(table(spark, data_dir, "documents"), digest_all=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -110,6 +127,9 @@ def registered() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_warc": op9_warc,
         "op10_phrase_dedup": op10_phrase_dedup,
+        "op11_clustering": op11_clustering,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 

@@ -6,6 +6,41 @@ _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _DARK = r"[^\x20\x09-\x0D]+"
 
+
+def _centroid_rounds(k: int, rounds: int, size: int, scale: int) -> str:
+    """Whole k-means, a chain of tables per round; d and a: distances and choices, c: centroids."""
+    parts = [f"""
+        WITH kept AS (
+            SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+            WHERE len(embedding) = {size}
+                AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}
+        ), points AS MATERIALIZED (
+            SELECT row, i, floor({scale}.0::DOUBLE * embedding[i]::DOUBLE)::BIGINT AS x
+            FROM (SELECT *, unnest(range(1, {size + 1})) AS i FROM kept)
+        ), firsts AS (
+            SELECT row, row_number() OVER (ORDER BY h, embedding) - 1 AS j
+            FROM (SELECT *, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM kept) ORDER BY h, embedding LIMIT {k}
+        ), c0 AS (SELECT j, i, x FROM points JOIN firsts USING (row))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""d{r} AS (
+            SELECT p.row, c.j, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS d FROM points p JOIN c{r} c USING (i) GROUP BY ALL
+        ), a{r} AS MATERIALIZED (
+            SELECT row, j, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, j) = 1
+        )""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (
+                SELECT j, i, sum(x) AS s, count(*) AS n FROM points JOIN a{r} USING (row) GROUP BY ALL
+            ), c{r + 1} AS MATERIALIZED (
+                SELECT j, i, coalesce((s - ((s % n) + n) % n) // n, x)::BIGINT AS x FROM c{r} LEFT JOIN s{r} USING (j, i)
+            )""")
+    return ", ".join(parts) + f"""
+        , names AS (SELECT j, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY j)
+        SELECT vec_id, j::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia,
+            sum(d) OVER ()::BIGINT AS inertia, digest AS centroid_sha256
+        FROM a{rounds} JOIN kept USING (row) JOIN names USING (j)
+    """
+
+
 STATEMENTS = {
     "op2_decontamination": f"""
         WITH items AS (
@@ -100,4 +135,41 @@ STATEMENTS = {
             sha256(coalesce(words, '')) AS kept_sha256
         FROM docs LEFT JOIN kept USING (doc_id)
     """,
+    "op11_clustering": _centroid_rounds(8, 10, 64, 1024),
+    "op12_lexical_search": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all({_LOWER.format(t='text')}, '{_ALNUM}') AS w
+            FROM documents
+        ), totals AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs WHERE len(w) > 0),
+        postings AS (
+            SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM docs) GROUP BY ALL
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+            FROM postings, totals GROUP BY term
+        ), items AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+        asked AS (
+            SELECT item, term, count(*) AS repeats
+            FROM (SELECT item, unnest(regexp_extract_all({_LOWER.format(t='text')}, '{_ALNUM}')) AS term FROM items) GROUP BY ALL
+        ), sizes AS (
+            SELECT doc, doc_id, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM docs, totals WHERE len(w) > 0
+        ), scores AS (
+            SELECT item, doc, sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (doc) GROUP BY item, doc
+        )
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score
+        FROM (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank
+            FROM scores JOIN sizes USING (doc) WHERE score > 0) JOIN items USING (item)
+        WHERE rank <= 20
+    """,
+    "op13_exact_dedup": """
+        WITH docs AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n,
+                regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS plain
+            FROM documents
+        )
+        SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
+            count(*) OVER (PARTITION BY plain)::BIGINT AS group_size,
+            row_number() OVER best = 1 AS kept, sha256(plain) AS text_sha256
+        FROM docs WINDOW best AS (PARTITION BY plain ORDER BY n DESC, doc_id)
+    """,
 }
