@@ -358,17 +358,19 @@ def _expand(text: str) -> str:
     return text.replace("{{", "{").replace("}}", "}")
 
 
-def statement(body: str) -> str:
-    """``body`` preceded by the table expressions it needs, in their order of definition."""
+def statement(body: str, items_where: str = "true") -> str:
+    """``body`` preceded by the table expressions it needs, in their order of definition.
+    ``items_where``: the items that there are, for everything that follows from them."""
     body = _expand(body)
+    tables = _CTES | {"items": f"SELECT * FROM ({_CTES['items']}) WHERE {items_where}"}
     needed: set[str] = set()
     pending = [body]
     while pending:
         words = set(re.findall(r"\b\w+\b", pending.pop()))
-        for name in words & (_CTES.keys() - needed):
+        for name in words & (tables.keys() - needed):
             needed.add(name)
-            pending.append(_expand(_CTES[name]))
-    ctes = ",\n".join(f"{name} AS ({_expand(sql)})" for name, sql in _CTES.items() if name in needed)
+            pending.append(_expand(tables[name]))
+    ctes = ",\n".join(f"{name} AS ({_expand(sql)})" for name, sql in tables.items() if name in needed)
     return f"WITH {ctes}\n{body}"
 
 
@@ -532,5 +534,15 @@ _STATEMENTS = {
 }
 
 
+# Statements on the items that are left once some captures have become empty.
+_EMPTIED = "NOT (days_post_epoch = 19740 AND mongo_hostname IN ('mongo02', 'mongo03'))"
+_AFTER_EMPTYING = {
+    "reload_emptied_snapshot": _ALL_ITEMS,
+    "facts_of_changed_captures": "SELECT * FROM facts",
+    "labels_of_changed_hosts": "SELECT * FROM policy",
+}
+
+
 def statements() -> dict[str, str]:
-    return {name: statement(body) for name, body in _STATEMENTS.items()}
+    found = {name: statement(body) for name, body in _STATEMENTS.items()}
+    return found | {name: statement(body, _EMPTIED) for name, body in _AFTER_EMPTYING.items()}

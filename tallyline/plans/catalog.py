@@ -14,6 +14,7 @@ from tallyline.operators import history, labels, legacy, quality, sankey, timeli
 from tallyline.plans import report_captures
 from tallyline.plans.prepared import (
     csv_lake,
+    emptied_warehouse,
     event_warehouse,
     labelled_warehouse,
     report_lake,
@@ -46,6 +47,7 @@ LOOKUP = ("c2_click", 19745)
 COPIED_DAY = 19730
 REWRITTEN_DAY = 19740
 REWRITTEN_HOST = "mongo02"
+EMPTIED_HOSTS = ("mongo02", "mongo03")
 
 
 class Inputs:
@@ -119,6 +121,10 @@ def reload_one_snapshot(inputs: Inputs) -> DataFrame:
     return warehouse.read(OP_COUNT_ITEM.name)
 
 
+def _after_emptying(inputs: Inputs, table: Table) -> DataFrame:
+    return emptied_warehouse(inputs.spark, inputs.data_dir, REWRITTEN_DAY, EMPTIED_HOSTS).read(table.name)
+
+
 def warehouse_roundtrip_orc(inputs: Inputs) -> DataFrame:
     warehouse = Warehouse.scratch(inputs.spark, "orc")
     return warehouse.replace(OP_COUNT_ITEM.name, inputs.items)
@@ -253,6 +259,9 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "load_snapshot_csv": load_snapshot_csv,
     "path_partition_columns": path_partition_columns,
     "reload_one_snapshot": reload_one_snapshot,
+    "reload_emptied_snapshot": lambda q: _after_emptying(q, OP_COUNT_ITEM),
+    "facts_of_changed_captures": lambda q: _after_emptying(q, COLLECTION_OPS_AGG),
+    "labels_of_changed_hosts": lambda q: _after_emptying(q, COLLECTION_POLICY_LABELS),
     "warehouse_roundtrip_orc": warehouse_roundtrip_orc,
     "clean_index_report": clean_index_report,
     "parse_index_report": parse_index_report,

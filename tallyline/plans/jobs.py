@@ -6,7 +6,10 @@ a re-read, and the planner knows the size of the timeline before it joins it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyline.operators.facts import collection_facts, distinct_snapshots, index_facts
 from tallyline.operators.labels import (
@@ -22,15 +25,18 @@ from tallyline.operators.sankey import sankey_report, write_report
 from tallyline.operators.timeline import partition_ranges
 from tallyline.schema import (
     BASIC_SANKEY,
+    COLLECTION,
     COLLECTION_DISCRETE_LABELS,
     COLLECTION_OPS_AGG,
     COLLECTION_POLICY_LABELS,
+    HOST,
     INDEX_OPS_AGG,
     LEGACY_ACTIVITY_LABELS,
     OP_COUNT_ITEM,
     PARTITION_RANGES,
+    Table,
 )
-from tallyline.sources import reports
+from tallyline.sources import manifest, publications, reports
 from tallyline.sources.reports import DEFAULT_DB
 from tallyline.sources.scratch import stored, temporary
 from tallyline.sources.snapshots import lake_glob, load_snapshots
@@ -46,19 +52,57 @@ def load_reports(warehouse: Warehouse, lake_root: str, db_name: str = DEFAULT_DB
     reports.load_reports(warehouse, lake_glob(lake_root), db_name)
 
 
-def derive_collection_facts(warehouse: Warehouse) -> None:
-    warehouse.write(COLLECTION_OPS_AGG.name, collection_facts(warehouse.read(OP_COUNT_ITEM.name)))
+def derive_collection_facts(warehouse: Warehouse, captures: DataFrame | None = None) -> None:
+    """Facts of the items, or of chosen captures only; captures without items have no facts."""
+    items = warehouse.read(OP_COUNT_ITEM.name)
+    _rederive(warehouse, COLLECTION_OPS_AGG, captures, items, collection_facts)
 
 
-def derive_index_facts(warehouse: Warehouse) -> None:
-    facts = warehouse.read(COLLECTION_OPS_AGG.name)
-    warehouse.write(INDEX_OPS_AGG.name, index_facts(warehouse.read(OP_COUNT_ITEM.name), facts))
+def derive_index_facts(warehouse: Warehouse, captures: DataFrame | None = None) -> None:
+    items, facts = warehouse.read(OP_COUNT_ITEM.name), warehouse.read(COLLECTION_OPS_AGG.name)
+    if captures is not None:
+        facts = only(facts, captures)
+    _rederive(warehouse, INDEX_OPS_AGG, captures, items, lambda rows: index_facts(rows, facts))
 
 
-def derive_timeline(warehouse: Warehouse) -> None:
+def derive_timeline(warehouse: Warehouse, hosts: DataFrame | None = None) -> None:
     """Snapshots come from the collection facts: the smallest table that has them all."""
-    snapshots = distinct_snapshots(warehouse.read(COLLECTION_OPS_AGG.name))
-    warehouse.write(PARTITION_RANGES.name, partition_ranges(snapshots))
+    facts = warehouse.read(COLLECTION_OPS_AGG.name)
+    _rederive(
+        warehouse, PARTITION_RANGES, hosts, facts, lambda rows: partition_ranges(distinct_snapshots(rows))
+    )
+
+
+def _rederive(
+    warehouse: Warehouse,
+    table: Table,
+    chosen: DataFrame | None,
+    source: DataFrame,
+    derive: Callable[[DataFrame], DataFrame],
+) -> None:
+    """Write what follows from the chosen partitions of the source (all unless told), and remove the
+    partitions of the table that nothing follows for any more."""
+    rows = source if chosen is None else only(source, chosen)
+    warehouse.write(table.name, derive(rows))
+    held = warehouse.partitions(table.name)
+    held = held if chosen is None else held.join(chosen, chosen.columns, "left_semi")
+    there = rows.filter(F.col(COLLECTION).isNotNull()) if table is PARTITION_RANGES else rows
+    gone = held.join(there.select(*table.partition_by).distinct(), table.partition_by, "left_anti")
+    warehouse.drop(table.name, gone)
+
+
+# Up to so many chosen partitions are listed in a filter.
+LISTED = 1000
+
+
+def only(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of the chosen partitions. A few of them are listed in a filter on the partition columns,
+    so that nothing else is read; of many, the join decides."""
+    keys = chosen.columns
+    listed = chosen.limit(LISTED + 1).collect()
+    if len(listed) <= LISTED:
+        return rows.filter(F.concat_ws("/", *keys).isin(["/".join(map(str, row)) for row in listed]))
+    return rows.join(chosen, keys, "left_semi")
 
 
 def label_collections(warehouse: Warehouse, rules: str = "current") -> None:
@@ -76,15 +120,29 @@ def apply_policy(
 
 
 def label_all(
-    warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY, rules: str = "current"
+    warehouse: Warehouse,
+    n_inactivity: int = DEFAULT_INACTIVITY,
+    rules: str = "current",
+    hosts: DataFrame | None = None,
+    through: int | None = None,
 ) -> DataFrame:
     """Both label tables in one pass from the facts: the grid is made once, in place, and the policy
-    table has all columns of the other, which only has to be laid out by snapshot."""
+    table has all columns of the other, which only has to be laid out by snapshot. They are
+    published together, for all hosts or for chosen ones; ``through`` is the last load covered."""
     facts, ranges = (warehouse.read(t.name) for t in (COLLECTION_OPS_AGG, PARTITION_RANGES))
-    labels = policy_labels_of(facts, ranges, n_inactivity, rules)
-    policy = warehouse.replace(COLLECTION_POLICY_LABELS.name, labels)
-    warehouse.write(COLLECTION_DISCRETE_LABELS.name, policy)
-    return policy
+    if hosts is not None:
+        facts, ranges = only(facts, hosts), only(ranges, hosts)
+    generation = publications.Generation(warehouse)
+    policy = generation.write(
+        COLLECTION_POLICY_LABELS.name, policy_labels_of(facts, ranges, n_inactivity, rules)
+    )
+    generation.write(COLLECTION_DISCRETE_LABELS.name, policy)
+    generation.publish(hosts, _policy(n_inactivity, rules), through)
+    return warehouse.read(COLLECTION_POLICY_LABELS.name)
+
+
+def _policy(n_inactivity: int, rules: str) -> str:
+    return f"{rules} {n_inactivity}"
 
 
 def transitions(warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY) -> DataFrame:
@@ -97,12 +155,41 @@ def report_transitions(warehouse: Warehouse, path: str, n_inactivity: int = DEFA
     write_report(sankey_report(transitions(warehouse, n_inactivity)), path)
 
 
-def run_all(warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY) -> DataFrame:
-    """Everything after loading, in dependency order; returns the policy labels."""
+def run_all(
+    warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY, rules: str = "current"
+) -> DataFrame:
+    """Everything after loading, in dependency order; returns the policy labels. Captures and hosts
+    that the items no longer have go from every table."""
+    through = manifest.last_load(warehouse)
     derive_collection_facts(warehouse)
     derive_index_facts(warehouse)
     derive_timeline(warehouse)
-    return label_all(warehouse, n_inactivity)
+    return label_all(warehouse, n_inactivity, rules, through=through)
+
+
+def run_changed(
+    warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY, rules: str = "current"
+) -> DataFrame:
+    """The same result as :func:`run_all`, at the cost of what was loaded since the last run.
+
+    The manifest tells which captures the loads have touched. Facts are made anew for these only,
+    timeline and labels for their hosts, whose labels look back and ahead over the whole history.
+    Files of other hosts stay as they are. Without an earlier run under the same policy, or after
+    one that covers no load, everything is run. Items written past the loads are not seen here.
+    """
+    policy, covered = publications.last_run(warehouse, COLLECTION_POLICY_LABELS.name)
+    if policy != _policy(n_inactivity, rules) or not covered:
+        return run_all(warehouse, n_inactivity, rules)
+    through = manifest.last_load(warehouse)
+    if through == covered:
+        return warehouse.read(COLLECTION_POLICY_LABELS.name)
+    with temporary(warehouse.spark):
+        captures = stored(manifest.touched_since(warehouse, covered), "changed-captures")
+        hosts = stored(captures.select(HOST).distinct(), "changed-hosts")
+        derive_collection_facts(warehouse, captures)
+        derive_index_facts(warehouse, captures)
+        derive_timeline(warehouse, hosts)
+        return label_all(warehouse, n_inactivity, rules, hosts, through)
 
 
 def label_legacy(warehouse: Warehouse) -> None:

@@ -13,10 +13,10 @@ from tallyline.operators.timeline import partition_ranges
 from tallyline.plans import jobs
 from tallyline.plans.event_items import op_count_items
 from tallyline.plans.report_captures import report_lines, write_reports
-from tallyline.schema import COLLECTION, INDEX, OP_COUNT_ITEM, PARTITION_RANGES
+from tallyline.schema import COLLECTION, DAY, HOST, INDEX, OP_COUNT_ITEM, PARTITION_RANGES, SECOND
 from tallyline.sources.reports import DEFAULT_DB
 from tallyline.sources.scratch import scratch_folder
-from tallyline.sources.snapshots import write_snapshots
+from tallyline.sources.snapshots import lake_glob, load_paths, write_snapshots
 from tallyline.sources.warehouse import Warehouse
 
 _prepared: dict[tuple[str, str, str], Any] = {}
@@ -74,6 +74,26 @@ def report_lake(spark: SparkSession, data_dir: str) -> str:
     )
 
 
+def emptied_warehouse(spark: SparkSession, data_dir: str, day: int, hosts: tuple[str, ...]) -> Warehouse:
+    """A warehouse that was loaded and labelled, in which the captures of a day and some hosts were
+    then loaded again as files that hold a header and nothing else, and what follows was renewed."""
+
+    def fill() -> Warehouse:
+        warehouse = Warehouse.scratch(spark)
+        load_paths(warehouse, [csv_lake(spark, data_dir)], "*.csv")
+        jobs.run_all(warehouse)
+        chosen = warehouse.read(OP_COUNT_ITEM.name).filter((F.col(DAY) == day) & F.col(HOST).isin(*hosts))
+        snapshot = F.concat_ws("_", DAY, SECOND).alias("snapshot")
+        lake = scratch_folder(spark, "emptied")
+        header = F.lit("CollectionName|IndexName|UseCount|Since").alias("value")
+        chosen.select(HOST, snapshot).distinct().select(header, HOST, "snapshot").write.partitionBy(HOST, "snapshot").text(lake)
+        load_paths(warehouse, [lake_glob(lake)], "*.txt")
+        jobs.run_changed(warehouse)
+        return warehouse
+
+    return _once("emptied", spark, data_dir, fill)
+
+
 def reportable(items: DataFrame) -> DataFrame:
     """Items named as in a report: collections under their database, indexes as key specs."""
     return items.withColumns(

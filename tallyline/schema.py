@@ -35,12 +35,17 @@ _SNAPSHOT_FIELDS = ((HOST, _STRING), (DAY, _INT), (SECOND, _INT))
 
 @dataclass(frozen=True)
 class Table:
-    """One stored table. ``order`` is the row order inside a partition directory."""
+    """One stored table. ``order`` is the row order inside a partition directory; ``lookup`` names
+    the columns that get Bloom filters. A ``published`` table keeps generations of whole hosts, of
+    which readers see those that the last publication names. A ``log`` only ever grows."""
 
     name: str
     schema: StructType
     partition_by: list[str]
     order: list[str] = field(default_factory=list)
+    lookup: tuple[str, ...] = ()
+    published: bool = False
+    log: bool = False
 
 
 OP_COUNT_ITEM = Table(
@@ -64,6 +69,7 @@ LOAD_ISSUES = Table(
     ),
     [],
     ["file_path"],
+    log=True,
 )
 
 # Report lines that stand where the grammar does not allow them.
@@ -75,6 +81,16 @@ LOAD_ERRORS = Table(
     ),
     [],
     ["file_path", "line_no"],
+    log=True,
+)
+
+# The captures that each load has touched, also those that it found empty.
+LOAD_MANIFEST = Table(
+    "loadManifest",
+    _schema(*_SNAPSHOT_FIELDS, ("FileCount", _LONG), ("LoadedAt", TimestampType()), ("Load", _LONG)),
+    ["Load"],
+    SNAPSHOT,
+    log=True,
 )
 
 COLLECTION_OPS_AGG = Table(
@@ -131,6 +147,8 @@ COLLECTION_DISCRETE_LABELS = Table(
     ),
     SNAPSHOT,
     [COLLECTION],
+    lookup=(COLLECTION,),
+    published=True,
 )
 
 COLLECTION_POLICY_LABELS = Table(
@@ -141,6 +159,20 @@ COLLECTION_POLICY_LABELS = Table(
     ),
     [HOST],
     [COLLECTION, "PartitionRank"],
+    lookup=(COLLECTION,),
+    published=True,
+)
+
+# Which generation of each host's rows is the published one of a table.
+PUBLICATIONS = Table(
+    "publications",
+    _schema(
+        ("TableName", _STRING), (HOST, _STRING), ("Generation", _STRING), ("Policy", _STRING),
+        ("ThroughLoad", _LONG), ("Publication", _LONG),
+    ),
+    ["Publication"],
+    ["TableName", HOST],
+    log=True,
 )
 
 LEGACY_ACTIVITY_LABELS = Table(
@@ -176,7 +208,8 @@ BASIC_SANKEY = Table(
 TABLES = {
     table.name: table
     for table in (
-        OP_COUNT_ITEM, LOAD_ISSUES, LOAD_ERRORS, COLLECTION_OPS_AGG, INDEX_OPS_AGG, PARTITION_RANGES,
+        OP_COUNT_ITEM, LOAD_ISSUES, LOAD_ERRORS, LOAD_MANIFEST, COLLECTION_OPS_AGG, INDEX_OPS_AGG, PARTITION_RANGES,
         COLLECTION_DISCRETE_LABELS, COLLECTION_POLICY_LABELS, LEGACY_ACTIVITY_LABELS, BASIC_SANKEY,
+        PUBLICATIONS,
     )
 }

@@ -13,14 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyline.functions.paths import snapshot_path_columns
-from tallyline.schema import COLLECTION, INDEX, LOAD_ERRORS, LOAD_ISSUES, OP_COUNT_ITEM, SNAPSHOT
+from tallyline.schema import COLLECTION, INDEX, LOAD_ERRORS, SNAPSHOT
+from tallyline.sources.manifest import touched_captures
 from tallyline.sources.scratch import stored, temporary
-from tallyline.sources.snapshots import load_issues, placed_items, since_timestamp
+from tallyline.sources.snapshots import observed, placed_items, since_timestamp, write_items
 from tallyline.sources.warehouse import Warehouse
 
 # Fixed names: the file of a capture, and the database whose collections are reported.
@@ -184,16 +185,17 @@ def report_items(numbered: DataFrame) -> DataFrame:
     )
 
 
+def _misplaced() -> Column:
+    """Whether the grammar does not allow the line where it stands."""
+    expected = _expected()
+    allowed = F.when(expected == "index or collection", F.col("kind").isin("index", "collection"))
+    return (F.col("line_no") > 0) & ~allowed.otherwise(F.col("kind") == expected)
+
+
 def report_errors(numbered: DataFrame) -> DataFrame:
     """Lines that the grammar does not allow where they stand; all of them, not just the first."""
-    allowed = F.when(
-        F.col("expected") == "index or collection", F.col("kind").isin("index", "collection")
-    ).otherwise(F.col("kind") == F.col("expected"))
-    return (
-        numbered.filter(F.col("line_no") > 0)
-        .withColumn("expected", _expected())
-        .filter(~allowed)
-        .select(*SNAPSHOT, "file_path", "line_no", "line", "expected")
+    return numbered.filter(_misplaced()).select(
+        *SNAPSHOT, "file_path", "line_no", "line", _expected().alias("expected")
     )
 
 
@@ -222,11 +224,15 @@ def load_reports(
     warehouse: Warehouse, paths: str | Sequence[str], db_name: str = DEFAULT_DB, file_name: str = FILE_NAME
 ) -> None:
     """Reports straight into the item table; items that have no place there or unreadable fields
-    are counted in the table of issues, and lines out of place are listed in that of errors. The
-    raw files are read once, and their staged lines are removed at the end."""
+    are counted in the table of issues, and lines out of place are listed in that of errors. A report
+    without items leaves none of its capture. The raw files are read once, and their staged lines
+    are removed at the end; the write counts errors and issues, which are looked for if there are any.
+    """
     with temporary(warehouse.spark):
         numbered = numbered_lines(staged_lines(warehouse.spark, paths, db_name, file_name))
-        items = report_items(numbered)
-        warehouse.write(OP_COUNT_ITEM.name, placed_items(items))
-        warehouse.append(LOAD_ISSUES.name, load_issues(items))
-        warehouse.append(LOAD_ERRORS.name, report_errors(numbered))
+        touched = touched_captures(warehouse.spark, paths, file_name)
+        errors = Observation()
+        judged = numbered.observe(errors, F.count_if(_misplaced()).alias("errors"))
+        write_items(warehouse, report_items(numbered), touched, report_items(judged))
+        if observed(errors).get("errors"):
+            warehouse.append(LOAD_ERRORS.name, report_errors(numbered))

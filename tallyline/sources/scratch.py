@@ -58,11 +58,27 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         release(spark, before)
 
 
+def path_exists(spark: SparkSession, folder: str) -> bool:
+    files, path = _place(spark.sparkContext, folder)
+    return files.exists(path)
+
+
+def remove_path(spark: SparkSession, folder: str) -> None:
+    files, path = _place(spark.sparkContext, folder)
+    files.delete(path, True)
+
+
+def _place(context: SparkContext, folder: str):
+    """A folder and the file system that it is on."""
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()), path
+
+
 def _remove(context: SparkContext, keep: int) -> None:
     folders = _made.get(context.applicationId, [])
     for folder in folders[keep:]:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _place(context, folder)
+        files.delete(path, True)
     del folders[keep:]
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyline.functions.clock import SECONDS_PER_DAY
 from tallyline.functions.paths import snapshot_path_columns
-from tallyline.schema import COLLECTION, DAY, HOST, INDEX, LOAD_ISSUES, OP_COUNT_ITEM, SECOND
+from tallyline.schema import COLLECTION, DAY, HOST, INDEX, LOAD_ISSUES, OP_COUNT_ITEM, SECOND, SNAPSHOT
+from tallyline.sources import manifest
 from tallyline.sources.scratch import stored, temporary
 from tallyline.sources.warehouse import Warehouse
 
@@ -83,26 +85,24 @@ def placed_items(lines: DataFrame) -> DataFrame:
     return lines.filter(_placed()).select(*OP_COUNT_ITEM.schema.names)
 
 
+def issue_counts() -> list[Column]:
+    """Rows without a place in the warehouse, seconds that no day has, lines with a wrong number of
+    fields or a field that does not parse, and unreadable fields."""
+    return [
+        F.count_if(~_placed()).alias("UnplacedCount"),
+        F.count_if(F.col(SECOND) >= SECONDS_PER_DAY).alias("OutOfRangeSecondCount"),
+        F.count_if("IsCorrupt").alias("CorruptCount"),
+        *(F.count_if(F.col(c).isNull()).alias(f"Null{c}Count") for c in _REQUIRED),
+    ]
+
+
 def load_issues(lines: DataFrame) -> DataFrame:
-    """Per file with any of them: rows without a place in the warehouse, seconds that no day has,
-    lines with a wrong number of fields or a field that does not parse, and unreadable fields.
+    """The files with any issue, and how often.
 
     Only rows without a place are not stored; of the others, what could not be read is NULL.
     """
-    counts = [
-        "UnplacedCount", "OutOfRangeSecondCount", "CorruptCount", *(f"Null{c}Count" for c in _REQUIRED)
-    ]
-    return (
-        lines.groupBy("file_path")
-        .agg(
-            F.count("*").alias("LineCount"),
-            F.count_if(~_placed()).alias("UnplacedCount"),
-            F.count_if(F.col(SECOND) >= SECONDS_PER_DAY).alias("OutOfRangeSecondCount"),
-            F.count_if("IsCorrupt").alias("CorruptCount"),
-            *(F.count_if(F.col(c).isNull()).alias(f"Null{c}Count") for c in _REQUIRED),
-        )
-        .filter(F.greatest(*counts) > 0)
-    )
+    counted = lines.groupBy("file_path").agg(F.count("*").alias("LineCount"), *issue_counts())
+    return counted.filter(F.greatest(*counted.columns[2:]) > 0)
 
 
 def path_partition_columns(lines: DataFrame) -> DataFrame:
@@ -121,14 +121,53 @@ def load_snapshots(
 
 
 def load_paths(warehouse: Warehouse, paths: Sequence[str], file_name: str = FILE_NAME) -> None:
-    """(Re)load chosen capture directories; the other snapshots of the table stay as they are. What
-    could not be stored or read is added to the table of issues. The raw files are read once."""
+    """(Re)load chosen capture directories; the other snapshots of the table stay as they are. A
+    capture without rows, or a directory named itself without a file, has no rows afterwards. What
+    could not be stored or read is added to the table of issues.
+
+    The raw files are read once. Their staged lines are read once more, by the write, which counts
+    the issues on its way; only where there are any, or where captures that the table holds are
+    loaded again, are the lines looked at for the files or captures concerned.
+    """
     with temporary(warehouse.spark):
         lines = stored(read_snapshots(warehouse.spark, paths, file_name), "snapshot-lines")
-        warehouse.write(OP_COUNT_ITEM.name, placed_items(lines))
+        touched = manifest.touched_captures(warehouse.spark, paths, file_name)
+        write_items(warehouse, lines, touched)
+
+
+def write_items(
+    warehouse: Warehouse, lines: DataFrame, touched: DataFrame, watched: DataFrame | None = None
+) -> None:
+    """Store the rows of the touched captures, remove those that have none any more, and report.
+    ``watched``: the same rows, for the write alone, if the caller observes it, too."""
+    touched = stored(touched, "touched-captures")
+    manifest.record(warehouse, touched)
+    gone = stored(manifest.emptied(warehouse, OP_COUNT_ITEM.name, touched, lines), "emptied-captures")
+    issues = Observation()
+    watched = (lines if watched is None else watched).observe(issues, *issue_counts())
+    warehouse.write(OP_COUNT_ITEM.name, placed_items(watched))
+    warehouse.drop(OP_COUNT_ITEM.name, gone)
+    if any(observed(issues).values()):
         warehouse.append(LOAD_ISSUES.name, load_issues(lines))
 
 
+def observed(counts: Observation) -> dict[str, int]:
+    """What was counted on the way of a finished write. Where the planner learnt while running that no
+    row comes by, it leaves the counting out, and there is nothing to get."""
+    try:
+        return counts.get
+    except Py4JJavaError:
+        return {}
+
+
+def remove_captures(warehouse: Warehouse, captures: DataFrame) -> None:
+    """Forget captures (host, day and second) that are no longer wanted, whatever is on disk."""
+    with temporary(warehouse.spark):
+        gone = stored(captures.select(*SNAPSHOT).distinct(), "removed-captures")
+        manifest.record(warehouse, gone.withColumn("FileCount", F.lit(0).cast("long")))
+        warehouse.drop(OP_COUNT_ITEM.name, gone)
+
+
 def _placed() -> Column:
     """Host, day and second are NULL together, so one of them tells."""
     return F.col(HOST).isNotNull()

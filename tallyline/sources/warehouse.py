@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.schema import TABLES
-from tallyline.sources.scratch import scratch_folder
+from tallyline.sources import publications
+from tallyline.sources.scratch import path_exists, remove_path, scratch_folder
 
 FORMATS = ("orc", "parquet")
 # The path schemes a root may use; otherwise it must be absolute.
@@ -40,8 +41,12 @@ def infer_format(root: str, explicit: str | None = None) -> str:
 
 
 class Warehouse:
-    """Tables of :mod:`tallyline.schema`, read with their declared schema and written by
-    replacing only the partitions present in the new data."""
+    """Tables of :mod:`tallyline.schema`, read with their declared schema.
+
+    A write replaces only the partitions present in the new data; what a source no longer has is
+    removed by :meth:`drop` or :meth:`keep_only`. Published tables are written as generations, see
+    :mod:`tallyline.sources.publications`.
+    """
 
     def __init__(self, spark: SparkSession, root: str, fmt: str | None = None) -> None:
         self.spark = spark
@@ -59,15 +64,31 @@ class Warehouse:
     def path(self, name: str) -> str:
         return f"{self.root}/{TABLES[name].name}"
 
+    def exists(self, name: str) -> bool:
+        return path_exists(self.spark, self.path(name))
+
     def read(self, name: str) -> DataFrame:
         """The declared schema keeps partition values as they are: host ``0456`` stays a string,
-        and no footer has to be opened for inference."""
-        schema = TABLES[name].schema
-        rows = self.spark.read.schema(schema).format(self.fmt).load(self.path(name))
-        return rows.select(*schema.names)
+        and no footer has to be opened for inference. A log that has no rows yet is empty."""
+        table = TABLES[name]
+        if table.published:
+            return publications.read(self, name)
+        if table.log and not self.exists(name):
+            return self.spark.createDataFrame([], table.schema)
+        rows = self.spark.read.schema(table.schema).format(self.fmt).load(self.path(name))
+        return rows.select(*table.schema.names)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Replace the partitions that occur in ``df``.
+        """Replace the partitions that occur in ``df``; of a published table, the hosts."""
+        if TABLES[name].published:
+            generation = publications.Generation(self)
+            generation.write(name, df)
+            generation.publish(generation.hosts(name))
+        else:
+            self.save(name, df, self.path(name))
+
+    def save(self, name: str, df: DataFrame, path: str) -> None:
+        """Write the rows of a table under ``path``.
 
         The rebalance hint groups rows by partition directory so that each gets few files, and
         lets the adaptive planner split a directory that is far larger than the others. Rows are
@@ -81,10 +102,11 @@ class Warehouse:
             rows.hint("rebalance", *table.partition_by)
             .sortWithinPartitions(*order)
             .write.partitionBy(*table.partition_by)
+            .options(**bloom_filters(self.fmt, table.lookup))
             .option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")
             .format(self.fmt)
-            .save(self.path(name))
+            .save(path)
         )
 
     def append(self, name: str, df: DataFrame) -> None:
@@ -94,7 +116,8 @@ class Warehouse:
         (
             rows.select(*(F.col(f.name).cast(f.dataType) for f in table.schema))
             .sortWithinPartitions(*map(_ordering, table.order))
-            .write.mode("append")
+            .write.partitionBy(*table.partition_by)
+            .mode("append")
             .format(self.fmt)
             .save(self.path(name))
         )
@@ -104,6 +127,31 @@ class Warehouse:
         self.write(name, df)
         return self.read(name)
 
+    def partitions(self, name: str) -> DataFrame:
+        """The partitions of a table that hold rows. Only the files' footers are read."""
+        keys = TABLES[name].partition_by
+        if not self.exists(name):
+            return self.spark.createDataFrame([], TABLES[name].schema).select(*keys)
+        return self.read(name).select(*keys).distinct()
+
+    def drop(self, name: str, keys: DataFrame) -> None:
+        """Remove partitions. Their names come to the driver, one per directory that goes."""
+        columns = TABLES[name].partition_by
+        for row in keys.select(*columns).distinct().toLocalIterator():
+            parts = "/".join(f"{column}={row[column]}" for column in columns)
+            remove_path(self.spark, f"{self.path(name)}/{parts}")
+
+    def keep_only(self, name: str, keys: DataFrame) -> None:
+        """Remove the partitions that are not among ``keys`` (any columns that partition the table)."""
+        self.drop(name, self.partitions(name).join(keys, keys.columns, "left_anti"))
+
+
+def bloom_filters(fmt: str, columns: tuple[str, ...]) -> dict[str, str]:
+    """Options of the file formats that let a look-up of one value skip what does not hold it."""
+    if fmt == "orc":
+        return {"orc.bloom.filter.columns": ",".join(columns)} if columns else {}
+    return {f"parquet.bloom.filter.enabled#{column}": "true" for column in columns}
+
 
 def _ordering(key: str) -> Column:
     return F.col(key[1:]).desc() if key.startswith("-") else F.col(key)

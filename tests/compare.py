@@ -66,6 +66,9 @@ def main(data_dir: str, names: list[str]) -> None:
     for name, query in contract.queries().items():
         if names and name not in names:
             continue
+        if name not in statements:
+            print(f"none {name} (no SQL)", flush=True)
+            continue
         start = time.time()
         found = difference(query(spark, data_dir), connection, statements[name])
         print(f"{'ok  ' if found is None else 'DIFF'} {name} {time.time() - start:.1f}s {found or ''}", flush=True)
