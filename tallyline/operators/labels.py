@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,6 +47,17 @@ def with_policy_status(
     answered by the position of the last use so far and of the last use overall: two running
     maxima over one sort, whose cost does not depend on N or on the length of the series.
     """
+    series = Window.partitionBy(*SERIES).orderBy(RANK)
+    numbered = labels.withColumn("sample", F.row_number().over(series))
+    status, sample = F.col("CollectionUseStatus"), F.col("sample")
+    return with_policy_position(numbered, n_inactivity, rules, status, sample).drop("sample")
+
+
+def with_policy_position(
+    rows: DataFrame, n_inactivity: int, rules: str, use_status: Column, sample: Column
+) -> DataFrame:
+    """The same, with the number of each row's sample given: rows on which nothing is in use may then
+    be missing."""
     if n_inactivity < 1:
         raise ValueError("the inactivity period must be at least one sample")
     reach = {"current": n_inactivity - 1, "v1": n_inactivity}[rules]
@@ -54,20 +65,18 @@ def with_policy_status(
     series = Window.partitionBy(*SERIES).orderBy(RANK)
     so_far = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sample = F.col("sample")
-    used_at = F.when(in_use(F.col("CollectionUseStatus")), sample)
+    used_at = F.when(in_use(use_status), sample)
 
     status = policy_status(
-        F.col("CollectionUseStatus"),
+        use_status,
         recently_active=sample - F.col("last_use_so_far") <= reach,
         active_later=F.col("last_use") > sample,
     )
     return (
-        labels.withColumn("sample", F.row_number().over(series))
-        .withColumn("last_use_so_far", F.max(used_at).over(so_far))
+        rows.withColumn("last_use_so_far", F.max(used_at).over(so_far))
         .withColumn("last_use", F.max(used_at).over(whole))
         .withColumn("ActivityPolicyStatus", status)
-        .drop("sample", "last_use_so_far", "last_use")
+        .drop("last_use_so_far", "last_use")
     )
 
 

@@ -85,9 +85,8 @@ class Inputs:
     def policy(self, n: int = labels.DEFAULT_INACTIVITY, rules: str = "current") -> DataFrame:
         return labels.policy_labels_of(self.facts, self.ranges, n, rules)
 
-    def policy_history(self) -> DataFrame:
-        """Policy labels by rank: the report queries need no day and second."""
-        return labels.with_policy_status(labels.discrete_history(self.facts, self.ranges))
+    def transitions(self) -> DataFrame:
+        return sankey.transitions_of_facts(self.facts, self.ranges)
 
     def legacy_labels(self) -> DataFrame:
         dated = stored(legacy.dated_ranges(self.items, self.ranges), "dated-ranges")
@@ -294,10 +293,10 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "activity_policy_labels_n4": lambda q: q.policy(4),
     "activity_policy_labels_v1": lambda q: q.policy(rules="v1"),
     # reports
-    "sankey_edges": lambda q: sankey.sankey_edges(q.policy_history()),
-    "sankey_rows": lambda q: sankey.sankey_rows(q.policy_history()),
-    "sankey_report": lambda q: sankey.sankey_report(q.policy_history()),
-    "sankey_report_ordered": lambda q: sankey.sankey_report_ordered(q.policy_history()),
+    "sankey_edges": lambda q: sankey.sankey_edges(q.transitions()),
+    "sankey_rows": lambda q: sankey.sankey_rows(q.transitions()),
+    "sankey_report": lambda q: sankey.sankey_report(q.transitions()),
+    "sankey_report_ordered": lambda q: sankey.sankey_report_ordered(q.transitions()),
     # legacy
     "known_collections_legacy": lambda q: legacy.known_collections_legacy(q.items),
     "initial_future_date": lambda q: legacy.initial_future_date(q.items, q.ranges),

@@ -15,13 +15,11 @@ from tallyline.operators.facts import collection_facts, distinct_snapshots, inde
 from tallyline.operators.labels import (
     DEFAULT_INACTIVITY,
     activity_policy_labels,
-    discrete_history,
     discrete_labels,
     policy_labels_of,
-    with_policy_status,
 )
 from tallyline.operators.legacy import basic_sankey, dated_ranges, legacy_activity_labels
-from tallyline.operators.sankey import sankey_report, write_report
+from tallyline.operators.sankey import sankey_report, transitions_of_facts, write_report
 from tallyline.operators.timeline import partition_ranges
 from tallyline.schema import (
     BASIC_SANKEY,
@@ -146,13 +144,14 @@ def _policy(n_inactivity: int, rules: str) -> str:
 
 
 def transitions(warehouse: Warehouse, n_inactivity: int = DEFAULT_INACTIVITY) -> DataFrame:
-    """Policy labels by rank, from the facts: shuffling these costs less than shuffling the stored grid."""
+    """Counted transitions, from the facts: the grid of collections and snapshots is not made."""
     facts, ranges = (warehouse.read(t.name) for t in (COLLECTION_OPS_AGG, PARTITION_RANGES))
-    return with_policy_status(discrete_history(facts, ranges), n_inactivity)
+    return transitions_of_facts(facts, ranges, n_inactivity)
 
 
 def report_transitions(warehouse: Warehouse, path: str, n_inactivity: int = DEFAULT_INACTIVITY) -> None:
-    write_report(sankey_report(transitions(warehouse, n_inactivity)), path)
+    with temporary(warehouse.spark):
+        write_report(sankey_report(transitions(warehouse, n_inactivity)), path)
 
 
 def run_all(

@@ -37,26 +37,26 @@ def published(warehouse, publication: int | None = None) -> DataFrame:
 
 
 def read(warehouse, name: str, publication: int | None = None) -> DataFrame:
-    """A table as of a publication. Other generations are not even listed, and with up to ``LISTED``
-    folders of hosts the plan filters on them and joins nothing."""
-    table = TABLES[name]
-    wanted = published(warehouse, publication).where(F.col("TableName") == name).where(f"{HOST} IS NOT NULL")
+    """A table as of a publication. Up to ``LISTED`` folders of hosts are named one by one, and nothing
+    else is even listed; of more, the generations are read and the hosts joined."""
+    schema = TABLES[name].schema
+    wanted = published(warehouse, publication).where((F.col("TableName") == name) & F.col(HOST).isNotNull())
     wanted = wanted.select(GENERATION, HOST)
-    generations = sorted(r[0] for r in wanted.select(GENERATION).distinct().collect())
-    if not generations:
-        return warehouse.spark.createDataFrame([], table.schema)
+    listed = wanted.limit(LISTED + 1).collect()
+    if not listed:
+        return warehouse.spark.createDataFrame([], schema)
+    folders = [f"{GENERATION}={r[0]}/{HOST}={r[1]}" for r in listed]
+    if len(listed) > LISTED:
+        folders = [f"{GENERATION}={r[0]}" for r in wanted.select(GENERATION).distinct().collect()]
     rows = (
-        warehouse.spark.read.schema(StructType([*table.schema, StructField(GENERATION, StringType())]))
+        warehouse.spark.read.schema(StructType([*schema, StructField(GENERATION, StringType())]))
         .option("basePath", warehouse.path(name))
         .format(warehouse.fmt)
-        .load([f"{warehouse.path(name)}/{GENERATION}={g}" for g in generations])
+        .load([f"{warehouse.path(name)}/{folder}" for folder in sorted(folders)])
     )
-    listed = wanted.limit(LISTED + 1).collect()
-    if len(listed) <= LISTED:
-        rows = rows.where(F.concat_ws("/", GENERATION, HOST).isin([f"{r[0]}/{r[1]}" for r in listed]))
-    else:
+    if len(listed) > LISTED:
         rows = rows.join(wanted, [GENERATION, HOST], "left_semi")
-    return rows.select(*table.schema.names)
+    return rows.select(*schema.names)
 
 
 class Generation:

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from tallyline.operators import sankey
 from tallyline.operators.facts import collection_facts, index_facts
 from tallyline.plans import jobs
 from tallyline.plans.catalog import Inputs, registered
@@ -50,14 +51,20 @@ def test_labels_shuffle_facts_once(spark, name):
     assert exchanges(plan_of(registered()[name](spark, SAMPLE))) == [SERIES, FACT_KEY]
 
 
-def test_sankey_adds_only_the_edge_count(spark):
-    found = exchanges(plan_of(registered()["sankey_edges"](spark, SAMPLE)))
-    assert found[1:] == [SERIES, FACT_KEY] and len(found) == 3
+RUN_KEY = "mongo_hostname, PartitionRank, Before, After, UntilRank, Gone, FromRank, Awaited"
 
 
-def test_scans_read_only_what_is_needed(spark):
-    plan = plan_of(registered()["sankey_edges"](spark, SAMPLE))
+def test_sankey_counts_facts_without_the_grid(spark):
+    """Facts go to their series and nothing is made of them but counts of like ones."""
+    source = Inputs(spark, SAMPLE)
+    plan = plan_of(sankey.fact_runs(source.facts, source.ranges))
+    assert exchanges(plan) == [RUN_KEY, SERIES, FACT_KEY] and "Generate" not in plan
     assert "ReadSchema: struct<CollectionName:string,UseCount:bigint>" in plan
+    plan = plan_of(registered()["sankey_edges"](spark, SAMPLE))
+    assert "Generate" not in plan and "CollectionName" not in plan
+
+
+def test_scans_read_only_what_is_needed(spark):
     counts = plan_of(registered()["snapshot_counts_items"](spark, SAMPLE))
     assert "ReadSchema: struct<>" in counts
 
@@ -86,9 +93,10 @@ def test_jobs_make_the_grid_once(spark, tmp_path):
     source = Inputs(spark, SAMPLE)
     warehouse.write("opCountItem", source.items.filter("days_post_epoch < 19727"))
     jobs.run_all(warehouse)
-    found = jobs.transitions(warehouse)
-    assert reads(found) == {"collectionOpsAgg", "partitionRanges"}
-    assert exchanges(plan_of(found)) == [SERIES]
+    runs = sankey.fact_runs(warehouse.read("collectionOpsAgg"), warehouse.read("partitionRanges"))
+    assert reads(runs) == {"collectionOpsAgg", "partitionRanges"}
+    assert exchanges(plan_of(runs)) == [RUN_KEY, SERIES]
+    assert jobs.transitions(warehouse).count() > 0
 
 
 def test_no_python_and_no_cross_joins(spark):

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 
 from tallyline.operators import facts as fact_ops
-from tallyline.operators.sankey import sankey_rows, write_report
+from tallyline.operators.sankey import sankey_rows, transitions, write_report
 from tallyline.plans import jobs
 from tallyline.plans.event_items import op_count_items
 from tallyline.schema import TABLES
@@ -71,7 +71,7 @@ def test_all_jobs_and_both_formats(spark, tmp_path):
         }
         report = tmp_path / fmt / "report"
         jobs.report_transitions(warehouse, str(report))
-        edges = sankey_rows(policy)
+        edges = sankey_rows(transitions(policy))
         write_report(edges, str(tmp_path / fmt / "rows"))
         texts = {
             host.name: [
