@@ -4,7 +4,8 @@
 run to its last row into a sink that discards it. Queries that take under ``REPEAT_UNDER`` seconds
 run three times and give their median. ``prepare`` is the mapping of events to the stored item and
 timeline tables that the queries start from; ``prepare_csv`` and ``prepare_reports`` write the capture
-files that the loading queries share. All count towards the total.
+files that the loading queries share, ``prepare_labels`` the stored labels that checks look at, and
+``prepare_emptied`` a load, a full run, a reload and a partial run. All count towards the total.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from statistics import median
 
 from pyspark.sql import SparkSession
 
-from tallyline.plans.catalog import registered
-from tallyline.plans.prepared import csv_lake, event_warehouse, report_lake
+from tallyline.plans.catalog import after_emptying, registered
+from tallyline.plans.prepared import csv_lake, event_warehouse, labelled_warehouse, report_lake
 from tallyline.sources.scratch import release
 
 REPEAT_UNDER = 5.0
@@ -53,7 +54,11 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
 
     seconds: dict[str, float] = {}
-    for name, prepare in (("prepare", event_warehouse), ("prepare_csv", csv_lake), ("prepare_reports", report_lake)):
+    prepared = {
+        "prepare": event_warehouse, "prepare_csv": csv_lake, "prepare_reports": report_lake,
+        "prepare_labels": labelled_warehouse, "prepare_emptied": after_emptying,
+    }
+    for name, prepare in prepared.items():
         seconds[name] = round(timed(lambda: prepare(spark, data_dir)), 3)
 
     for name, query in registered().items():

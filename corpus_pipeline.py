@@ -48,16 +48,13 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with the benchmark. All rows of an id go if one of them
-    does; rows without an id stay, as nothing names them."""
+    """Documents that share no window of words with the benchmark. Every row is decided on its own text,
+    whatever its id: a row without an id goes too, and a clean row stays if another of its id goes."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontamination.contamination(docs, benchmark).where("n_hit > 0"), "contaminated")
-
-
-def without(docs: DataFrame, named: DataFrame, purpose: str) -> DataFrame:
-    """The documents whose ids are not among the named ones."""
-    gone = stored(named.select("doc_id").distinct(), purpose)
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "keyed")
+    found = decontamination.contamination(keyed.select(F.col("key").alias("doc_id"), "row.text"), benchmark)
+    gone = stored(found.where("n_hit > 0").select(F.col("doc_id").alias("key")), "contaminated")
+    return keyed.join(gone, "key", "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,8 +120,12 @@ def reload_one_snapshot(inputs: Inputs) -> DataFrame:
     return warehouse.read(OP_COUNT_ITEM.name)
 
 
+def after_emptying(spark: SparkSession, data_dir: str) -> Warehouse:
+    return emptied_warehouse(spark, data_dir, REWRITTEN_DAY, EMPTIED_HOSTS)
+
+
 def _after_emptying(inputs: Inputs, table: Table) -> DataFrame:
-    return emptied_warehouse(inputs.spark, inputs.data_dir, REWRITTEN_DAY, EMPTIED_HOSTS).read(table.name)
+    return after_emptying(inputs.spark, inputs.data_dir).read(table.name)
 
 
 def warehouse_roundtrip_orc(inputs: Inputs) -> DataFrame:
