@@ -85,105 +85,126 @@ def from_bytes(data: bytes) -> dict[str, np.ndarray]:
         return {name: stored[name] for name in stored.files}
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
-
-
 _AGO = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _CAUSAL = np.where(_AGO >= 0, 0, -1e9).astype(_F)
+_SEEN = (_AGO >= 0).astype(_F)
 _AGO = np.maximum(_AGO, 0)
 
 
-def _by_group(rows: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The rows of every group that has any."""
-    rows = rows[np.argsort(group, kind="stable")]
-    found, starts = np.unique(np.sort(group), return_index=True)
-    yield from zip(found.tolist(), np.split(rows, starts[1:]))
-
-
-def _choices_of(target: np.ndarray) -> Iterator[tuple[str, int | None, np.ndarray, np.ndarray]]:
-    """All choices on the way to the targets: weights, group in them, rows that choose, what they choose."""
-    top = top_of(target)
-    yield "top", None, np.arange(len(target)), top
-    rows = np.flatnonzero((top >= HEAD) & (top < HEAD + GROUPS))
-    for group, own in _by_group(rows, top[rows] - HEAD):
-        yield "inner", group, own, (target[own] - HEAD) % SIZE
-    rows = np.flatnonzero(top == HEAD + GROUPS)
-    if len(rows):
-        yield "tail", None, rows, (target[rows] - COMMON) // TAILS  # RARE is what follows the last group
-    rows = rows[target[rows] < RARE]
-    for group, own in _by_group(rows, (target[rows] - COMMON) // TAILS):
-        yield "last", group, own, (target[own] - COMMON) % TAILS
-
-
-def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of a batch of windows and its derivatives; targets below 0 do not count."""
+def shares(pull: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Attention of every place of windows to the places up to it; ``pull`` is used up."""
+    if max(pull.max(), -pull.min()) > 30:
+        pull += _CAUSAL
+        pull -= pull.max(axis=-1, keepdims=True)
+    np.exp(pull, out=pull)
+    pull *= np.exp(np.clip(distance, -30, 30))[_AGO] * _SEEN
+    pull /= (pull @ _ONES[:WINDOW])[..., None]
+    return pull
+
+
+def _steps_of(target: np.ndarray) -> np.ndarray:
+    """A number per target that tells all its choices but the last: frequent ids, then groups, then groups
+    of the tail, then RARE."""
+    return np.where(target < COMMON, top_of(target), HEAD + GROUPS + (target - COMMON) // TAILS)
+
+
+def _choices_of(target: np.ndarray, step: np.ndarray) -> Iterator[tuple[str, int | None, int, int, np.ndarray]]:
+    """All choices on the way to targets that are ordered by their steps: weights, group in them, first and
+    last row that choose, what they choose."""
+    top, tail = np.minimum(step, HEAD + GROUPS), HEAD + GROUPS
+    yield "top", None, 0, len(target), top
+    edges = np.searchsorted(step, np.arange(HEAD, HEAD + GROUPS + TAILS + 2)).tolist()
+    for group, (a, b) in enumerate(zip(edges[:GROUPS], edges[1 : GROUPS + 1])):
+        if a < b:
+            yield "inner", group, a, b, (target[a:b] - HEAD) % SIZE
+    first = edges[GROUPS]
+    if first < len(target):
+        yield "tail", None, first, len(target), step[first:] - tail  # RARE is what follows the last group
+    for group, (a, b) in enumerate(zip(edges[GROUPS : GROUPS + TAILS], edges[GROUPS + 1 : GROUPS + TAILS + 1])):
+        if a < b:
+            yield "last", group, a, b, (target[a:b] - COMMON) % TAILS
+
+
+def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, tuple]]:
+    """Mean loss of a batch of windows and its derivatives; targets below 0 do not count. Of the large
+    weights only the rows that the batch uses have any: each is given as rows and derivatives."""
     n, scale = len(inputs), _F(1 / np.sqrt(WIDTH))
-    x = w["embed"][inputs]
-    q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
-    share = _softmax(q @ k.transpose(0, 2, 1) * scale + w["distance"][_AGO] + _CAUSAL)
+    flat_inputs = inputs.ravel()
+    x = w["embed"].take(flat_inputs, axis=0)
+    three = np.concatenate([w["query"] * scale, w["key"], w["value"]], axis=1)
+    q, k, v = (x @ three).reshape(n, WINDOW, 3, WIDTH).transpose(2, 0, 1, 3)
+    share = shares(q @ k.transpose(0, 2, 1), w["distance"])
     seen = share @ v
-    h = (x + seen @ w["mix"]).reshape(-1, WIDTH)
-    raw = h @ w["widen"] + w["shift"]
+    flat = lambda a: a.reshape(-1, WIDTH)
+    h = flat(seen) @ w["mix"]
+    h += x
+    raw = h @ w["widen"]
+    raw += w["shift"]
     active = np.maximum(raw, 0)
-    z = h + active @ w["narrow"]
+    z = active @ w["narrow"]
+    z += h
 
     y = targets.ravel()
     rows = np.flatnonzero(y >= 0)
+    step = _steps_of(y[rows])
+    order = np.argsort(step, kind="stable")
+    rows, step = rows[order], step[order]
     y, zs = y[rows], z[rows]
     each = _F(1 / max(len(rows), 1))
-    g = {name: np.zeros_like(value) for name, value in w.items()}
     dz = np.zeros_like(zs)
     loss = 0.0
-    for name, place, own, choice in _choices_of(y):
+    g: dict[str, tuple] = {}
+    parts: dict[str, list] = {"inner": [], "last": []}
+    for name, place, a, b, choice in _choices_of(y, step):
         weights, bias = (w[name], w[name + "_bias"]) if place is None else (w[name][place], w[name + "_bias"][place])
-        p = zs[own] @ weights.T + bias
-        p -= p.max(axis=1, keepdims=True)
-        at = np.arange(len(own))
+        own, at = zs[a:b], np.arange(b - a)
+        p = own @ weights.T
+        p += bias
+        if len(p) and p.max() > 60:  # exp would leave the range of the type
+            p -= p.max(axis=1, keepdims=True)
         chosen = p[at, choice]
         np.exp(p, out=p)
-        sums = p.sum(axis=1, keepdims=True)
-        loss -= (chosen - np.log(sums[:, 0])).sum()
-        p /= sums
-        p[at, choice] -= 1
-        p *= each
-        where = ... if place is None else place
-        g[name][where], g[name + "_bias"][where] = p.T @ zs[own], p.sum(axis=0)
-        dz[own] += p @ weights
+        sums = p @ _ONES[: p.shape[1]]
+        loss += float((np.log(sums) - chosen).sum())
+        p *= (each / sums)[:, None]
+        p[at, choice] -= each
+        dz[a:b] += p @ weights
+        slopes = (p.T @ own, np.ones(len(p), p.dtype) @ p)
+        if place is None:
+            g[name], g[name + "_bias"] = (..., slopes[0]), (..., slopes[1])
+        else:
+            parts[name].append((place, *slopes))
+    for name, found in parts.items():
+        if found:
+            places, slopes, biases = zip(*found)
+            g[name], g[name + "_bias"] = (np.array(places), np.stack(slopes)), (np.array(places), np.stack(biases))
     full = np.zeros_like(z)
     full[rows] = dz
-    g["narrow"] = active.T @ full
-    d_raw = (full @ w["narrow"].T) * (raw > 0)
-    g["widen"], g["shift"] = h.T @ d_raw, d_raw.sum(axis=0)
-    dh = (full + d_raw @ w["widen"].T).reshape(n, WINDOW, WIDTH)
-    flat = lambda a: a.reshape(-1, WIDTH)
-    g["mix"] = flat(seen).T @ flat(dh)
-    d_seen = dh @ w["mix"].T
-    dv = share.transpose(0, 2, 1) @ d_seen
+    g["narrow"] = ..., active.T @ full
+    d_raw = full @ w["narrow"].T
+    d_raw *= raw > 0
+    g["widen"], g["shift"] = (..., h.T @ d_raw), (..., d_raw.sum(axis=0))
+    dh = d_raw @ w["widen"].T
+    dh += full
+    g["mix"] = ..., flat(seen).T @ dh
+    d_seen = (dh @ w["mix"].T).reshape(n, WINDOW, WIDTH)
+    d_three = np.empty((n, WINDOW, 3, WIDTH), x.dtype)
+    np.matmul(share.transpose(0, 2, 1), d_seen, out=d_three[:, :, 2])
     d_share = d_seen @ v.transpose(0, 2, 1)
-    d_score = share * (d_share - (d_share * share).sum(axis=-1, keepdims=True))
-    g["distance"] = np.bincount(_AGO.ravel(), (d_score.sum(axis=0) * (_CAUSAL == 0)).ravel(), minlength=WINDOW).astype(_F)
-    d_score *= scale
-    dq, dk = d_score @ k, d_score.transpose(0, 2, 1) @ q
-    dx = dh.copy()
-    for name, d in (("query", dq), ("key", dk), ("value", dv)):
-        g[name] = flat(x).T @ flat(d)
-        dx += d @ w[name].T
-    order = np.argsort(inputs, axis=None, kind="stable")
-    found, starts = np.unique(inputs.ravel()[order], return_index=True)
-    g["embed"][found] = np.add.reduceat(flat(dx)[order], starts, axis=0)
-    return float(loss * each), g
-
-
-def _touched(inputs: np.ndarray, targets: np.ndarray) -> dict[str, object]:
-    """What of every weight a batch has derivatives for: of the large ones only some rows."""
-    tail = targets[(targets >= COMMON) & (targets < RARE)]
-    groups = np.unique((tail - COMMON) // TAILS)
-    names = ("query", "key", "value", "mix", "widen", "narrow", "distance", "shift", "top", "top_bias",
-             "inner", "inner_bias", "tail", "tail_bias")
-    return dict.fromkeys(names, ...) | {"embed": np.unique(inputs), "last": groups, "last_bias": groups}
+    d_share -= ((d_share * share) @ _ONES[:WINDOW])[..., None]
+    d_share *= share
+    g["distance"] = ..., np.bincount(_AGO.ravel(), (d_share.sum(axis=0) * _SEEN).ravel(), minlength=WINDOW).astype(_F)
+    np.matmul(d_share, k, out=d_three[:, :, 0])
+    np.matmul(d_share.transpose(0, 2, 1), q, out=d_three[:, :, 1])
+    d_three = d_three.reshape(-1, 3 * WIDTH)
+    slopes = x.T @ d_three
+    g["query"], g["key"], g["value"] = ((..., slopes[:, j * WIDTH : (j + 1) * WIDTH] * (scale if j == 0 else 1)) for j in range(3))
+    dx = d_three @ three.T
+    dx += dh
+    order = np.argsort(flat_inputs, kind="stable")
+    found, starts = np.unique(flat_inputs[order], return_index=True)
+    g["embed"] = found, np.add.reduceat(dx[order], starts, axis=0)
+    return loss * float(each), g
 
 
 class Adam:
@@ -199,14 +220,13 @@ class Adam:
     def step(self, inputs: np.ndarray, targets: np.ndarray, rate: float) -> None:
         self.steps += 1
         _, g = gradients(self.w, inputs, targets)
-        for name, touched in _touched(inputs, targets).items():
-            slope = g[name][touched]
+        for name, (touched, slope) in g.items():
             one = self.first[name][touched] * _F(0.9) + _F(0.1) * slope
             two = self.second[name][touched] * _F(0.99) + _F(0.01) * slope**2
             self.first[name][touched], self.second[name][touched] = one, two
-            size = np.sqrt(two / (1 - 0.99**self.steps)) + 1e-8
-            self.w[name][touched] -= (rate * one / (1 - 0.9**self.steps) / size).astype(_F)
-            self.uses[name][touched] += 1
+            size = np.sqrt(two / _F(1 - 0.99**self.steps)) + _F(1e-8)
+            self.w[name][touched] -= _F(rate / (1 - 0.9**self.steps)) * one / size
+            self.uses[name][touched if name in BY_ROW else ...] += 1
 
     def over(self, inputs: np.ndarray, targets: np.ndarray, rate: Callable[[int], float], random, batch: int) -> None:
         """All the windows once, in a random order."""
@@ -330,19 +350,20 @@ class Scorer:
         return self._choices(z, classes[source + 1])
 
     def _choices(self, z: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(z), _F)
-        for name, group, own, choice in _choices_of(target):
-            if group is None and len(own) == len(z):
-                out += self._chance(z, self.choices[name], choice)
-            else:
-                weights = self.choices[name]
-                out[own] += self._chance(z[own], weights if group is None else weights[group], choice)
+        step = _steps_of(target)
+        order = np.argsort(step, kind="stable")
+        z, found = z.take(order, axis=0), np.zeros(len(z), _F)
+        for name, group, a, b, choice in _choices_of(target[order], step[order]):
+            weights = self.choices[name] if group is None else self.choices[name][group]
+            found[a:b] += self._chance(z[a:b], weights, choice)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     @staticmethod
     def _chance(z: np.ndarray, weights: np.ndarray, choice: np.ndarray) -> np.ndarray:
         logits = z @ weights
-        if logits.max() > 60:  # exp would leave the range of the type
+        if logits.size and logits.max() > 60:  # exp would leave the range of the type
             logits -= logits.max(axis=1, keepdims=True)
         chosen = logits[np.arange(len(z)), choice]
         np.exp(logits, out=logits)

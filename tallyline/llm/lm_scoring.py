@@ -1,7 +1,7 @@
 """Log probabilities of documents under a causal self-attention model and a word unigram base.
 
-Counts of words and of subword ids cover all training documents; they are combined in the tasks
-before they are shuffled. The attention model learns from every training document: first, in a task of
+Texts are encoded once and their ids stored beside them. Counts of words and of subword ids cover all
+training documents; they are combined in the tasks before they are shuffled. The attention model learns from every training document: first, in a task of
 its own, from as many as a task has at least; then from all others in rounds. In a round every task
 goes through its documents in steps of a batch, and the moves of the weights are averaged, those of an
 id's own weights by how often a task used them. Documents are scored where they are read: their ids go through overlapping windows, every
@@ -28,15 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import attention
-from tallyline.llm.hashing import LOWER, WHITE, Words, binary, chunks, spans
+from tallyline.llm.hashing import LOWER, WHITE, Words, binary, chunks, mix, spans
 from tallyline.llm.subwords import default_paths, encoder
-from tallyline.sources.scratch import stored
+from tallyline.sources.scratch import scratch_folder, stored
 
 FREQUENT = 500_000
 TASK_DOCUMENTS = 6000
 STEPS, RATE = 2500, 1e-2
 BATCH = 64  # windows in a step of the first task
 ROUNDS, ROUND_BATCH = 4, 256
+_STREAM = 300  # documents whose windows are made, and dealt to steps, together
 _BLOCK, _FAN = 1 << 16, 32  # numbers of a vector in one row, and rows added up at once
 IDS = 50257
 END = 50256
@@ -47,26 +48,70 @@ def lower(texts: list[bytes]) -> list[bytes]:
     return [LOWER[np.frombuffer(text, np.uint8)].tobytes() for text in texts]
 
 
-def counted(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+def encoded(docs: DataFrame, held_out: Column, paths: tuple[str, str], first: float) -> DataFrame:
+    """Every document as ``row, doc_id, held_out, text`` (lower-case), ``ids`` and the ``round`` that learns
+    from it: -1 if none does, 0 for a share ``first`` of the others, chosen by a hash of their place in
+    the input. Texts are encoded once; a round reads the ids of its own documents only."""
+    schema = pa.schema(
+        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary()),
+         ("ids", pa.binary()), ("round", pa.int32())]
+    )
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(*paths).encode
+        number = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for at, part in chunks(binary(batch.column(2)), 1 << 20):
+                part = lower(part)
+                rows = np.arange(number, number + len(part))
+                number += len(part)
+                ids, bounds = encode(part)
+                ids = ids.astype(np.uint16)
+                bodies = [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                out = batch.column(1).slice(at, len(part))
+                share = mix(rows.astype(np.uint64) + np.uint64(1)) / 2.0**64
+                later = 1 + np.minimum((share - first) / max(1 - first, 1e-9) * ROUNDS, ROUNDS - 1).astype(np.int32)
+                learns = np.where(out.to_numpy(zero_copy_only=False).astype(bool), -1, np.where(share < first, 0, later))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(rows), batch.column(0).slice(at, len(part)), out, pa.array(part, pa.binary()),
+                        pa.array(bodies, pa.binary()), pa.array(learns.astype(np.int32)),
+                    ],
+                    schema=schema,
+                )
+
+    ddl = "row long, doc_id long, held_out boolean, text binary, ids binary, round int"
+    rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text").mapInArrow(encode, ddl)
+    path = scratch_folder(docs.sparkSession, "encoded")
+    rows.write.partitionBy("round").parquet(path)
+    return docs.sparkSession.read.schema(ddl).parquet(path)
+
+
+def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the documents of an Arrow column, one after the other, and their bounds."""
+    bodies = column.to_pylist()
+    sizes = np.fromiter((len(body) // 2 for body in bodies), np.int64, len(bodies))
+    return np.frombuffer(b"".join(bodies), np.uint16), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def counted(training: DataFrame) -> DataFrame:
     """``kind, key, n``: counts of word hashes, of subword ids with the end, and of texts."""
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*paths).encode
         ids = np.zeros(IDS, np.int64)
         texts = 0
         for batch in batches:
+            ids += np.bincount(ids_of(batch.column(1))[0], minlength=IDS)
+            texts += batch.num_rows
             for _, part in chunks(binary(batch.column(0)), 1 << 20):
-                part = lower(part)
                 keys, times = np.unique(Words(part, WHITE, lower=False).hashes, return_counts=True)
                 yield _counts(schema, _WORD, keys.astype(np.int64), times)
-                ids += np.bincount(encode(part)[0], minlength=IDS)
-                texts += len(part)
         ids[END] += texts
         yield _counts(schema, _ID, np.flatnonzero(ids), ids[ids > 0])
         yield _counts(schema, _TEXT, np.zeros(1, np.int64), np.array([texts]))
 
-    rows = docs.select("text").mapInArrow(count, "kind int, key long, n long")
+    rows = training.select("text", "ids").mapInArrow(count, "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -86,34 +131,29 @@ def sequences(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def trained(
-    docs: DataFrame, classes: attention.Classes, paths: tuple[str, str], total: int, documents: int, steps: int
+    rows: DataFrame, classes: attention.Classes, total: int, documents: int, steps: int
 ) -> dict[str, np.ndarray]:
-    """Weights after training on all the ``total`` documents, each in one round."""
+    """Weights after training on all encoded documents that are not held out, each in its round; they are
+    ``total``, of which about ``documents`` are in round 0."""
     weights = attention.initial(classes.counts)
-    hashed = F.xxhash64("text", "doc_id")
-    share = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
-    given = docs.where(F.col("text").isNotNull())
-    first = min(1.0, documents / max(total, 1))
     # The order of rows that were shuffled is not fixed.
-    alone = given.where(share < first).select("text", hashed.alias("hash")).repartition(1)
-    rate = attention.falling(RATE, steps)
-    weights = learnt(alone.sortWithinPartitions("hash", "text"), weights, classes, paths, rate, BATCH, steps, 1)
-    if first == 1.0:
+    alone = rows.where("round = 0").select("ids", "row").repartition(1).sortWithinPartitions("row")
+    weights = learnt(alone, weights, classes, attention.falling(RATE, steps), BATCH, steps, 1)
+    if total <= documents:
         return weights
     tasks = -(-total // documents)
     for number in range(ROUNDS):
-        low, high = (first + (1 - first) * k / ROUNDS for k in (number, number + 1))
-        among = share >= low if number == ROUNDS - 1 else (share >= low) & (share < high)
         rate = attention.falling(0.3 * RATE * (1 - 0.8 * number / ROUNDS), 1 << 30)
         # Tasks have enough documents each, and are no more than that allows.
-        weights = learnt(given.where(among).coalesce(tasks), weights, classes, paths, rate, ROUND_BATCH, 0, tasks)
+        among = rows.where(F.col("round") == number + 1).select("ids").coalesce(tasks)
+        weights = learnt(among, weights, classes, rate, ROUND_BATCH, 0, tasks)
     return weights
 
 
-def learnt(docs: DataFrame, weights, classes, paths, rate, batch: int, steps: int, tasks: int) -> dict[str, np.ndarray]:
+def learnt(rows: DataFrame, weights, classes, rate, batch: int, steps: int, tasks: int) -> dict[str, np.ndarray]:
     """Weights after every task, of which there are ``tasks`` at most, made its steps: at least ``steps``,
     if it has documents, in several passes over few documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights, classes))
+    shared = rows.sparkSession.sparkContext.broadcast((weights, classes))
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("body", pa.binary())])
     ddl = "part int, block int, body binary"
     few = steps * batch
@@ -121,13 +161,12 @@ def learnt(docs: DataFrame, weights, classes, paths, rate, batch: int, steps: in
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, classes = shared.value
         of = np.append(classes.of, attention.BEGIN)
-        encode = encoder(*paths).encode
         part = TaskContext.get().partitionId()
         adam, random = attention.Adam(start), np.random.default_rng([1, part])
         held, number = [], 0
-        for rows in batches:
-            for _, texts in chunks(binary(rows.column(0)), 1 << 20):
-                ids, _ = sequences(*encode(lower(texts)))
+        for batch_rows in batches:
+            for at in range(0, batch_rows.num_rows, _STREAM):
+                ids, _ = sequences(*ids_of(batch_rows.column(0).slice(at, _STREAM)))
                 inputs, targets = attention.windows(of[ids])
                 adam.over(inputs, targets, rate, random, batch)
                 number += len(inputs)
@@ -150,12 +189,12 @@ def learnt(docs: DataFrame, weights, classes, paths, rate, batch: int, steps: in
         row = {"part": rows.column("up")[0].as_py(), "block": rows.column("block")[0].as_py(), "body": total.tobytes()}
         return pa.Table.from_pylist([row], schema=schema)
 
-    rows = docs.select("text").mapInArrow(learn, ddl)
+    moves = rows.select("ids").mapInArrow(learn, ddl)
     while tasks > 1:
         up = F.floor(F.col("part") / _FAN).cast("int")
-        rows = rows.withColumn("up", up).groupBy("up", "block").applyInArrow(added, ddl)
+        moves = moves.withColumn("up", up).groupBy("up", "block").applyInArrow(added, ddl)
         tasks = -(-tasks // _FAN)
-    bodies = {r.block: r.body for r in rows.select("block", "body").collect()}
+    bodies = {r.block: r.body for r in moves.select("block", "body").collect()}
     shared.unpersist()
     if not bodies:
         return weights
@@ -182,18 +221,15 @@ def looked_up(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return place[back], (keys[place] == different)[back]
 
 
-def scored(docs: DataFrame, held_out: Column, weights, classes, frequent, texts: int, paths) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((weights, classes, frequent))
+def scored(rows: DataFrame, weights, classes, frequent, texts: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((weights, classes, frequent))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*paths).encode
         weights, classes, (keys, logs) = shared.value
         scorer, of = attention.Scorer(weights), np.append(classes.of, attention.BEGIN)
         log_share = np.append(classes.log_share, 0.0)
-        number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for first, part in chunks(binary(batch.column(2))):
-                part = lower(part)
+            for first, part in chunks(binary(batch.column(3))):
                 words = Words(part, WHITE, lower=False)
                 place, hit = looked_up(words.hashes, keys)
                 sizes = np.diff(words.bounds)
@@ -203,7 +239,7 @@ def scored(docs: DataFrame, held_out: Column, weights, classes, frequent, texts:
                 missing = np.flatnonzero(~hit)
                 edges = np.searchsorted(doc[missing], np.arange(len(part) + 1)).astype(np.int32)
 
-                ids, places = sequences(*encode(part))
+                ids, places = sequences(*ids_of(batch.column(4).slice(first, len(part))))
                 chances = scorer.log_chances(of[ids], places)
                 own = np.diff(places) - 1
                 targets = np.delete(ids, places[:-1])
@@ -211,9 +247,7 @@ def scored(docs: DataFrame, held_out: Column, weights, classes, frequent, texts:
                 score = np.add.reduceat(chances, np.cumsum(own) - own) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(number, number + len(part))),
-                        batch.column(0).slice(first, len(part)),
-                        batch.column(1).slice(first, len(part)),
+                        *(batch.column(k).slice(first, len(part)) for k in range(3)),
                         pa.array(sizes + 1, pa.int64()),
                         pa.array(known, pa.int64()),
                         pa.array(sums),
@@ -222,10 +256,8 @@ def scored(docs: DataFrame, held_out: Column, weights, classes, frequent, texts:
                     ],
                     schema=_FOUND,
                 )
-                number += len(part)
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text")
-    return rows.mapInArrow(score, _FOUND_DDL)
+    return rows.select("row", "doc_id", "held_out", "text", "ids").mapInArrow(score, _FOUND_DDL)
 
 
 def scores(
@@ -242,8 +274,9 @@ def scores(
     ``documents`` at least in a task, the first of which makes ``steps`` steps at least.
     """
     paths = paths or default_paths()
-    training = docs.where(~held_out)
-    counts = stored(counted(training, paths), "counts")
+    learnable = docs.where(~held_out).count()
+    rows = encoded(docs, held_out, paths, min(1.0, documents / max(learnable, 1)))
+    counts = stored(counted(rows.where("round >= 0")), "counts")
     words = counts.where(F.col("kind") == _WORD)
     totals = {r[0]: (r[1] or 0, r[2]) for r in counts.groupBy("kind").agg(F.sum("n"), F.count("*")).collect()}
     texts = totals.get(_TEXT, (0, 0))[0]
@@ -261,9 +294,9 @@ def scores(
     by_id = np.zeros(IDS)
     by_id[ids.column("key").to_numpy()] = ids.column("n").to_numpy()
     classes = attention.Classes(by_id)
-    weights = trained(training, classes, paths, texts, documents, steps)
+    weights = trained(rows, classes, texts, documents, steps)
 
-    found = stored(scored(docs, held_out, weights, classes, lookup, texts, paths), "scored")
+    found = stored(scored(rows, weights, classes, lookup, texts), "scored")
     rest = (
         found.select("row", F.explode("rest").alias("key"))
         .join(words.where(F.col("n") < limit).select("key", "n"), "key")

@@ -56,7 +56,10 @@ def test_gradients(weights):
     random = np.random.default_rng(1)
     stream = random.integers(0, attention.CLASSES, (3, attention.WINDOW + 1))
     inputs, targets = stream[:, :-1], np.where(stream[:, 1:] == attention.BEGIN, -1, stream[:, 1:])
-    _, g = attention.gradients(w, inputs, targets)
+    _, sparse = attention.gradients(w, inputs, targets)
+    g = {name: np.zeros_like(value) for name, value in w.items()}
+    for name, (rows, slope) in sparse.items():
+        g[name][rows] = slope
     for name in w:
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         step = 1e-4
@@ -140,24 +143,28 @@ def test_every_training_document_is_learnt_from(spark):
     rows = [(k, " ".join(pick.choice(vocabulary, 60))) for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     paths = lm_scoring.default_paths()
+    coded = lm_scoring.encoded(docs, left_out(), paths, 50 / 340)
+    assert coded.count() == 400 and coded.where("held_out").select("round").distinct().collect() == [(-1,)]
     by_id = np.zeros(lm_scoring.IDS)
-    for row in lm_scoring.counted(docs, paths).where("kind = 1").collect():
+    for row in lm_scoring.counted(coded.where("round >= 0")).where("kind = 1").collect():
         by_id[row.key] += row.n
     classes = attention.Classes(by_id)
     seen = []
     whole = lm_scoring.learnt
 
     def spied(part, *rest):
-        seen.append([r.text for r in part.select("text").collect()])
+        seen.append([bytes(r.ids) for r in part.select("ids").collect()])
         return whole(part, *rest)
 
     lm_scoring.learnt = spied
     try:
-        made = lm_scoring.trained(docs, classes, paths, 400, 50, 5)
+        made = lm_scoring.trained(coded, classes, 340, 50, 5)
     finally:
         lm_scoring.learnt = whole
     assert len(seen) == 1 + lm_scoring.ROUNDS and all(seen)
-    assert sorted(t for part in seen for t in part) == sorted(text for _, text in rows)
+    encode = lm_scoring.encoder(*paths).encode
+    wanted = [encode([text.encode()])[0].astype(np.uint16).tobytes() for doc, text in rows if not held(doc)]
+    assert sorted(ids for part in seen for ids in part) == sorted(wanted)
     start = attention.initial(classes.counts)
     assert all(np.isfinite(w).all() for w in made.values())
     used = np.unique(np.append(classes.of[by_id > 0], attention.BEGIN))
