@@ -1,15 +1,16 @@
 """Language identification by one interpolated Kneser-Ney model of characters per language.
 
 Texts are lower-cased, everything but letters becomes one space, and n-grams of up to ``ORDER``
-characters are counted. Spark draws a bounded sample of labelled documents of every language and
-counts its n-grams; the models are made of these counts on the driver and broadcast as sorted arrays of
+characters are counted. Spark draws a bounded sample of labelled documents of every language, all of
+them where there are few, and counts its n-grams; the models are made of these counts on the driver and broadcast as sorted arrays of
 n-gram hashes with one log probability per language. A character whose longest n-gram was seen
 in any language costs a single look-up; otherwise shorter ones are tried, with the discounted
 weight of the contexts. The text gets the language of lowest cross-entropy per character.
 
-Rejection is calibrated on documents that are labelled but not in the sample: a text is rejected
-if its cross-entropy is higher than anything such documents lead to expect for a text of its length,
-or if it has no letter.
+Rejection is calibrated by cross-fitting: each half of the sample is held against models of the other
+half. A text is rejected if its cross-entropy is higher than anything such documents lead to expect
+for a text of its length, or if it has no letter. A language with under two documents that its other
+half recognises rejects nothing.
 
 Null text and text without letters: language ``und``, score 0, rejected. Without labelled
 documents every text is. Documents without text or label are no training data. A tie of two
@@ -33,7 +34,6 @@ from tallyline.sources.scratch import stored
 
 ORDER = 4
 SAMPLE_DOCUMENTS = 1500  # about so many labelled documents of each language
-CALIBRATION_DOCUMENTS = 1500
 UNKNOWN = "und"
 # How far above the calibrated mean a cross-entropy may lie, in deviations.
 SLACK = 8.0
@@ -212,25 +212,36 @@ def kneser_ney(counts: pd.DataFrame, order: int) -> Models:
     return Models(languages, hashes, probability, weight, floor)
 
 
-def sampled(rows: DataFrame, share_from: float, documents: int) -> DataFrame:
-    """About ``documents`` rows of each language (``lang``, ``n`` rows), by a hash of the id; different
-    shares of the hash give separate samples."""
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    end = share_from + documents / F.col("n")
-    return rows.where((share >= share_from) & (share < F.least(end, F.lit(share_from + 0.5))))
+def sampled(labelled: DataFrame, documents: int) -> DataFrame:
+    """About ``documents`` rows of each language, all of a language that has no more, with a ``fold``
+    of two. Which rows, and their folds, follow from hashes of id and text."""
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    hashed = F.xxhash64("doc_id", "text")
+    share = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+    fold = F.shiftright(hashed, 40).bitwiseAND(1).cast("int")
+    return labelled.join(sizes, "lang").where(share < documents / F.col("n")).select("lang", "text", fold.alias("fold"))
 
 
 def trained(labelled: DataFrame, order: int = ORDER, documents: int = SAMPLE_DOCUMENTS, slack: float = SLACK) -> Models | None:
-    """Models of about ``documents`` labelled documents (``doc_id, text, lang``) of each language."""
+    """Models of about ``documents`` labelled documents (``doc_id, text, lang``) of each language. What
+    is expected of unseen documents comes from two further models of one fold each, held against the
+    documents of the other."""
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    rows = labelled.join(sizes, "lang")
-    counts = counted(sampled(rows, 0.0, documents), order).toArrow().to_pandas()
+    rows = stored(sampled(labelled, documents), "language-sample")
+    counts = counted(rows.select(F.concat(F.col("fold").cast("string"), "lang").alias("lang"), "text"), order).toArrow().to_pandas()
     if counts.empty:
         return None
-    models = kneser_ney(counts, order)
-    held = scored(sampled(rows, 0.5, CALIBRATION_DOCUMENTS), models).select("lang", "made.*")
-    models.limits = limits(held.where("lang = lang_pred").select("lang", "n_letters", "bits").toArrow().to_pandas(), models, slack)
+    counts["fold"], counts["lang"] = counts["lang"].str[0], counts["lang"].str[1:]
+    held = []
+    for fold in (0, 1):
+        others = counts[counts["fold"] != str(fold)].drop(columns="fold")
+        if len(others):
+            found = scored(rows.where(F.col("fold") == fold), kneser_ney(others, order)).select("lang", "made.*")
+            held.append(found.where("lang = lang_pred").select("lang", "n_letters", "bits").toArrow().to_pandas())
+    keys = ["lang", "n", "gram", "context", "suffix"]
+    models = kneser_ney(counts.groupby(keys, as_index=False, sort=False)["count"].sum(), order)
+    empty = pd.DataFrame({"lang": [], "n_letters": [], "bits": []})
+    models.limits = limits(pd.concat(held) if held else empty, models, slack)
     return models
 
 

@@ -6,7 +6,7 @@ placed shingles. The values for all k of one shingle lie side by side, so a sign
 read of a short row per shingle. 32 bands of 4 coordinates miss a pair at the threshold with a
 probability under 0.00001. Every link is confirmed on the full sets.
 
-Documents with equal sets are one node from the start. In each bucket of a band all nodes are held
+A set is a node, whatever the number of documents that have it. In each bucket of a band all nodes are held
 against the smallest one, which links nearly all of a group of near copies with as many pairs as
 members. Only members whose components still differ are then held against each other, in blocks of
 a bounded size: by their signatures first, then, those with a possible partner, by their full sets.
@@ -14,9 +14,9 @@ Only links are written out. Nodes in one component need no further pairs, and a
 in its first common bucket only, so nothing is lost and no group is written out as all its pairs.
 
 A text with fewer words than a shingle is one shingle; null text and a text without words have
-none and link with nothing. Rows that share a ``doc_id`` but not the set are one node: the set of the
-smallest digest stands for it, and all of them get its component. Rows without a ``doc_id`` are
-not linked: they have no component and are kept. Empty tables give empty results; other
+none and link with nothing. Rows that share a ``doc_id`` but not the set are one document: each of its
+sets is a node with links of its own, and links join the sets of one id. Rows without a ``doc_id``
+are not linked: they have no component and are kept. Empty tables give empty results; other
 columns are ignored.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.components import components
 from tallyline.llm.hashing import U64, WHITE, Words, binary, chunks, mix, run_hashes, prefix_sums, spans
+from tallyline.llm.memory import tidy
 from tallyline.sources.scratch import stored
 
 SHINGLE = 5
@@ -107,7 +108,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                     schema=_SIGNED,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, _SIGNED_DDL)
+    return docs.select("doc_id", "text").mapInArrow(lambda rows: tidy(sign(rows)), _SIGNED_DDL)
 
 
 def band_hashes(signatures: np.ndarray) -> np.ndarray:
@@ -136,11 +137,11 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bl
     """``doc_id, n_shingles, component_id, kept`` of every document."""
     rows = stored(signed(docs, size), "signed")
     named = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
-    chosen = classes.groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("d")).select("node", "d.*")
+    least = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
+    classes = stored(least.withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = stored(
-        chosen.join(named.withColumnRenamed("doc_id", "node"), ["d1", "d2", "node"])
-        .dropDuplicates(["node"]).select("node", "d1", "n_shingles", "signature"),
+        classes.join(named, ["d1", "d2", "doc_id"])
+        .dropDuplicates(["node"]).select("node", "doc_id", "d1", "n_shingles", "signature"),
         "nodes",
     )
     members = stored(buckets(nodes), "buckets")
@@ -150,15 +151,17 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bl
     shared = stored(members.join(hubs, "bucket"), "shared-buckets")
     stars = shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     first = stored(confirmed(docs, nodes, alike(stars, nodes, percent), size, percent), "links-to-hubs")
+    first = first.union(sets_of_one_id(named, classes))
     roots = components(first)
     rest = stored(crossing(docs, shared, roots, nodes, size, percent, block), "links-across")
     if not rest.isEmpty():
         roots = components(first.union(rest))
-    per_class = (
-        classes.join(roots, "node", "left")
-        .select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
+    rooted = stored(
+        classes.join(roots, "node", "left").select("d1", "d2", "doc_id", F.coalesce("root", "node").alias("root")),
+        "rooted",
     )
-    named_as = stored(per_class, "components")
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named_as = stored(rooted.join(smallest, "root").select("d1", "d2", "component_id"), "components")
     found = (
         rows.join(named_as, ["d1", "d2"], "left")
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
@@ -170,6 +173,20 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bl
     )
 
 
+def sets_of_one_id(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the sets of ids that have several: from each to the smallest node of them."""
+    extremes = (f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("d1", "d2"))
+    several = stored(
+        named.groupBy("doc_id").agg(*extremes).where("min_d1 != max_d1 or min_d2 != max_d2").select("doc_id"), "ids-of-sets"
+    )
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    held = named.join(several, "doc_id", "left_semi").select("doc_id", "d1", "d2").distinct()
+    held = stored(held.join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node"), "sets-of-ids")
+    hubs = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return held.join(hubs, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and signatures allow a link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -197,8 +214,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``node, shingles`` of the wanted nodes: the sorted hashes of their sets."""
-    schema = pa.schema([("node", pa.int64()), ("d1", pa.int64()), ("shingles", pa.binary())])
-    wanted = stored(nodes.join(wanted, "node", "left_semi").select("node", "d1"), "wanted")
+    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("shingles", pa.binary())])
+    wanted = stored(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "d1"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,18 +226,18 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -
                 bodies = pa.array([s.tobytes() for s in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([names, firsts, bodies], schema=schema)
 
-    slot = F.pmod(F.xxhash64("node"), F.lit(_ASKED)).alias("slot")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_ASKED)).alias("slot")
     texts = (
-        docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .select("*", slot)
         # At most _ASKED numbers, whatever the number of documents.
         .join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
-        .join(wanted, "node", "left_semi")
-        .select("node", "text")
+        .join(wanted, "doc_id", "left_semi")
+        .select("doc_id", "text")
     )
-    # A row of the same id with another set is not the one that was signed.
-    own = texts.mapInArrow(sets, "node long, d1 long, shingles binary").join(wanted, ["node", "d1"], "left_semi")
-    return stored(own.dropDuplicates(["node"]).drop("d1"), "sets")
+    # A row of the same id with another set belongs to another node, or to none that is asked for.
+    own = texts.mapInArrow(sets, "doc_id long, d1 long, shingles binary").join(wanted, ["doc_id", "d1"])
+    return stored(own.dropDuplicates(["node"]).select("node", "shingles"), "sets")
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -260,7 +277,7 @@ def crossing(
     member = stored(
         shared.where("n > 2 and node != hub")
         .join(roots, "node", "left")
-        .join(nodes.drop("d1"), "node")
+        .join(nodes.drop("doc_id", "d1"), "node")
         .select("bucket", "node", F.coalesce("root", "node").alias("root"), "n_shingles", "signature"),
         "bucket-members",
     )

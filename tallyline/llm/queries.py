@@ -56,7 +56,7 @@ def op3_near_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, data_dir: str) -> DataFrame:
     docs = table(spark, data_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     models = language_id.trained(docs.where(~held_out))
     found = language_id.identified(docs.select("doc_id", "text"), models)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

@@ -50,6 +50,20 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert rows_of(found, *OUT) == rows_of(near_copies(spark.createDataFrame(rows[::-1], "doc_id long, text string")), *OUT)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_no_link_of_an_id_with_several_texts_is_lost(spark, seed):
+    """Whichever digest is the smaller: each text of an id links, and joins what its other texts link."""
+    pick = random.Random(seed)
+    one, two, three = (" ".join(f"w{pick.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    rows = [(5, one), (5, two), (8, two), (9, two + " more"), (4, one + " end"), (7, three), (6, three), (7, one + " tail")]
+    rows += [(20 + k, f"{k} {pick.random()} lone text") for k in range(5)] + [(20, "lone text twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {}
+    for r in near_copies(docs).collect():
+        found.setdefault(r.doc_id, set()).add(r.component_id)
+    assert found == {d: {4} for d in (4, 5, 6, 7, 8, 9)} | {20 + k: {20 + k} for k in range(5)}
+
+
 def test_threshold_counts_a_tie():
     one, two = shingle_sets([b"a b c d e f g h", b"a b c d e f g h i"], 5)
     assert linked(one, two, 80) and not linked(one, two, 81)
