@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.hashing import U64, binary, chunks, mix
+from tallyline.llm.memory import tidy
 from tallyline.sources.scratch import stored
 
 ORDER = 4
@@ -40,6 +41,7 @@ SLACK = 8.0
 _SPACE = 32
 _FACTOR = U64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 19
+_ROWS = 500  # texts that are held as bytes at once
 
 
 @lru_cache(maxsize=1)
@@ -153,7 +155,7 @@ def counted(sample: DataFrame, order: int) -> DataFrame:
                             )
 
     rows = sample.select("lang", "text").mapInArrow(
-        count, "lang string, n long, gram long, context long, suffix long, count long"
+        lambda part: tidy(count(part)), "lang string, n long, gram long, context long, suffix long, count long"
     )
     return rows.groupBy("lang", "n", "gram", "context", "suffix").agg(F.sum("count").alias("count"))
 
@@ -271,7 +273,8 @@ def scored(docs: DataFrame, models: Models | None) -> DataFrame:
 
     @F.arrow_udf(_MADE)
     def predict(texts: pa.Array) -> pa.Array:
-        rows = [predicted(shared.value, text) for text in binary(texts)]
+        parts = (binary(texts.slice(at, _ROWS)) for at in range(0, len(texts), _ROWS))
+        rows = [predicted(shared.value, text) for part in parts for text in part]
         columns = zip(*rows) if rows else [[]] * len(types)
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
