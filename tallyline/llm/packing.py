@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tallyline.llm.hashing import binary, chunks
+from tallyline.llm.memory import tidy
 from tallyline.llm.subwords import default_paths, encoder
 
 SCHEMA = (
@@ -64,7 +65,7 @@ def pack(
                     yield packer.rows(last=False)
         yield packer.rows(last=True)
 
-    return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lambda rows: tidy(packed(rows), encoder.cache_clear), SCHEMA)
 
 
 class Packer:

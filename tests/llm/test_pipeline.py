@@ -75,6 +75,15 @@ def test_empty_tables_and_missing_ids(spark, name):
     assert len(rows_of(found, found.columns[0])) >= 1
 
 
+def test_contaminated_rows_go_by_their_own_text(spark):
+    item = spark.read.parquet(f"{SAMPLE}/benchmark.parquet").first().text
+    rows = [(1, f"before {item} after"), (1, "a clean row of the same id"), (None, item), (None, "a clean row without an id"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("mine"))
+    left = CONTAMINATED(spark, docs, SAMPLE)
+    assert left.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in left.collect()), key=str) == sorted(rows[1::2] + rows[4:], key=str)
+
+
 def test_copies_under_one_id_or_without_an_id_leave_one_text(spark):
     text, other = (" ".join(f"{w}{k}" for k in range(60)) for w in ("clean", "other"))
     lone = " ".join(f"lone{k}" for k in range(60))
