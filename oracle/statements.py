@@ -414,6 +414,7 @@ _STATEMENTS = {
     "load_snapshot_csv": _ALL_ITEMS,
     "path_partition_columns": f"SELECT {_KEY}, count(*) AS LineCount FROM items GROUP BY {_KEY}",
     "reload_one_snapshot": _ALL_ITEMS,
+    "load_recent_captures": _ALL_ITEMS,
     "warehouse_roundtrip_orc": _ALL_ITEMS,
     "clean_index_report": f"""
         SELECT {_KEY}, row_number() OVER (PARTITION BY {_KEY} ORDER BY c, i, step) - 1 AS line_no, line

@@ -36,7 +36,7 @@ from tallyline.schema import (
     SNAPSHOT,
     Table,
 )
-from tallyline.sources import reports, snapshots
+from tallyline.sources import recent, reports, snapshots
 from tallyline.sources.scratch import scratch_folder, stored
 from tallyline.sources.warehouse import Warehouse
 
@@ -47,6 +47,7 @@ LOOKUP = ("c2_click", 19745)
 COPIED_DAY = 19730
 REWRITTEN_DAY = 19740
 REWRITTEN_HOST = "mongo02"
+EARLIER_DAYS = "197[23]?"
 EMPTIED_HOSTS = ("mongo02", "mongo03")
 
 
@@ -120,6 +121,15 @@ def reload_one_snapshot(inputs: Inputs) -> DataFrame:
     return warehouse.read(OP_COUNT_ITEM.name)
 
 
+def load_recent_captures(inputs: Inputs) -> DataFrame:
+    """Earlier captures are loaded from their directories, then what is new since then is looked for."""
+    warehouse = Warehouse.scratch(inputs.spark)
+    root = inputs.csv_lake().removesuffix("/*/*_*")
+    snapshots.load_paths(warehouse, [f"{root}/*/*{EARLIER_DAYS}_*"], "*.csv")
+    recent.load_recent(warehouse, root, "*.csv")
+    return warehouse.read(OP_COUNT_ITEM.name)
+
+
 def after_emptying(spark: SparkSession, data_dir: str) -> Warehouse:
     return emptied_warehouse(spark, data_dir, REWRITTEN_DAY, EMPTIED_HOSTS)
 
@@ -262,6 +272,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "load_snapshot_csv": load_snapshot_csv,
     "path_partition_columns": path_partition_columns,
     "reload_one_snapshot": reload_one_snapshot,
+    "load_recent_captures": load_recent_captures,
     "reload_emptied_snapshot": lambda q: _after_emptying(q, OP_COUNT_ITEM),
     "facts_of_changed_captures": lambda q: _after_emptying(q, COLLECTION_OPS_AGG),
     "labels_of_changed_hosts": lambda q: _after_emptying(q, COLLECTION_POLICY_LABELS),

@@ -35,6 +35,7 @@ from tallyline.schema import (
     Table,
 )
 from tallyline.sources import manifest, publications, reports
+from tallyline.sources.recent import load_recent
 from tallyline.sources.reports import DEFAULT_DB
 from tallyline.sources.scratch import stored, temporary
 from tallyline.sources.snapshots import lake_glob, load_snapshots
@@ -45,6 +46,11 @@ def load_csv(warehouse: Warehouse, lake_root: str, host: str = "*") -> None:
     load_snapshots(warehouse, lake_root, host)
 
 
+def load_new(warehouse: Warehouse, lake_root: str) -> None:
+    """Captures of new hosts, and of known ones from their last day on."""
+    load_recent(warehouse, lake_root)
+
+
 def load_reports(warehouse: Warehouse, lake_root: str, db_name: str = DEFAULT_DB) -> None:
     """Raw reports straight into the item table, with the issues and errors found in them."""
     reports.load_reports(warehouse, lake_glob(lake_root), db_name)

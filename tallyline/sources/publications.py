@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyline.schema import HOST, PUBLICATIONS, TABLES
-from tallyline.sources.scratch import path_exists, remove_path
+from tallyline.sources.scratch import names_matching, path_exists, remove_path
 
 GENERATION = "Generation"
 # Up to so many folders of hosts are listed in the plan of a reader.
@@ -130,15 +130,8 @@ def clean_up(warehouse, keep: int = 2) -> None:
     in_use = {(r[0], r[1]) for r in recent.select("TableName", GENERATION).distinct().collect()}
     for name, table in TABLES.items():
         if table.published and path_exists(warehouse.spark, warehouse.path(name)):
-            for generation in _generations(warehouse, name):
+            for folder in names_matching(warehouse.spark, f"{warehouse.path(name)}/{GENERATION}=*"):
+                generation = folder.split("=", 1)[1]
                 if (name, generation) not in in_use:
                     remove_path(warehouse.spark, f"{warehouse.path(name)}/{GENERATION}={generation}")
     warehouse.drop(PUBLICATIONS.name, rows.where(F.col("Publication") <= last - keep).select("Publication"))
-
-
-def _generations(warehouse, name: str) -> list[str]:
-    context = warehouse.spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(warehouse.path(name))
-    listed = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path)
-    names = [status.getPath().getName() for status in listed]
-    return [n.split("=", 1)[1] for n in names if n.startswith(f"{GENERATION}=")]

@@ -68,6 +68,12 @@ def remove_path(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
+def names_matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the folders that match a pattern of the file system."""
+    files, path = _place(spark.sparkContext, pattern)
+    return [status.getPath().getName() for status in files.globStatus(path) or [] if status.isDirectory()]
+
+
 def _place(context: SparkContext, folder: str):
     """A folder and the file system that it is on."""
     path = context._jvm.org.apache.hadoop.fs.Path(folder)

@@ -37,7 +37,8 @@ def reads(df) -> set[str]:
 WRITING = {
     "load_snapshot_csv", "path_partition_columns", "reload_one_snapshot", "warehouse_roundtrip_orc",
     "clean_index_report", "parse_index_report", "report_parse_errors", "overwrite_dynamic",
-    "overwrite_dynamic_host", "index_ops_agg_recompute", "load_issues", "load_errors",
+    "overwrite_dynamic_host", "index_ops_agg_recompute", "load_issues", "load_errors", "load_recent_captures",
+    "reload_emptied_snapshot", "facts_of_changed_captures", "labels_of_changed_hosts",
 }
 SERIES = "mongo_hostname, CollectionName"
 FACT_KEY = "mongo_hostname, days_post_epoch, seconds_of_day, CollectionName"
