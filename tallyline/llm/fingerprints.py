@@ -14,7 +14,9 @@ zero buckets. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ WINDOW = 5
 # Steps between quarters 0..3 and what they add to the difference.
 _STEP = np.array([0, 1, 2, 6])
 _LENGTH_MOST = 96
+_LEAST = -(1 << 63)
 _HELD_CHARS = 1 << 20
 # A triplet is the last byte of a window with those so many places before it.
 _PAIRS = [(a, b) for a in range(1, WINDOW) for b in range(a + 1, WINDOW)]
@@ -116,40 +119,60 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     """Every document's digest, that of its edited text, and how like it they and the next
     document's are. Next is the next larger id; after the last comes the first.
 
-    Documents are dealt to as many blocks of consecutive ids as there are shuffle partitions, and
-    the first of each block is sent to the block before as well, so one shuffle brings every
-    document and its next one together. Rows of one id are ordered by their texts; rows without
-    an id come before all others. Ids are taken to be spread: rows of one id share a block.
+    Documents are dealt to as many blocks of consecutive ids as there are shuffle partitions, one for
+    each, and the first of each block is sent to the block before as well, so one shuffle brings every
+    document and its next one together. Rows of one id are ordered by a hash of their texts, then by
+    these; rows without an id come before all others. An id that fills several blocks is cut between
+    such hashes; only rows of one id and one text are never parted.
     """
     spark = docs.sparkSession
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("order")
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id")
+    place = F.struct(order, F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).alias("order")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [k / parts for k in range(1, parts)] or [0.5]
-    cuts = docs.select(order).agg(F.percentile_approx("order", shares, 100 * parts)).first()[0]
+    cuts = docs.select(order).agg(F.percentile_approx("id", shares, 100 * parts)).first()[0]
     if cuts is None:
         return spark.createDataFrame([], _OUT_DDL)
-    # The smallest id of each block that has any: no more numbers than shuffle partitions.
-    below = docs.select(order).withColumn("block", _place(sorted(set(cuts))))
-    firsts = sorted(r.first for r in below.groupBy("block").agg(F.min("order").alias("first")).collect())
-
-    own = F.struct((_place(firsts) - 1).alias("block"), F.lit(0).alias("late"))
-    before = F.struct(
-        F.pmod(_place(firsts) - 2, F.lit(len(firsts))).alias("block"), F.lit(1).alias("late")
-    )
-    goes = F.when(F.array_contains(F.lit(firsts), F.col("order")), F.array(own, before)).otherwise(F.array(own))
+    # The first of each block that has any: no more of them than shuffle partitions.
+    below = docs.select(place).withColumn("block", _place(limits_of(cuts)))
+    firsts = below.groupBy("block").agg(F.min("order").alias("first")).select("first.*").collect()
+    firsts = sorted((r.id, r.tie) for r in firsts)
+
+    rows = docs.select(place, F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("own", _place(firsts) - 1).withColumn("is_first", F.array_contains(_literal(firsts), F.col("order")))
+    own = F.struct(F.col("own").alias("block"), F.lit(0).alias("late"))
+    before = F.struct(F.pmod(F.col("own") - 1, F.lit(len(firsts))).alias("block"), F.lit(1).alias("late"))
     return (
-        docs.select(order, F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("to", F.explode(goes))
-        .repartition(parts, F.col("to.block"))
-        .sortWithinPartitions("to.block", "to.late", "order", "text")
+        rows.withColumn("to", F.explode(F.when(F.col("is_first"), F.array(own, before)).otherwise(F.array(own))))
+        .repartitionById(len(firsts), F.col("to.block"))
+        .sortWithinPartitions("to.late", "order", "text")
         .select("to.block", "to.late", "doc_id", "text")
         .mapInArrow(_compare, _OUT_DDL)
     )
 
 
-def _place(limits: list[int]) -> Column:
-    """How many of the ordered limits the row's place in the order has reached."""
-    return F.size(F.filter(F.lit(limits), lambda limit: limit <= F.col("order")))
+def limits_of(cuts: list[int]) -> list[tuple[int, int]]:
+    """Where blocks begin, as id and hash, from ids at equal shares of the rows: an id that is several of
+    them holds as many shares, and is cut at equal steps of the hash."""
+    times = Counter(cuts)
+    return [(i, _LEAST + k * (1 << 64) // times[i]) for i in sorted(times) for k in range(times[i])]
+
+
+def _literal(places: list[tuple[int, int]]) -> Column:
+    return F.expr(f"array({', '.join(f'struct({i}L AS id, {tie}L AS tie)' for i, tie in places)})")
+
+
+def _place(limits: list[tuple[int, int]]) -> Column:
+    """How many of the ordered limits the row's place in the order has reached: first whole runs of
+    limits are passed, then those of one run are."""
+    run = max(1, isqrt(len(limits)))
+    ends = limits[run - 1 :: run]
+
+    def reached(array: Column) -> Column:
+        return F.size(F.filter(array, lambda limit: limit <= F.col("order")))
+
+    passed = (reached(_literal(ends)) if ends else F.lit(0)) * run
+    return passed + reached(F.slice(_literal(limits), passed + 1, run))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
