@@ -1,17 +1,35 @@
-"""Memory that a worker would otherwise keep from one task to the next, next to other workers."""
+"""What operators on long texts do to keep the memory of executors and their workers bounded."""
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from typing import TypeVar
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Of rows that hold a whole text, or all its shingles, so many go to a worker at once.
+TEXT_ROWS = 1000
 
 T = TypeVar("T")
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Jobs that run inside send batches of no more than so many rows between the JVM and its workers:
+    both sides hold a batch as a whole, outside the heap."""
+    before = spark.conf.get(_ROWS_SETTING)
+    spark.conf.set(_ROWS_SETTING, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS_SETTING, before)
+
+
 @lru_cache(maxsize=1)
 def _trim() -> Callable[[int], int]:
     """Hands free pages back to the system, where the C library can."""

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.components import components
 from tallyline.llm.hashing import U64, WHITE, Words, binary, chunks, mix, run_hashes, prefix_sums, spans
-from tallyline.llm.memory import tidy
+from tallyline.llm.memory import text_batches, tidy
 from tallyline.sources.scratch import stored
 
 SHINGLE = 5
@@ -135,6 +135,11 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
+    with text_batches(docs.sparkSession):
+        return _near_copies(docs, size, percent, block)
+
+
+def _near_copies(docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
     rows = stored(signed(docs, size), "signed")
     named = rows.where("n_shingles > 0 and doc_id is not null")
     least = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))

@@ -39,7 +39,7 @@ def cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
 
 
 def search(length: int):
-    def found(fragments: list[bytes], _: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def found(fragments: list[bytes]) -> Iterator[tuple[int, int, int]]:
         import ahocorasick
 
         numbers: dict[bytes, int] = {}

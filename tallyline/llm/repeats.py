@@ -6,10 +6,9 @@ equal anchors at equal places, so only windows under one anchor have to be compa
 
 1. every document gives its anchors, each with the fragment its windows span;
 2. anchors that occur once are dropped, and equal fragments under one anchor become one row;
-3. an anchor with a single fragment needs no look at the text: all its windows come back;
-4. the fragments of other anchors are dealt to shards of a bounded size, where an operator's own
-   index says which windows come back;
-5. an anchor with too many different fragments for a shard (a passage after whose end every
+3. the fragments are dealt by anchor to shards of a bounded size, a copied one twice, where an
+   operator's own index says which windows come back;
+4. an anchor with too many different fragments for a shard (a passage after whose end every
    document goes on differently) has its windows counted one by one, by two hashes.
 
 Every step is an aggregation with map-side combining or a join the adaptive planner can split.
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.hashing import U64, binary, chunks, mix, run_hashes, spans, window_minima
+from tallyline.llm.memory import text_batches
 from tallyline.sources.scratch import stored
 
 KEYS = ["name", "mark"]
@@ -141,7 +141,7 @@ def repeated(
     docs: DataFrame,
     prepare: Prepare,
     cut: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]],
-    search: Callable[[list[bytes], np.ndarray], Iterator[tuple[int, int, int]]],
+    search: Callable[[list[bytes]], Iterator[tuple[int, int, int]]],
     window: int,
     gram: int,
     shard_units: int,
@@ -151,6 +151,11 @@ def repeated(
     ``cut`` gives fragments of one text as bytes. ``search`` gets the different fragments of a shard
     and yields runs of repeated windows: number of the fragment, first window, last window.
     """
+    with text_batches(docs.sparkSession):
+        return _repeated(docs, prepare, cut, search, window, gram, shard_units)
+
+
+def _repeated(docs: DataFrame, prepare: Prepare, cut, search, window: int, gram: int, shard_units: int) -> DataFrame:
     found = stored(anchored(docs, prepare, window, gram), "anchors")
     places = found.select(*KEYS, F.explode("anchors").alias("a")).select(*KEYS, "a.*")
     often = stored(places.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors-often")
@@ -162,16 +167,12 @@ def repeated(
         ),
         "fragments",
     )
-    kinds = fragments.groupBy("anchor").agg(
-        F.count("*").alias("kinds"), F.sum(F.expr("at.hi - at.lo")).alias("units")
-    )
-    many = stored(kinds.where("kinds > 1"), "anchors-varied")
-    whole = fragments.where("copies > 1").select(
-        "anchor", "fragment", F.lit(0).cast("long").alias("lo"), F.expr("at.hi - at.lo").alias("hi")
-    )
-    bodies = stored(_bodies(docs, fragments, many, cut, shard_units), "fragment-texts")
+    # A copied fragment is put into its shard twice, so that the index finds it as it finds any other.
+    units = F.sum(F.expr("(at.hi - at.lo) * least(copies, 2)")).alias("units")
+    sizes = stored(fragments.groupBy("anchor").agg(units), "anchor-sizes")
+    bodies = stored(_bodies(docs, fragments, sizes, cut, shard_units), "fragment-texts")
 
-    total = many.where(F.col("units") <= shard_units).agg(F.sum("units")).first()[0] or 0
+    total = sizes.where(F.col("units") <= shard_units).agg(F.sum("units")).first()[0] or 0
     shards = max(1, -(-total // shard_units))
     within = (
         bodies.where("not crowded")
@@ -180,7 +181,7 @@ def repeated(
         .applyInArrow(lambda shard: _search(shard, search, window), _SPAN_DDL)
     )
     counted = _counted(bodies.where("crowded"), prepare, window)
-    parts = stored(within.unionByName(counted).unionByName(whole), "repeated-parts")
+    parts = stored(within.unionByName(counted), "repeated-parts")
     return (
         places.withColumnsRenamed({"lo": "from", "hi": "to"})
         .join(parts, ["anchor", "fragment"])
@@ -190,10 +191,10 @@ def repeated(
     )
 
 
-def _bodies(docs: DataFrame, fragments: DataFrame, many: DataFrame, cut, shard_units: int) -> DataFrame:
-    """The different fragments of anchors that have several, each cut from one of its documents."""
+def _bodies(docs: DataFrame, fragments: DataFrame, sizes: DataFrame, cut, shard_units: int) -> DataFrame:
+    """The different fragments of all anchors, each cut from one of its documents."""
     wanted = stored(
-        fragments.join(many, "anchor")
+        fragments.join(sizes, "anchor")
         .select(
             "at.name", "at.mark",
             F.struct(
@@ -237,11 +238,12 @@ def _search(shard: pa.Table, search, window: int) -> pa.Table:
     # Documents that are equal in id and text were cut twice.
     _, first = np.unique(np.stack([anchor, fragment]), axis=1, return_index=True)
     bodies = shard.column("body").to_pylist()
-    copies = shard.column("copies").to_numpy()[first]
+    again = first[shard.column("copies").to_numpy()[first] > 1]
+    pieces = [bodies[k] for k in (*first, *again)]
     rows = [
         (anchor[first[i]], fragment[first[i]], a, b + window)
-        for i, a, b in search([bodies[k] for k in first], anchor[first])
-        if copies[i] == 1
+        for i, a, b in search(pieces)
+        if i < len(first)
     ]
     columns = zip(*rows) if rows else [[]] * 4
     names = ("anchor", "fragment", "lo", "hi")
@@ -273,7 +275,6 @@ def _counted(bodies: DataFrame, prepare: Prepare, window: int) -> DataFrame:
     rows = stored(rows, "crowded-windows")
     back = rows.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "window")
     return (
-        rows.where("copies = 1")
-        .join(back, ["anchor", "window"])
+        rows.join(back, ["anchor", "window"])
         .select("anchor", "fragment", "lo", (F.col("lo") + window).alias("hi"))
     )

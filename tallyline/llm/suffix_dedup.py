@@ -103,7 +103,7 @@ def bounded_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
 
 
 def search(length: int):
-    def found(fragments: list[bytes], _: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def found(fragments: list[bytes]) -> Iterator[tuple[int, int, int]]:
         text = np.frombuffer(b"\xff".join(fragments) + b"\xff", np.uint8)
         order = suffix_order(text, length)
         same = bounded_prefixes(text, order, length) < 0

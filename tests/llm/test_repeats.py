@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.llm import phrase_dedup, suffix_dedup
+from tallyline.llm import phrase_dedup, repeats, suffix_dedup
 from tests.llm import brute
 from tests.llm.fixtures import documents, empty, pairs, rows_of
 
@@ -51,6 +51,12 @@ def test_repeated_rows_and_missing_ids(spark):
     assert phrase_dedup.deduplicate(empty(spark)).collect() == []
 
 
+def test_all_spans_come_from_the_index(docs):
+    """An index that finds nothing leaves nothing: exact copies are found by it as all else is."""
+    found = repeats.repeated(docs, suffix_dedup.prepare, suffix_dedup.cut, lambda fragments: iter(()), 200, 48, 1 << 20)
+    assert found.collect() == []
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_common_prefixes_by_interval_expansion(seed):
     random = np.random.default_rng(seed)

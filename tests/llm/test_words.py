@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyline.llm.hashing import NOT_ALNUM, WHITE, Words, chunks, covered, window_minima
+from tallyline.llm.memory import text_batches, tidy
 from tallyline.llm.subwords import default_paths, encoder
 from tests.llm import brute
 
@@ -65,3 +67,18 @@ def test_ids_are_those_of_the_tokenizer(texts):
 def test_ids_of_odd_texts(text):
     encode = encoder(*default_paths())
     assert encode.encode([text.encode()])[0].tolist() == encode.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_batches_of_texts_are_small_inside_only(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), text_batches(spark, 7):
+        sizes = spark.range(50, numPartitions=1).mapInArrow(lambda rows: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in rows), "n long")
+        assert max(r.n for r in sizes.collect()) == 7
+        raise ValueError
+    assert spark.conf.get(key) == before
+
+
+def test_tidy_gives_all_results_and_forgets():
+    forgotten = []
+    assert list(tidy(iter(range(5)), lambda: forgotten.append(1))) == list(range(5)) and forgotten == [1]
