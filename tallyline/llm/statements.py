@@ -5,6 +5,10 @@ from __future__ import annotations
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _DARK = r"[^\x20\x09-\x0D]+"
+_DIGITS = "('0x' || substr(digest, 5 * g + 1, 5))::INTEGER"
+_SIGNS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_DIGITS} >> {shift}) & 31) + 1, 1)" for shift in (15, 10, 5, 0)
+)
 
 
 def _centroid_rounds(k: int, rounds: int, size: int, scale: int) -> str:
@@ -116,6 +120,18 @@ STATEMENTS = {
             sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE part || substr(h, 2 * last - 1) END)) AS kept_sha256
         FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    # Five hexadecimal digits are four of the 32 signs.
+    "op9_warc": f"""
+        WITH records AS (
+            SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS chief
+            FROM pages
+        )
+        SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(0, 8), lambda g: {_SIGNS}), '') AS payload_digest,
+            CASE WHEN page_id = chief THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> chief THEN chief END AS refers_to
+        FROM (SELECT *, sha1(payload) AS digest FROM records)
+    """,
     "op10_phrase_dedup": f"""
         WITH docs AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_DARK}') AS w FROM documents
