@@ -36,6 +36,12 @@ def _trim() -> Callable[[int], int]:
     return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
+def give_back() -> None:
+    """Free memory of this worker goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def tidy(results: Iterator[T], *forget: Callable[[], None]) -> Iterator[T]:
     """The results of a task; after the last one caches are forgotten and free memory is given back."""
     try:
@@ -43,5 +49,4 @@ def tidy(results: Iterator[T], *forget: Callable[[], None]) -> Iterator[T]:
     finally:
         for cache in forget:
             cache()
-        pa.default_memory_pool().release_unused()
-        _trim()(0)
+        give_back()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.hashing import U64, binary, chunks, mix, run_hashes, spans, window_minima
-from tallyline.llm.memory import text_batches
+from tallyline.llm.memory import give_back, text_batches
 from tallyline.sources.scratch import stored
 
 KEYS = ["name", "mark"]
@@ -247,6 +247,7 @@ def _search(shard: pa.Table, search, window: int) -> pa.Table:
     ]
     columns = zip(*rows) if rows else [[]] * 4
     names = ("anchor", "fragment", "lo", "hi")
+    give_back()
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
 
 

@@ -52,14 +52,18 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | around[k : k + n]
     order, known = np.argsort(key), 8
     while True:
-        sorted_key = key[order]
-        step = np.concatenate([[False], sorted_key[1:] != sorted_key[:-1]])
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(step).astype(np.uint64)
+        ordered = key[order]
+        step = np.concatenate([[False], ordered[1:] != ordered[:-1]])
+        del ordered
         if known >= depth or step.sum() == n - 1:
             return order
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.cumsum(step, dtype=np.uint32)
         shift = min(known, depth - known)
-        key = (rank << np.uint64(32)) | np.roll(rank, -shift)
+        np.copyto(key, rank)
+        key <<= np.uint64(32)
+        key |= np.roll(rank, -shift)
+        del order, rank
         order, known = np.argsort(key), known + shift
 
 
@@ -69,18 +73,18 @@ def bounded_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
     n = len(text)
     before = text[order - 1]
     by_byte = np.argsort(before, kind="stable")
-    back = np.empty(n, np.int64)  # place of the suffix that begins one byte earlier
-    back[by_byte] = np.arange(n)
+    back = np.empty(n, np.int32)  # place of the suffix that begins one byte earlier
+    back[by_byte] = np.arange(n, dtype=np.int32)
+    del before, by_byte
     common = np.full(n + 1, -1, np.int32)
     common[0] = common[n] = 0
     lo, hi = np.zeros(1, np.int64), np.full(1, n - 1)
     for k in range(length):
         sizes = hi - lo + 1
-        place = spans(lo, sizes)
-        owner = np.repeat(np.arange(len(lo)), sizes)
-        extended = back[place]
+        owner = np.repeat(np.arange(len(lo), dtype=np.int32), sizes)
+        extended = back[spans(lo, sizes)]
         if len(extended) * 8 > n:
-            owner_at = np.full(n, -1, np.int64)
+            owner_at = np.full(n, -1, np.int32)
             owner_at[extended] = owner
             extended = np.flatnonzero(owner_at >= 0)
             owner = owner_at[extended]
