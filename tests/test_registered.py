@@ -34,7 +34,7 @@ def test_query(spark, connection, name):
 @pytest.mark.parametrize(
     "name",
     [
-        "collection_grid", "before_after_grid", "activity_policy_labels", "sankey_edges",
+        "collection_grid", "before_after_grid", "activity_policy_labels",
         "legacy_activity_labels", "initial_future_date", "startup_dates",
     ],
 )
@@ -50,6 +50,12 @@ def test_without_broadcast(spark, connection, setting, name):
     assert difference(df, connection, STATEMENTS[name]) is None
 
 
+def test_edges_without_broadcast(spark, connection, setting):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    assert difference(QUERIES["sankey_edges"](spark, SAMPLE), connection, STATEMENTS["sankey_edges"]) is None
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["mongo_hostname", "StateBefore", "StateAfter", "EdgeCount"]
