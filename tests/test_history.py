@@ -93,7 +93,8 @@ def test_policy_from_stored_labels_is_the_same(spark):
 def test_single_snapshot(spark):
     facts, ranges = tables(spark, {"a": [3], "b": [0]})
     assert column(labels.discrete_labels(facts, ranges), "CollectionUseStatus", "a") == ["ERROR"]
-    assert sankey.sankey_edges(labels.policy_labels_of(facts, ranges)).count() == 0
+    assert sankey.sankey_edges(sankey.transitions(labels.policy_labels_of(facts, ranges))).count() == 0
+    assert sankey.transitions_of_facts(facts, ranges).count() == 0
 
 
 def test_unnamed_collection_is_always_absent(spark):
