@@ -2,8 +2,41 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tallyline.plans import report_captures
+from tallyline.plans.catalog import Inputs
 from tallyline.plans.event_items import op_count_items
+from tallyline.sources import reports
 from tests.conftest import SAMPLE
+from tests.test_reports import GOOD, OPS, report
+
+
+def rows_by_task(df) -> list[int]:
+    return [r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_lines_of_one_report_are_dealt_to_several_tasks(spark, setting, monkeypatch, tmp_path):
+    """However short the pieces, a report gives the same rows, and no task gets most of them."""
+    lines = GOOD + [text for n in range(100) for text in (f"db.c{n}:", "{ x }", OPS.format(n))] + ["stray"]
+    staged = reports.staged_lines(spark, report(tmp_path, lines), "db")
+    setting("spark.sql.shuffle.partitions", "2")
+    whole = sorted(map(tuple, reports.numbered_lines(staged).collect()))
+    monkeypatch.setattr(reports, "PIECE_BITS", 2)
+    monkeypatch.setattr(reports, "TASK_LINES", 16)
+    cut = reports.numbered_lines(staged)
+    assert sorted(map(tuple, cut.collect())) == whole and len(whole) > 300
+    assert max(rows_by_task(cut)) < len(whole) / 3
+    assert [r.line for r in reports.report_errors(cut).collect()] == ["stray"]
+
+
+def test_reports_are_written_by_more_tasks_where_many_lines_are_expected(spark, setting, monkeypatch, tmp_path):
+    items = Inputs(spark, SAMPLE).items.where("days_post_epoch = 19730")
+    setting("spark.sql.shuffle.partitions", "1")
+    monkeypatch.setattr(report_captures, "TASK_LINES", 50)
+    lines = report_captures.report_lines(items)
+    glob = report_captures.write_reports(lines, str(tmp_path / "lake"), lines.count())
+    assert len(spark.read.text(glob).inputFiles()) > 5
 
 
 def test_captures_of_collections_are_made_after_the_last_shuffle(spark):
