@@ -50,3 +50,24 @@ def test_the_model_is_a_distribution(spark):
         units = np.array([[*context, unit] for unit in range(quality.VOCABULARY)], np.uint64)
         bits = model.bits(units.ravel(), np.arange(2, units.size, 3))
         assert abs(np.exp2(-bits).sum() - 1) < 1e-3
+
+
+def test_all_trusted_text_is_counted_or_sets_thresholds(spark, monkeypatch):
+    docs = documents(spark)
+    learnt = []
+    counted = quality.counted
+    monkeypatch.setattr(quality, "counted", lambda rows, paths: learnt.append(rows.count()) or counted(rows, paths))
+    quality.classified(docs, labels(spark, [(k, True) for k in range(100)]))
+    assert 70 <= learnt[0] <= 90
+
+
+def test_joined_n_grams_cost_what_those_at_hand_cost(spark, monkeypatch):
+    docs = documents(spark)
+    trusted = labels(spark, [(k, True) for k in range(60)])
+    at_hand = sorted(quality.classified(docs, trusted).select(*OUT).collect(), key=lambda r: r.doc_id)
+    monkeypatch.setattr(quality, "FREQUENT", {3: 50, 2: 50})
+    full = np.full(1 << (quality.BITMAP_LOG - 6), np.iinfo(np.uint64).max)
+    for made in (quality.bitmap, lambda rare: full):
+        monkeypatch.setattr(quality, "bitmap", made)
+        joined = quality.classified(docs, trusted).select(*OUT).collect()
+        assert sorted(joined, key=lambda r: r.doc_id) == at_hand
