@@ -6,7 +6,9 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyline.sources import snapshots
 from tallyline.sources.snapshots import (
     FILE_NAME,
     lake_glob,
@@ -180,3 +182,26 @@ def test_every_row_is_stored_or_reported(spark, tmp_path):
     # A later load adds to the report.
     load_paths(warehouse, [str(lake / "h" / "19723_86400")])
     assert warehouse.read("loadIssues").count() == 4
+
+
+def test_since_is_read_as_the_pattern_reads_it(spark, setting, monkeypatch):
+    texts = [
+        "2024-01-31 10:20:30 +0000 UTC", "2024-02-29 00:00:00.1 +0000 UTC", "1969-12-31 23:59:59.123456 +0000 UTC",
+        "1500-02-28 12:00:00.000 +0000 UTC", "9999-12-31 23:59:59.999999 +0000 UTC",
+    ]
+    odd = [
+        "2024-01-31 10:20:30.123456789 +0000 UTC", "2023-02-29 00:00:00 +0000 UTC", "2024-13-01 00:00:00 +0000 UTC",
+        "2024-01-01 24:00:00 +0000 UTC", "2024-01-01 00:60:00 +0000 UTC", "2024-01-01 00:00:60 +0000 UTC",
+        "0000-01-01 00:00:00 +0000 UTC", "2024-01-01 00:00:00. +0000 UTC", "2024-01-01 00:00:00 +0100 CET",
+        "2024-01-01 00:00:00 +0000 UTC\n", " 2024-01-01 00:00:00 +0000 UTC", "2024-01-01 00:00:00 +0000 +0000 UTC",
+        "2024-1-01 00:00:00 +0000 UTC", "n/a", "", None,
+    ]
+    setting("spark.sql.session.timeZone", "America/New_York")
+    rows = spark.createDataFrame([(t,) for t in texts + odd], "t string")
+    pattern = F.try_to_timestamp("t", F.lit(snapshots.SINCE_PATTERN))
+    found = rows.select("t", F.unix_micros(snapshots.since_timestamp(F.col("t"))), F.unix_micros(pattern)).collect()
+    assert [r[:2] for r in found] == [(r[0], r[2]) for r in found]
+    # The slow way is left to texts written otherwise.
+    monkeypatch.setattr(snapshots, "SINCE_PATTERN", "'never'")
+    usual = rows.where(F.col("t").isin(texts)).select(F.unix_micros(snapshots.since_timestamp(F.col("t")))).collect()
+    assert all(r[0] is not None for r in usual)
