@@ -229,3 +229,18 @@ def test_look_up_skips_what_does_not_hold_the_name(spark, tmp_path, fmt):
     found = warehouse.read(name).where("CollectionName = 'c000100'")
     assert scanned_rows(found) > 0 and found.count() == 1
     assert scanned_rows(warehouse.read(name).where("CollectionName = 'c000101'")) == 0
+
+
+def test_queries_of_emptied_captures_fill_no_table_beyond_their_own(spark, monkeypatch):
+    from tallyline.plans import prepared
+    from tallyline.plans.catalog import registered
+    from tests.conftest import SAMPLE
+
+    monkeypatch.setattr(prepared, "_prepared", {})
+    whole = {q: registered()[q] for q in ("reload_emptied_snapshot", "facts_of_changed_captures")}
+    monkeypatch.setattr(prepared.jobs, "label_all", None)
+    alone = {q: sorted(map(str, query(spark, SAMPLE).collect())) for q, query in whole.items()}
+    monkeypatch.undo()
+    monkeypatch.setattr(prepared, "_prepared", {})
+    registered()["labels_of_changed_hosts"](spark, SAMPLE)
+    assert alone == {q: sorted(map(str, query(spark, SAMPLE).collect())) for q, query in whole.items()}
