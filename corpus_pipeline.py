@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import decontamination, language_id, near_dedup, packing, suffix_dedup
-from tallyline.sources.scratch import stored
+from tallyline.sources.scratch import stored, stored_alone
+
+# Keys of that many rows are broadcast; of more, texts are shuffled to them.
+BROADCAST_KEYS = 1 << 22
+
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the labelled ones; ``lang`` stays as it was given."""
@@ -26,11 +30,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     told apart by a key made here, so copies under one id or without an id go too, and rows of one id
     with different texts are decided each on its own."""
     keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "keyed")
-    found = near_dedup.near_copies(keyed.select(F.col("key").alias("doc_id"), "row.text"))
-    found = found.select(F.col("doc_id").alias("key"), "component_id")
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", "key")
-    first = found.join(keyed.select("key", order.alias("order")), "key").groupBy("component_id").agg(F.min("order").alias("first"))
-    kept = stored(first.select("first.key"), "kept-rows")
+
+    def first_rows() -> DataFrame:
+        found = near_dedup.near_copies(keyed.select(F.col("key").alias("doc_id"), "row.text"))
+        found = found.select(F.col("doc_id").alias("key"), "component_id")
+        rows = found.join(keyed.select("key", order.alias("order")), "key")
+        return rows.groupBy("component_id").agg(F.min("order").alias("first")).select("first.key")
+
+    # What the search leaves is gone before the texts are looked at again.
+    kept = stored_alone(spark, first_rows, "kept-rows")
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_KEYS else kept
     return keyed.join(kept, "key", "left_semi").select("row.*")
 
 
@@ -52,8 +62,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     whatever its id: a row without an id goes too, and a clean row stays if another of its id goes."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "keyed")
-    found = decontamination.contamination(keyed.select(F.col("key").alias("doc_id"), "row.text"), benchmark)
-    gone = stored(found.where("n_hit > 0").select(F.col("doc_id").alias("key")), "contaminated")
+
+    def hit_rows() -> DataFrame:
+        found = decontamination.contamination(keyed.select(F.col("key").alias("doc_id"), "row.text"), benchmark)
+        return found.where("n_hit > 0").select(F.col("doc_id").alias("key"))
+
+    gone = stored_alone(spark, hit_rows, "contaminated")
     return keyed.join(gone, "key", "left_anti").select("row.*")
 
 

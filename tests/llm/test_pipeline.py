@@ -93,3 +93,12 @@ def test_copies_under_one_id_or_without_an_id_leave_one_text(spark):
     wanted = [(1, lone + " x"), (1, text), (2, other), (3, None)]
     assert sorted((tuple(r) for r in left.collect()), key=str) == sorted(wanted, key=str)
     assert sorted((tuple(r) for r in STRINGS(spark, left, SAMPLE).collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_what_a_search_leaves_is_removed(spark):
+    from tallyline.sources import scratch
+
+    before = len(scratch._made.get(spark.sparkContext.applicationId, []))
+    kept = CONTAMINATED(spark, documents(spark), SAMPLE)
+    assert len(scratch._made[spark.sparkContext.applicationId]) - before == 2
+    assert kept.count() > 0
