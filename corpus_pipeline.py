@@ -47,9 +47,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that occur twice; ``n_chars`` follows a changed text.
     Parts of a character that are left over go too; a null text stays null."""
-    cleaned = suffix_dedup.deduplicate(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    # What the search leaves is gone before the texts are looked at again. They pass through Python once: a
+    # second function would take a second worker for every task, and executors keep their workers.
+    spans = stored_alone(spark, lambda: suffix_dedup.repeated_spans(docs.select("doc_id", "text")), "repeated-spans")
+    cleaned = suffix_dedup.cut_texts(docs.select("doc_id", "text", F.struct("*").alias("row")), spans)
     cut = F.col("n_removed") > 0
-    text = F.when(cut, suffix_dedup.valid_text("kept")).otherwise(F.col("row.text"))
+    text = F.when(cut, F.col("cut")).otherwise(F.col("row.text"))
     made = {"text": text}
     if "n_chars" in docs.columns:
         size = F.when(cut, F.char_length(text)).otherwise(F.col("row.n_chars"))

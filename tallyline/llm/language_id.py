@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.hashing import U64, binary, chunks, mix
-from tallyline.llm.memory import tidy
+from tallyline.llm.memory import give_back, tidy
 from tallyline.sources.scratch import stored
 
 ORDER = 4
@@ -275,10 +275,12 @@ def scored(docs: DataFrame, models: Models | None) -> DataFrame:
     def predict(texts: pa.Array) -> pa.Array:
         parts = (binary(texts.slice(at, _ROWS)) for at in range(0, len(texts), _ROWS))
         rows = [predicted(shared.value, text) for part in parts for text in part]
+        give_back()
         columns = zip(*rows) if rows else [[]] * len(types)
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return docs.withColumn("made", predict("text"))
+    # Not evaluated again for a filter on its result: that would take a second worker for every task.
+    return docs.withColumn("made", predict.asNondeterministic()("text"))
 
 
 def predicted(models: Models | None, text: bytes) -> tuple[str, float, int, float, bool]:

@@ -90,7 +90,7 @@ def replaced(docs: DataFrame, found: DataFrame, take_out, columns: str) -> DataF
     """``docs`` with ``columns`` from ``take_out(text, starts, ends)`` of the found spans. Only texts
     and spans pass through Python."""
     names = [c.split()[0] for c in columns.split(", ")]
-    kinds = {"binary": pa.binary(), "long": pa.int64()}
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
     types = [kinds[c.split()[1]] for c in columns.split(", ")]
 
     @F.arrow_udf(f"struct<{', '.join(c.replace(' ', ': ') for c in columns.split(', '))}>")
@@ -103,6 +103,8 @@ def replaced(docs: DataFrame, found: DataFrame, take_out, columns: str) -> DataF
             for text, a, b in zip(binary(texts), offsets[:-1].tolist(), offsets[1:].tolist())
         ]
         arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+        del rows
+        give_back()
         return pa.StructArray.from_arrays(arrays, names=names)
 
     others = [F.col(f"row.`{c}`") for c in docs.columns if c not in names]

@@ -125,14 +125,25 @@ def search(length: int):
     return found
 
 
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The spans of bytes to remove from every document that has any."""
+    gram = max(1, min(GRAM, length // 4))
+    return repeated(docs, prepare, cut, search(length), length, gram, shard_bytes)
+
+
 def deduplicate(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``; columns that have
     one of these names are replaced."""
-    gram = max(1, min(GRAM, length // 4))
-    found = repeated(docs, prepare, cut, search(length), length, gram, shard_bytes)
+    found = repeated_spans(docs, length, shard_bytes)
     return replaced(docs, found, take_out, "kept binary, n_bytes long, n_removed long, n_spans long")
 
 
+def cut_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with ``cut`` and ``n_removed``: what is left of texts that lose any of the spans found,
+    without characters of which a part was taken out; null for all others."""
+    return replaced(docs, found, text_left, "cut string, n_removed long")
+
+
 def take_out(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int, int]:
     """The text without the spans, its length, and the number of bytes and of runs taken out."""
     if not len(lo):
@@ -143,11 +154,20 @@ def take_out(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, i
     return kept, len(text), int(gone.sum()), runs
 
 
+def text_left(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[str | None, int]:
+    kept, _, n_removed, _ = take_out(text, lo, hi)
+    return (valid(kept) if n_removed else None), n_removed
+
+
+def valid(kept: bytes) -> str:
+    return kept.decode("utf-8", "ignore")
+
+
 def valid_text(kept: str) -> Column:
     """Bytes as text, without characters of which a part was taken out."""
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        return pa.array([x.decode("utf-8", "ignore") for x in column.to_pylist()], pa.string())
+        return pa.array([valid(x) for x in column.to_pylist()], pa.string())
 
     return decode(kept)

@@ -125,3 +125,11 @@ def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = op4_language_id(spark, str(tmp_path)).collect()
     assert len(found) == 4 and all(r.held_out is not None for r in found)
+
+
+def test_texts_are_predicted_once_whatever_is_asked_of_the_result(spark):
+    """A filter on the prediction does not make a second one, in a second worker of the task."""
+    docs = spark.read.parquet(f"{SAMPLE}/documents.parquet")
+    found = language_id.scored(docs, language_id.trained(docs)).select("lang", "made.*").where("lang = lang_pred")
+    assert found.select("lang", "bits")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
+    assert found.count() > 0

@@ -102,3 +102,14 @@ def test_what_a_search_leaves_is_removed(spark):
     kept = CONTAMINATED(spark, documents(spark), SAMPLE)
     assert len(scratch._made[spark.sparkContext.applicationId]) - before == 2
     assert kept.count() > 0
+
+
+def test_cut_texts_pass_through_python_once(spark):
+    """A task with two Python functions in a row holds two workers."""
+    from tallyline.sources import scratch
+
+    before = len(scratch._made.get(spark.sparkContext.applicationId, []))
+    cut = STRINGS(spark, documents(spark), SAMPLE)
+    assert len(scratch._made[spark.sparkContext.applicationId]) - before == 1
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
+    assert cut.count() > 0
