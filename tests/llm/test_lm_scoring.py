@@ -188,3 +188,13 @@ def test_steps_grow_with_the_tokens_and_moves_are_averaged_by_use(spark):
     assert np.allclose(both["embed"][1:190], one.w["embed"][1:190], atol=1e-6)
     assert np.allclose(both["embed"][1000:1090], two.w["embed"][1000:1090], atol=1e-6)
     assert np.allclose(both["query"], (4 * one.w["query"] + 2 * two.w["query"]) / 6, atol=1e-6)
+
+
+def test_steps_are_numbers_of_16_bits():
+    """Such are put in order by their digits, as are classes as inputs."""
+    target = np.arange(attention.CLASSES)
+    step = attention._steps_of(target)
+    assert step.dtype == np.uint16 and attention.CLASSES <= 1 << 16
+    first, common = attention.HEAD + attention.GROUPS, attention.COMMON
+    assert np.array_equal(np.minimum(step, first), attention.top_of(target))
+    assert np.array_equal(step[common:], first + (target[common:] - common) // attention.TAILS)
