@@ -25,7 +25,8 @@ WIDTH, HIDDEN = 32, 32
 WINDOW, STRIDE = 32, 16
 _F = np.float32
 _ONES = np.ones(TAILS + 1, _F)
-_BATCH = 6000  # classes scored at once
+_BATCH = 24000  # classes scored at once
+_PLACES = 512  # places of windows that go through the layers at once
 _NEVER = 1e-20  # for a count of a class that no id has
 
 
@@ -91,13 +92,18 @@ _SEEN = (_AGO >= 0).astype(_F)
 _AGO = np.maximum(_AGO, 0)
 
 
-def shares(pull: np.ndarray, distance: np.ndarray) -> np.ndarray:
+def decay(distance: np.ndarray) -> np.ndarray:
+    """What the distances of the places of a window make of their attention."""
+    return np.exp(np.clip(distance, -30, 30))[_AGO] * _SEEN
+
+
+def shares(pull: np.ndarray, fading: np.ndarray) -> np.ndarray:
     """Attention of every place of windows to the places up to it; ``pull`` is used up."""
     if max(pull.max(), -pull.min()) > 30:
         pull += _CAUSAL
         pull -= pull.max(axis=-1, keepdims=True)
     np.exp(pull, out=pull)
-    pull *= np.exp(np.clip(distance, -30, 30))[_AGO] * _SEEN
+    pull *= fading
     pull /= (pull @ _ONES[:WINDOW])[..., None]
     return pull
 
@@ -133,83 +139,127 @@ def _choices_of(target: np.ndarray, step: np.ndarray) -> Iterator[tuple[str, int
             yield "last", group, a, b, (target[a:b] - COMMON) % TAILS
 
 
-def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, tuple]]:
-    """Mean loss of a batch of windows and its derivatives; targets below 0 do not count. Of the large
-    weights only the rows that the batch uses have any: each is given as rows and derivatives."""
-    n, scale = len(inputs), _F(1 / np.sqrt(WIDTH))
-    flat_inputs = inputs.ravel()
-    x = w["embed"].take(flat_inputs, axis=0)
-    three = np.concatenate([w["query"] * scale, w["key"], w["value"]], axis=1)
-    q, k, v = (x @ three).reshape(n, WINDOW, 3, WIDTH).transpose(2, 0, 1, 3)
-    share = shares(q @ k.transpose(0, 2, 1), w["distance"])
-    seen = share @ v
-    flat = lambda a: a.reshape(-1, WIDTH)
-    h = flat(seen) @ w["mix"]
+def _forward(w: dict[str, np.ndarray], fading: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """What windows end in, and what its derivatives are made of."""
+    x = w["embed"].take(inputs.ravel(), axis=0)
+    q, k, v = ((x @ w[name]).reshape(-1, WINDOW, WIDTH) for name in ("query", "key", "value"))
+    share = shares(q @ _turned(k), fading)
+    seen = (share @ v).reshape(-1, WIDTH)
+    h = seen @ w["mix"]
     h += x
-    raw = h @ w["widen"]
-    raw += w["shift"]
-    active = np.maximum(raw, 0)
+    active = h @ w["widen"]
+    active += w["shift"]
+    np.maximum(active, 0, out=active)
     z = active @ w["narrow"]
     z += h
+    return z, (x, q, k, v, share, seen, h, active)
+
+
+def _backward(turned: dict[str, np.ndarray], made: tuple, dz: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Derivatives of the embeddings of windows' inputs, and of the small weights."""
+    x, q, k, v, share, seen, h, active = made
+    g = {"narrow": active.T @ dz}
+    d_raw = dz @ turned["narrow"]
+    d_raw *= active > 0
+    g["widen"], g["shift"] = h.T @ d_raw, d_raw.sum(axis=0)
+    dh = d_raw @ turned["widen"]
+    dh += dz
+    g["mix"] = seen.T @ dh
+    d_seen = (dh @ turned["mix"]).reshape(v.shape)
+    d_share = d_seen @ _turned(v)
+    d_share -= ((d_share * share) @ _ONES[:WINDOW])[..., None]
+    d_share *= share
+    g["distance"] = d_share.sum(axis=0)
+    for name, d in (
+        ("query", d_share @ k), ("key", d_share.transpose(0, 2, 1) @ q), ("value", share.transpose(0, 2, 1) @ d_seen)
+    ):
+        d = d.reshape(-1, WIDTH)
+        g[name] = x.T @ d
+        dh += d @ turned[name]
+    return dh, g
+
+
+def _with_biases(weights: np.ndarray, biases: np.ndarray) -> np.ndarray:
+    return _turned(np.concatenate([weights, biases[..., None]], axis=-1))
+
+
+def _turned(a: np.ndarray) -> np.ndarray:
+    """The transposed matrices in their own order: products with them take half the time."""
+    return np.ascontiguousarray(a.swapaxes(-1, -2))
+
+
+def _choose(zs: np.ndarray, weights: np.ndarray, both: np.ndarray, choice: np.ndarray, each: float, dz: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss of one choice of rows, and the derivatives of its weights with the biases; those of the rows go to
+    ``dz``. ``both``: weights and biases, turned."""
+    loss, slopes = 0.0, np.zeros(both.shape[::-1], both.dtype)
+    for a in range(0, len(zs), _PLACES):
+        own = zs[a : a + _PLACES]
+        p = own @ both
+        if p.max() > 60:  # exp would leave the range of the type
+            p -= p.max(axis=1, keepdims=True)
+        flat, at = p.reshape(-1), np.arange(0, p.size, p.shape[1]) + choice[a : a + _PLACES]
+        chosen = flat.take(at)
+        np.exp(p, out=p)
+        sums = p @ _ONES[: p.shape[1]]
+        loss += float((np.log(sums) - chosen).sum())
+        p *= (each / sums)[:, None]
+        flat[at] -= each
+        dz[a : a + _PLACES] += p @ weights
+        slopes += p.T @ own
+    return loss, slopes
+
+
+def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, tuple]]:
+    """Mean loss of a batch of windows and its derivatives; targets below 0 do not count. Of the large
+    weights only the rows that the batch uses have any: each is given as rows and derivatives. Places are
+    taken a few at a time: their arrays stay in the cache, and products of small matrices take less time."""
+    scale, some = _F(1 / np.sqrt(WIDTH)), _PLACES // WINDOW
+    scaled, fading = w | {"query": w["query"] * scale}, decay(w["distance"])
+    made = [_forward(scaled, fading, inputs[a : a + some]) for a in range(0, len(inputs), some)]
+    z = np.concatenate([part for part, _ in made])
 
     y = targets.ravel()
     rows = np.flatnonzero(y >= 0)
     step = _steps_of(y[rows])
     order = np.argsort(step, kind="stable")
     rows, step = rows[order], step[order]
-    y, zs = y[rows], z[rows]
+    y, zs = y[rows], np.ones((len(rows), WIDTH + 1), z.dtype)  # the last column takes the biases
+    zs[:, :WIDTH] = z.take(rows, axis=0)
     each = _F(1 / max(len(rows), 1))
-    dz = np.zeros_like(zs)
+    dz = np.zeros((len(rows), WIDTH), z.dtype)
     loss = 0.0
     g: dict[str, tuple] = {}
     parts: dict[str, list] = {"inner": [], "last": []}
+    whole = {name: _with_biases(w[name], w[name + "_bias"]) for name in ("top", "inner", "tail")}
     for name, place, a, b, choice in _choices_of(y, step):
-        weights, bias = (w[name], w[name + "_bias"]) if place is None else (w[name][place], w[name + "_bias"][place])
-        own, at = zs[a:b], np.arange(b - a)
-        p = own @ weights.T
-        p += bias
-        if len(p) and p.max() > 60:  # exp would leave the range of the type
-            p -= p.max(axis=1, keepdims=True)
-        chosen = p[at, choice]
-        np.exp(p, out=p)
-        sums = p @ _ONES[: p.shape[1]]
-        loss += float((np.log(sums) - chosen).sum())
-        p *= (each / sums)[:, None]
-        p[at, choice] -= each
-        dz[a:b] += p @ weights
-        slopes = (p.T @ own, np.ones(len(p), p.dtype) @ p)
+        if name == "last":
+            both = _with_biases(w[name][place], w[name + "_bias"][place])
+        else:
+            both = whole[name] if place is None else whole[name][place]
+        lost, slopes = _choose(zs[a:b], w[name] if place is None else w[name][place], both, choice, each, dz[a:b])
+        loss += lost
         if place is None:
-            g[name], g[name + "_bias"] = (..., slopes[0]), (..., slopes[1])
+            g[name], g[name + "_bias"] = (..., slopes[:, :WIDTH]), (..., slopes[:, WIDTH])
         else:
-            parts[name].append((place, *slopes))
+            parts[name].append((place, slopes))
     for name, found in parts.items():
         if found:
-            places, slopes, biases = zip(*found)
-            g[name], g[name + "_bias"] = (np.array(places), np.stack(slopes)), (np.array(places), np.stack(biases))
-    full = np.zeros_like(z)
+            places, slopes = np.array([place for place, _ in found]), np.stack([slopes for _, slopes in found])
+            g[name], g[name + "_bias"] = (places, slopes[..., :WIDTH]), (places, slopes[..., WIDTH])
+    full = z  # is not needed any more
+    full[:] = 0
     full[rows] = dz
-    g["narrow"] = ..., active.T @ full
-    d_raw = full @ w["narrow"].T
-    d_raw *= raw > 0
-    g["widen"], g["shift"] = (..., h.T @ d_raw), (..., d_raw.sum(axis=0))
-    dh = d_raw @ w["widen"].T
-    dh += full
-    g["mix"] = ..., flat(seen).T @ dh
-    d_seen = (dh @ w["mix"].T).reshape(n, WINDOW, WIDTH)
-    d_three = np.empty((n, WINDOW, 3, WIDTH), x.dtype)
-    np.matmul(share.transpose(0, 2, 1), d_seen, out=d_three[:, :, 2])
-    d_share = d_seen @ v.transpose(0, 2, 1)
-    d_share -= ((d_share * share) @ _ONES[:WINDOW])[..., None]
-    d_share *= share
-    g["distance"] = ..., np.bincount(_AGO.ravel(), (d_share.sum(axis=0) * _SEEN).ravel(), minlength=WINDOW).astype(_F)
-    np.matmul(d_share, k, out=d_three[:, :, 0])
-    np.matmul(d_share.transpose(0, 2, 1), q, out=d_three[:, :, 1])
-    d_three = d_three.reshape(-1, 3 * WIDTH)
-    slopes = x.T @ d_three
-    g["query"], g["key"], g["value"] = ((..., slopes[:, j * WIDTH : (j + 1) * WIDTH] * (scale if j == 0 else 1)) for j in range(3))
-    dx = d_three @ three.T
-    dx += dh
-    short = flat_inputs.astype(np.uint16)  # there are under 65,536 classes
+    turned = {name: _turned(scaled[name]) for name in ("query", "key", "value", "mix", "widen", "narrow")}
+    dx, small = np.empty_like(full), {}
+    for number, (_, kept) in enumerate(made):
+        at = slice(number * _PLACES, (number + 1) * _PLACES)
+        dx[at], slopes = _backward(turned, kept, full[at])
+        for name, slope in slopes.items():
+            small[name] = np.add(small[name], slope, out=small[name]) if number else slope
+    small["query"] *= scale
+    small["distance"] = np.bincount(_AGO.ravel(), (small["distance"] * _SEEN).ravel(), minlength=WINDOW).astype(_F)
+    g |= {name: (..., slope) for name, slope in small.items()}
+    short = inputs.ravel().astype(np.uint16)  # there are under 65,536 classes
     order = np.argsort(short, kind="stable")
     short = short[order]
     starts = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
@@ -231,10 +281,18 @@ class Adam:
         self.steps += 1
         _, g = gradients(self.w, inputs, targets)
         for name, (touched, slope) in g.items():
-            one = self.first[name][touched] * _F(0.9) + _F(0.1) * slope
-            two = self.second[name][touched] * _F(0.99) + _F(0.01) * slope**2
-            self.first[name][touched], self.second[name][touched] = one, two
-            size = np.sqrt(two / _F(1 - 0.99**self.steps)) + _F(1e-8)
+            if touched is not ... and len(touched) == len(self.w[name]):
+                touched = ...  # each row once, in order
+            one, two = self.first[name][touched], self.second[name][touched]
+            one *= _F(0.9)
+            one += _F(0.1) * slope
+            two *= _F(0.99)
+            two += _F(0.01) * slope**2
+            if touched is not ...:
+                self.first[name][touched], self.second[name][touched] = one, two
+            size = two / _F(1 - 0.99**self.steps)
+            np.sqrt(size, out=size)
+            size += _F(1e-8)
             self.w[name][touched] -= _F(rate / (1 - 0.9**self.steps)) * one / size
             self.uses[name][touched if name in BY_ROW else ...] += 1
 
@@ -301,6 +359,12 @@ def falling(rate: float, steps: int) -> Callable[[int], float]:
     return lambda step: rate * min(1.0, step / 30) * (1 - 0.7 * min(1.0, step / max(steps, 1)))
 
 
+def _pairs(blocks: np.ndarray) -> np.ndarray:
+    """Every block but the first, with the one before it in front: a view, nothing is copied."""
+    n, size, width = blocks.shape
+    return np.lib.stride_tricks.as_strided(blocks, (n - 1, 2 * size, width), blocks.strides, writeable=False)
+
+
 class Scorer:
     """Log probabilities of whole documents. As inputs are classes, their queries, keys and mixed
     values are tables, made once."""
@@ -318,7 +382,8 @@ class Scorer:
     def log_chances(self, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Of every class but the first of each document, given those before it.
 
-        Documents are taken a few at a time, so that the arrays of a batch stay in the cache.
+        Documents are taken a few at a time, and places of theirs in still smaller parts, so that the arrays stay
+        in the cache; choices are made for all of the batch, as a group has few rows.
         """
         parts, first = [], 0
         while first < len(bounds) - 1:
@@ -339,30 +404,41 @@ class Scorer:
         place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         source = bounds[:-1][doc] + place
         slot = starts[doc] * STRIDE + place
-        inputs = np.full(total * STRIDE, BEGIN, np.int32)
-        inputs[slot] = classes[source]
+        inputs = np.full((total + 1) * STRIDE, BEGIN, np.int32)
+        inputs[slot + STRIDE] = classes[source]  # a block lies before the first
         inputs = inputs.reshape(-1, STRIDE)
-        keys = np.concatenate([np.roll(inputs, 1, axis=0), inputs], axis=1)
-        pull = self.queries.take(inputs, axis=0, mode="clip") @ self.keys.take(keys, axis=0, mode="clip").swapaxes(1, 2)
-        if pull.size and max(pull.max(), -pull.min()) > 30:
+        alone = np.zeros(total, bool)
+        alone[starts[sizes > 0]] = True
+        z = np.ones((total * STRIDE, WIDTH + 1), _F)  # the last column takes the biases
+        some = _PLACES // STRIDE
+        for a in range(0, total, some):
+            z[a * STRIDE : (a + some) * STRIDE, :WIDTH] = self._ends(inputs[a : a + some + 1], alone[a : a + some])
+        return self._choices(z, slot, classes[source + 1])
+
+    def _ends(self, inputs: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """What the places of all blocks but the first end in. Each sees the block before, if it is not alone."""
+        own = inputs[1:].ravel()
+        keys, values = (_pairs(table.take(inputs, axis=0, mode="clip")) for table in (self.keys, self.values))
+        pull = self.queries.take(own, axis=0, mode="clip").reshape(-1, STRIDE, WIDTH) @ keys.swapaxes(1, 2)
+        if max(pull.max(), -pull.min()) > 30:
             np.clip(pull, -30, 30, out=pull)
         np.exp(pull, out=pull)
         pull *= self.near
-        pull[starts[sizes > 0], :, : WINDOW - STRIDE] = 0
-        seen = pull @ self.values.take(keys, axis=0, mode="clip")
-        seen /= (pull @ _ONES[:WINDOW])[:, :, None]
-        h = (self.w["embed"].take(inputs, axis=0, mode="clip") + seen).reshape(-1, WIDTH).take(slot, axis=0)
+        pull[alone, :, : WINDOW - STRIDE] = 0
+        h = pull @ values
+        h /= (pull @ _ONES[:WINDOW])[:, :, None]
+        h = h.reshape(-1, WIDTH)
+        h += self.w["embed"].take(own, axis=0, mode="clip")
         wide = h @ self.w["widen"]
         wide += self.w["shift"]
         np.maximum(wide, 0, out=wide)
-        z = np.ones((len(h), WIDTH + 1), _F)  # the last column takes the biases
-        z[:, :WIDTH] = h + wide @ self.w["narrow"]
-        return self._choices(z, classes[source + 1])
+        h += wide @ self.w["narrow"]
+        return h
 
-    def _choices(self, z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def _choices(self, z: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
         step = _steps_of(target)
         order = np.argsort(step, kind="stable")
-        z, found = z.take(order, axis=0), np.zeros(len(z), _F)
+        z, found = z.take(rows[order], axis=0), np.zeros(len(rows), _F)
         for name, group, a, b, choice in _choices_of(target[order], step[order]):
             weights = self.choices[name] if group is None else self.choices[name][group]
             found[a:b] += self._chance(z[a:b], weights, choice)
@@ -375,6 +451,6 @@ class Scorer:
         logits = z @ weights
         if logits.size and logits.max() > 60:  # exp would leave the range of the type
             logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[np.arange(len(z)), choice]
+        chosen = logits.reshape(-1).take(np.arange(0, logits.size, logits.shape[1]) + choice)
         np.exp(logits, out=logits)
         return chosen - np.log(logits @ _ONES[: logits.shape[1]])

@@ -198,3 +198,45 @@ def test_steps_are_numbers_of_16_bits():
     first, common = attention.HEAD + attention.GROUPS, attention.COMMON
     assert np.array_equal(np.minimum(step, first), attention.top_of(target))
     assert np.array_equal(step[common:], first + (target[common:] - common) // attention.TAILS)
+
+
+def test_places_go_through_the_layers_in_parts(weights, monkeypatch):
+    """No layer sees more than ``_PLACES`` places at once; their number changes no derivative and no score."""
+    _, w = weights
+    random = np.random.default_rng(6)
+    stream = random.integers(0, attention.RARE, 40 * attention.WINDOW)
+    stream[:: attention.WINDOW + 5] = attention.BEGIN
+    inputs, targets = attention.windows(stream)
+    bounds = np.array([0, 1, 18, 700, len(stream)])
+    forward, ends, sizes = attention._forward, attention.Scorer._ends, []
+
+    def spied_forward(w, fading, inputs):
+        sizes.append(inputs.size)
+        return forward(w, fading, inputs)
+
+    def spied_ends(self, inputs, alone):
+        sizes.append(len(alone) * attention.STRIDE)
+        return ends(self, inputs, alone)
+
+    monkeypatch.setattr(attention, "_forward", spied_forward)
+    monkeypatch.setattr(attention.Scorer, "_ends", spied_ends)
+    found = []
+    for places in (attention.WINDOW, 512, 1 << 20):
+        monkeypatch.setattr(attention, "_PLACES", places)
+        sizes.clear()
+        found.append((*attention.gradients(w, inputs, targets), attention.Scorer(w).log_chances(stream, bounds)))
+        assert max(sizes) <= places and sum(sizes) >= 2 * len(stream) - attention.WINDOW
+    loss, slopes, chances = found[-1]
+    for other, others, again in found[:-1]:
+        assert other == pytest.approx(loss, rel=1e-5)
+        assert np.allclose(again, chances, atol=1e-5)
+        for name, (rows, slope) in slopes.items():
+            assert rows is others[name][0] or np.array_equal(rows, others[name][0])
+            assert np.allclose(others[name][1], slope, rtol=1e-3, atol=1e-6 + 1e-4 * np.abs(slope).max())
+
+
+def test_batch_without_targets_moves_nothing(weights):
+    _, w = weights
+    inputs = np.full((2, attention.WINDOW), attention.BEGIN)
+    loss, g = attention.gradients(w, inputs, np.full_like(inputs, -1))
+    assert loss == 0 and all(not slope.any() for _, slope in g.values())
